@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm.ngram_join import op7_ngram_jaccard_join
+from tallyloom.llm.packing import op6_best_fit_packing
 from tallyloom.llm.quality_rules import op3_quality_rules
 from tallyloom.llm.sharding import op4_consistent_hash_shards
 from tallyloom.llm.suffix_dedup import op10_suffix_array_dedup
+from tallyloom.llm.token_store import op9_repair_token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op4_consistent_hash_shards, op7_ngram_jaccard_join, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_consistent_hash_shards, op6_best_fit_packing, op7_ngram_jaccard_join, op9_repair_token_store, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
