@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyloom.llm.decontaminate import op8_simhash_decontamination
 from tallyloom.llm.lm_scoring import op2_ppm_scoring
 from tallyloom.llm.ngram_join import op7_ngram_jaccard_join
 from tallyloom.llm.packing import op6_best_fit_packing
@@ -16,7 +17,7 @@ from tallyloom.llm.token_store import op9_repair_token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ppm_scoring, op3_quality_rules, op4_consistent_hash_shards, op6_best_fit_packing, op7_ngram_jaccard_join, op9_repair_token_store, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op2_ppm_scoring, op3_quality_rules, op4_consistent_hash_shards, op6_best_fit_packing, op7_ngram_jaccard_join, op8_simhash_decontamination, op9_repair_token_store, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
