@@ -4,7 +4,7 @@ A byte goes if some string of `length` bytes that covers it also starts earlier:
 doc_id, or in the same document before. Strings are judged on the input.
 
 One suffix array over a corpus can't be built in one place, so suffix space is split by content:
-each string of `length` bytes is keyed by the smallest-hashed 32-byte gram inside it, which equal
+each string of `length` bytes is keyed by the smallest-hashed 20-byte gram inside it, which equal
 strings share. The strings keyed by one occurrence of a gram are consecutive, and form a segment.
   1. Of documents with equal bytes the first stands for all; the others go whole.
   2. Segments with equal bytes keep their first; the others go whole. This needs no text.
@@ -40,12 +40,16 @@ from tallyloom.llm import bytewords
 from tallyloom.llm.common import keyed, materialize, partitions_for, read_table
 
 LENGTH = 100
-GRAM = 32
-ROWS_PER_TASK = 1_500_000
+GRAM = 20
+BYTES_PER_TASK = 48 << 20
+#: Up to so many ids (12 MB) of copies are broadcast to the scan of the texts; more are joined by a shuffle.
+BROADCAST_ROWS = 1_500_000
 SEGMENTS_PER_TASK = 40_000
 
-_SEGMENT = pa.struct([("gram", pa.int64()), ("same", pa.int64()), ("start", pa.int32()), ("size", pa.int32())])
-_SPAN = pa.struct([("start", pa.int32()), ("size", pa.int32())])
+_NAMES = ["kind", "gram", "same", "_key", "start", "size"]
+_SCHEMA = "kind int, gram long, same long, _key long, start int, size int"
+#: kind of a row: bytes that go; a segment whose text is needed; a segment.
+SPAN, NEED, SEGMENT = range(3)
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -138,56 +142,61 @@ def _least_of_long(gram: np.ndarray, window: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _lists(values: pa.Array, owner: np.ndarray, n: int) -> pa.ListArray:
-    """Values, sorted by owner 0..n-1, as n lists."""
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n)))).astype(np.int32)), values)
+def _rows(kind: int, gram, same, key, start, size) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.full(len(key), kind, np.int32)), pa.array(gram.view(np.int64)), pa.array(same.view(np.int64)), pa.array(key), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], names=_NAMES)
 
 
 def _cut_up(length: int):
-    """Each text's identity and segments. Segments that repeat one of the same batch are spans at once."""
+    """Each text's segments. Segments that repeat one of the same step are spans at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = bytewords.texts_of(batch.column("_text"))
             keys = batch.column("_key").to_numpy()
             for a, b in bytewords.steps(raw, offsets):
-                at = offsets[a : b + 1] - offsets[a]
-                data = raw[offsets[a] : offsets[b]]
-                gram, same, text, start, size = _segments(data, at, length)
-                order = np.lexsort((start, keys[a:b][text], same, gram))
+                gram, same, text, start, size = _segments(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length)
+                key = keys[a:b][text]
+                order = np.lexsort((start, key, same, gram))
                 again = np.zeros(len(order), bool)
                 g, s = gram[order], same[order]
                 again[1:] = (g[1:] == g[:-1]) & (s[1:] == s[:-1])
                 repeat = np.zeros(len(order), bool)
                 repeat[order[again]] = True
-                view = memoryview(data)
-                ids = pa.array([hashlib.md5(view[i:j], usedforsecurity=False).digest() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
+                k, at, to = key[repeat], start[repeat], (start + size)[repeat]  # by text and start: spans that touch become one
+                if len(k):
+                    head = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (at[1:] > to[:-1]))))
+                    tail = np.append(head[1:], len(k)) - 1
+                    yield _rows(SPAN, gram[repeat][head], same[repeat][head], k[head], at[head], to[tail] - at[head])
                 keep = ~repeat
-                kept = pa.StructArray.from_arrays([pa.array(gram[keep].view(np.int64)), pa.array(same[keep].view(np.int64)), pa.array(start[keep].astype(np.int32)), pa.array(size[keep].astype(np.int32))], fields=list(_SEGMENT))
-                gone = pa.StructArray.from_arrays([pa.array(start[repeat].astype(np.int32)), pa.array(size[repeat].astype(np.int32))], fields=list(_SPAN))
-                yield pa.record_batch([pa.array(keys[a:b]), pa.array(np.diff(at)), ids, _lists(kept, text[keep], b - a), _lists(gone, text[repeat], b - a)], names=["_key", "n_bytes", "identity", "segments", "spans"])
+                yield _rows(SEGMENT, gram[keep], same[keep], key[keep], start[keep], size[keep])
 
     return run
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments of one gram together: kind 0 spans that repeat an earlier segment, kind 1 segments whose text is needed."""
+    """Segments of one gram together: those that repeat an earlier one become spans; of grams with several, the first of each is needed."""
     batches = list(batches)
     table = pa.Table.from_batches(batches) if batches else None
     if table is None or not table.num_rows:
         return
-    gram, same, key, start, size = (table.column(c).to_numpy() for c in ("gram", "same", "_key", "start", "size"))
+    kind, gram, same, key, start, size = (table.column(c).to_numpy() for c in _NAMES)
+    done = kind == SPAN
+    if done.any():
+        yield _rows(SPAN, gram[done], same[done], key[done], start[done], size[done])
     order = np.lexsort((start, key, same, gram))
+    order = order[~done[order]]
+    if not len(order):
+        return
     gram, same, key, start, size = (x[order] for x in (gram, same, key, start, size))
     new_gram = np.concatenate(([True], gram[1:] != gram[:-1]))
     first = new_gram | np.concatenate(([True], same[1:] != same[:-1]))
     group = np.cumsum(new_gram) - 1
     mixed = np.bincount(group[first], minlength=group[-1] + 1) > 1
-    for kind, chosen in ((0, ~first), (1, first & mixed[group])):
+    for kind, chosen in ((SPAN, ~first), (NEED, first & mixed[group])):
         at = np.flatnonzero(chosen)
         for i in range(0, len(at), 100_000):
             p = at[i : i + 100_000]
-            yield pa.record_batch([pa.array(np.full(len(p), kind, np.int32)), pa.array(gram[p]), pa.array(key[p]), pa.array(start[p]), pa.array(size[p])], names=["kind", "gram", "_key", "start", "size"])
+            yield _rows(kind, gram[p], same[p], key[p], start[p], size[p])
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,24 +283,22 @@ def _factors(length: int):
 
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(_key, spans) of each document that loses bytes; docs: _key, _text. Spans may overlap."""
-    sc = docs.sparkSession.sparkContext
-    base = materialize(docs.mapInArrow(_cut_up(length), "_key long, n_bytes long, identity binary, segments array<struct<gram:long,same:long,start:int,size:int>>, spans array<struct<start:int,size:int>>"), "segments")
-    firsts = base.groupBy("identity", "n_bytes").agg(F.min("_key").alias("first"), F.count(F.lit(1)).alias("copies"))
-    repeated = materialize(firsts.where("copies > 1"), "copies")
-    marked = base.join(repeated.drop("copies"), ["identity", "n_bytes"], "left")
-    is_first = F.col("first").isNull() | (F.col("first") == F.col("_key"))
-    whole = marked.where(~is_first & (F.col("n_bytes") >= length)).select("_key", F.lit(0).alias("start"), F.col("n_bytes").cast("int").alias("size"))
-    own = marked.where(is_first)
-    early = own.select("_key", F.explode("spans").alias("s")).select("_key", "s.start", "s.size")
-    rows = own.select("_key", F.explode("segments").alias("s")).select("s.gram", "s.same", "_key", "s.start", "s.size")
-    count = base.agg(F.sum(F.size("segments"))).first()[0] or 0
-    met = materialize(rows.repartition(partitions_for(count, ROWS_PER_TASK, sc.defaultParallelism), "gram").mapInArrow(_meet, "kind int, gram long, _key long, start int, size int"), "met")
-    need = met.where("kind = 1")
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    known = docs.select("_key", F.md5(F.col("_text").cast("binary")).alias("identity"), F.octet_length("_text").alias("n")).where(F.col("n") >= length)
+    known = materialize(known, "identities")
+    copies = known.groupBy("identity", "n").agg(F.min("_key").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    later = materialize(known.join(copies, ["identity", "n"]).where("_key != first").select("_key", F.lit(0).alias("start"), F.col("n").alias("size")), "copies")
+    ids = later.select("_key")
+    firsts = docs.join(F.broadcast(ids) if later.count() <= BROADCAST_ROWS else ids, "_key", "left_anti")
+    total = known.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
+    rows = firsts.mapInArrow(_cut_up(length), _SCHEMA).repartition(partitions_for(total, BYTES_PER_TASK, cores), "gram")
+    met = materialize(rows.mapInArrow(_meet, _SCHEMA), "met")
+    need = met.where(F.col("kind") == NEED)
     wanted = need.groupBy("_key").agg(F.collect_list(F.struct("gram", "start", "size")).alias("wanted"))
-    tasks = partitions_for(need.count(), SEGMENTS_PER_TASK, sc.defaultParallelism)
+    many = need.count()
     fetched = docs.join(wanted, "_key").mapInArrow(_fetch, "gram long, _key long, start int, bytes binary")
-    ends = fetched.repartition(tasks, "gram").mapInArrow(_factors(length), "_key long, start int, size int")
-    found = whole.unionByName(early).unionByName(met.where("kind = 0").select("_key", "start", "size")).unionByName(ends)
+    ends = fetched.repartition(partitions_for(many, SEGMENTS_PER_TASK, cores), "gram").mapInArrow(_factors(length), "_key long, start int, size int")
+    found = later.unionByName(met.where(F.col("kind") == SPAN).select("_key", "start", "size")).unionByName(ends)
     return found.groupBy("_key").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
 
 
