@@ -1,21 +1,60 @@
-"""The corpus pipeline: five operators applied one after another to `documents`."""
+"""The corpus pipeline: five operators applied one after another to `documents`.
+
+Each stage takes what its predecessor kept, as (spark, docs, sf_dir), and all but the last return
+the columns of `documents`. Nulls, empty texts, repeated rows and empty tables follow the rules of
+each operator's module; columns beside these are dropped at the first stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyloom.llm.quality_rules import judge
+from tallyloom.llm import decontaminate, ngram_join, packing, quality_rules, suffix_dedup
 from tallyloom.llm.common import materialize, read_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-STAGES = []
+#: The last stage's rows can't be expressed in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule and the learned decision list keep."""
+    return quality_rules.keep(docs.select(*COLUMNS), read_table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest doc_id stays."""
+    return ngram_join.representatives(docs.select(*COLUMNS))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without strings of 100 bytes that start earlier; n_chars follows the text."""
+    cut = suffix_dedup.cut_documents(docs.select(*COLUMNS))
+    return cut.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    return decontaminate.clean(docs.select(*COLUMNS), read_table(spark, sf_dir, "benchmark"))
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    return packing.pack(docs.select(*COLUMNS))
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("decontamination", decontamination),
+    ("sequences", sequences),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialize(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +25,17 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives executors this package's code, once for each context; they need not have it on their path."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_tallyloom_shipped", False):
+        top = Path(__file__).resolve().parents[2]
+        if top.is_dir():  # else the code runs from an archive that was shipped already
+            base = os.path.join(tempfile.mkdtemp(prefix="tallyloom-"), "tallyloom")
+            sc.addPyFile(shutil.make_archive(base, "zip", top, "tallyloom"))
+        sc._tallyloom_shipped = True
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/tallyloom/{name}-{uuid.uuid4().hex}"
 
@@ -58,6 +72,7 @@ def keyed(docs: DataFrame, order: str = "doc_id", text: str = "text", key: str =
     by (order nulls first, text nulls first) and numbered in a written table, so that null or
     repeated ids, and rows that are repeated whole, each get a key of their own.
     """
+    ship(docs.sparkSession)
     clash = docs.groupBy(F.col(order)).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col(order).isNull())
     if not clash.limit(1).collect():
         return docs.withColumn(key, F.col(order).cast("long"))

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import let, materialize, read_table, words_of
+from tallyloom.llm.common import keyed, let, materialize, read_table, words_of
 
 WINDOW = 5
 SYMBOLS = r"[#*$%&|<>]"
@@ -226,16 +226,29 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Counts of every document, base_failed, rule (the first that holds, or null) and kept."""
-    keep = ["doc_id"] if keep is None else keep
-    table = materialize(counts(docs, keep=keep), "counts")
+def rules_for(table: DataFrame, labels: DataFrame) -> DecisionList:
+    """The decision list learned from the labelled rows of a table of counts that pass the base rule."""
     ids = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.avg("quality").alias("_q"))
     labelled = table.join(ids, F.col("doc_id") == F.col("_id")).withColumn("_bad", F.when(F.col("_q") < 0.5, 1).otherwise(0)).drop("_id", "_q")
-    found = learn(labelled.where(~base_failed()))
+    return learn(labelled.where(~base_failed()))
+
+
+def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, the counts of every document, base_failed, rule (the first that holds, or null) and kept."""
+    table = materialize(counts(docs), "counts")
+    found = rules_for(table, labels)
     return table.withColumn("base_failed", base_failed()).withColumn("rule", found.fired()).withColumn("kept", ~F.col("base_failed") & found.verdict())
 
 
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents, with all their columns, that the verdict keeps."""
+    keyed_docs = keyed(docs)
+    table = materialize(counts(keyed_docs, keep=["_key", "doc_id"]), "counts")
+    found = rules_for(table, labels)
+    kept = table.where(~base_failed() & found.verdict()).select("_key")
+    return keyed_docs.join(kept, "_key", "left_semi").select(*docs.columns)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
