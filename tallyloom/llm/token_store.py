@@ -7,7 +7,8 @@ next round counts pairs of what is left, new symbols included.
 
 File (little-endian): magic, counts, then arrays
   documents: key and number of ids of each, in ascending order of doc_id
-  rules:     left and right symbol of each nonterminal; nonterminal i is symbol `base` + i
+  alphabet:  the ids that occur; symbol i is the i-th of them
+  rules:     left and right symbol of each nonterminal; nonterminal i is symbol len(alphabet) + i
   lengths:   how many ids each nonterminal expands to
   index:     ids before each block of BLOCK symbols, so that any id is found by one bisection
   symbols:   what is left of the shard, 2 bytes each if they fit, else 4
@@ -33,6 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyloom.llm import bytewords
 from tallyloom.llm.common import keyed, materialize, partitions_for, read_table, shared_path
 from tallyloom.llm.store import read_file, write_file
 from tallyloom.llm.tokens import default_vocabulary, encoder
@@ -41,88 +43,99 @@ END = 0
 MAGIC = b"TLRP0001"
 BLOCK = 1024
 #: Ids after which a shard ends, rounds of replacement, pairs replaced in a round, and the least count of such a pair.
-SHARD_IDS, ROUNDS, PAIRS, LEAST = 4_000_000, 4, 3800, 24
+SHARD_IDS, ROUNDS, PAIRS, LEAST = 2_000_000, 3, 5000, 16
 TEXTS = 1024
-BYTES_PER_TASK = 48 << 20
-_BINS = 22
+BYTES_PER_TASK = 24 << 20
+_BINS = 20
 
 
 @dataclass
 class Shard:
     keys: np.ndarray
     counts: np.ndarray
-    base: int
+    alphabet: np.ndarray
     rules: np.ndarray
     lengths: np.ndarray
     symbols: np.ndarray
     index: np.ndarray
 
 
-def _bin(code: np.ndarray) -> np.ndarray:
-    return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BINS)).astype(np.int64)
-
-
-def _pick(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(the most frequent pairs, in order; position -> rank, or the number of pairs where none begins)."""
-    bins = _bin(code)
-    heavy = np.bincount(bins, minlength=1 << _BINS)
-    least = max(LEAST, int(np.partition(heavy, -PAIRS)[-PAIRS]))
-    inside = np.flatnonzero((heavy >= least)[bins])
-    pairs, place, counts = np.unique(code[inside], return_inverse=True, return_counts=True)
-    order = np.lexsort((pairs, -counts))
-    order = order[counts[order] >= LEAST][:PAIRS]
-    rank_of = np.full(len(pairs), len(order), np.int32)
-    rank_of[order] = np.arange(len(order), dtype=np.int32)
-    rank = np.full(len(code), len(order), np.int32)
-    rank[inside] = rank_of[place]
-    return pairs[order], rank
-
-
-def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rules, lengths, symbols) of one shard of ids, all below base."""
-    symbols = ids.astype(np.uint64)
-    rules, lengths = [], np.zeros(0, np.int64)
+def _pick(code: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the most frequent pairs, in order; position -> rank, or -1 where none of them begins)."""
+    ordered = np.sort(code)
+    new = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    counts = np.diff(np.append(new, len(ordered)))
+    often = np.flatnonzero(counts >= LEAST)
+    pairs, counts = ordered[new[often]], counts[often]
+    pairs = pairs[np.lexsort((pairs, -counts))[:PAIRS]]
+    # A table of bins finds a position's pair; of pairs that share a bin the more frequent one stays for this round.
+    bins = lambda x: ((x * (np.uint32(2654435769) if half == 16 else np.uint64(0x9E3779B97F4A7C15))) >> x.dtype.type(2 * half - _BINS)).astype(np.uint32)
+    _, first = np.unique(bins(pairs), return_index=True)
+    pairs = pairs[np.sort(first)]
+    if not len(pairs):
+        return pairs, np.full(len(code), -1, np.int16)
+    table = np.zeros(1 << _BINS, np.int16)
+    table[bins(pairs)] = np.arange(len(pairs), dtype=np.int16)
+    rank = table[bins(code)]
+    rank[pairs[rank] != code] = -1
+    return pairs, rank
+
+
+def compress(ids: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(alphabet, rules, lengths, symbols) of one shard. Symbol i is an id of the alphabet, or nonterminal i - len(alphabet)."""
+    seen = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
+    alphabet = np.flatnonzero(seen)
+    narrow = np.zeros(len(seen), np.uint32)
+    narrow[alphabet] = np.arange(len(alphabet), dtype=np.uint32)
+    half = 16 if len(alphabet) + rounds * PAIRS <= 1 << 16 else 32
+    symbols = narrow[ids].astype(np.uint32 if half == 16 else np.uint64)
+    rules: list[np.ndarray] = []
+    lengths = np.ones(len(alphabet), np.int64)
     for _ in range(rounds):
         if len(symbols) < 2:
             break
-        code = (symbols[:-1] << np.uint64(32)) | symbols[1:]
-        pairs, rank = _pick(code)
-        none = len(pairs)
-        if not none:
+        code = (symbols[:-1] << symbols.dtype.type(half)) | symbols[1:]
+        pairs, rank = _pick(code, half)
+        if not len(pairs):
             break
-        before = np.concatenate(([none], rank[:-1]))
-        after = np.concatenate((rank[1:], [none]))
-        hit = (rank < none) & (rank <= before) & (rank <= after)
-        at = np.flatnonzero(hit)
-        # Neighbours of one rank (aaa) take turns from the left.
-        head = np.concatenate(([True], at[1:] != at[:-1] + 1))
-        turn = np.arange(len(at)) - np.flatnonzero(head)[np.cumsum(head) - 1]
-        at = at[turn % 2 == 0]
-        first = base + sum(len(r) for r in rules)
-        left, right = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        size = lambda x: np.where(x < base, 1, lengths[np.maximum(x - base, 0)] if len(lengths) else 1)  # noqa: B023, E731
-        new = size(left) + size(right)
-        rules.append(np.stack((left, right), axis=1))
-        lengths = np.concatenate((lengths, new))
-        symbols[at] = (first + rank[at]).astype(np.uint64)
+        at = np.flatnonzero(rank >= 0)
+        r = rank[at]
+        # Where two overlap the more frequent one stays; of a run of one pair (aaa) every second from the left.
+        near = np.flatnonzero(at[1:] == at[:-1] + 1)
+        drop = np.zeros(len(at), bool)
+        drop[near[r[near] > r[near + 1]]] = True
+        drop[near[r[near] < r[near + 1]] + 1] = True
+        same = near[r[near] == r[near + 1]]
+        if len(same):
+            head = np.concatenate(([True], same[1:] != same[:-1] + 1))
+            turn = np.arange(len(same)) - np.flatnonzero(head)[np.cumsum(head) - 1]
+            drop[same[turn % 2 == 0] + 1] = True
+        # What survives a neighbour that is dropped itself waits for the next round.
+        at, r = at[~drop], r[~drop]
+        left, right = (pairs >> pairs.dtype.type(half)).astype(np.int64), (pairs & pairs.dtype.type((1 << half) - 1)).astype(np.int64)
+        symbols[at] = (len(lengths) + r).astype(symbols.dtype)
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         symbols = symbols[keep]
-    return (np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)).astype(np.uint32), lengths.astype(np.uint32), symbols.astype(np.uint32)
+        rules.append(np.stack((left, right), axis=1))
+        lengths = np.concatenate((lengths, lengths[left] + lengths[right]))
+    every = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
+    return alphabet.astype(np.uint32), every.astype(np.uint32), lengths[len(alphabet) :].astype(np.uint32), symbols.astype(np.uint32)
 
 
-def pack_shard(keys: np.ndarray, counts: np.ndarray, ids: np.ndarray, base: int) -> list[bytes]:
-    rules, lengths, symbols = compress(ids, base)
-    sizes = np.where(symbols < base, 1, np.append(lengths, 1)[np.minimum(np.maximum(symbols.astype(np.int64) - base, 0), len(lengths))]) if len(symbols) else np.zeros(0, np.int64)
-    index = np.concatenate(([0], np.cumsum(sizes.astype(np.int64))))[::BLOCK][: -(-len(symbols) // BLOCK)]
-    wide = 2 if base + len(rules) <= 65536 else 4
-    head = struct.pack("<8sIIQQQB", MAGIC, base, len(rules), len(keys), len(symbols), len(index), wide)
-    return [head, keys.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), index.astype("<u8").tobytes(), symbols.astype(f"<u{wide}").tobytes()]
+def pack_shard(keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> list[bytes]:
+    alphabet, rules, lengths, symbols = compress(ids)
+    sizes = np.concatenate((np.ones(len(alphabet), np.int64), lengths.astype(np.int64)))
+    blocks = -(-len(symbols) // BLOCK)
+    index = np.concatenate(([0], np.cumsum(np.add.reduceat(sizes[symbols], np.arange(0, len(symbols), BLOCK)))))[:blocks] if blocks else np.zeros(0, np.int64)
+    wide = 2 if len(sizes) <= 65536 else 4
+    head = struct.pack("<8sIIQQQB", MAGIC, len(alphabet), len(rules), len(keys), len(symbols), len(index), wide)
+    return [head, keys.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), alphabet.astype("<u4").tobytes(), rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), index.astype("<u8").tobytes(), symbols.astype(f"<u{wide}").tobytes()]
 
 
 def parse_shard(data: bytes) -> Shard:
     head = struct.Struct("<8sIIQQQB")
-    magic, base, n_rules, n_docs, n_symbols, n_index, wide = head.unpack_from(data)
+    magic, n_ids, n_rules, n_docs, n_symbols, n_index, wide = head.unpack_from(data)
     if magic != MAGIC:
         raise ValueError("not a token shard")
     at = head.size
@@ -133,46 +146,32 @@ def parse_shard(data: bytes) -> Shard:
         at += out.nbytes
         return out
 
-    keys, counts, rules, lengths, index = take("<i8", n_docs), take("<u4", n_docs), take("<u4", 2 * n_rules), take("<u4", n_rules), take("<u8", n_index)
-    return Shard(keys, counts, base, rules.reshape(-1, 2), lengths, take(f"<u{wide}", n_symbols), index)
+    keys, counts, alphabet, rules, lengths, index = take("<i8", n_docs), take("<u4", n_docs), take("<u4", n_ids), take("<u4", 2 * n_rules), take("<u4", n_rules), take("<u8", n_index)
+    return Shard(keys, counts, alphabet, rules.reshape(-1, 2), lengths, take(f"<u{wide}", n_symbols), index)
 
 
 def _pool(s: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expansions of all nonterminals laid end to end, with where each starts and its size; ids come first."""
-    size = s.lengths.astype(np.int64)
+    """Expansions of all symbols laid end to end, with where each starts and its size."""
+    size = np.concatenate((np.ones(len(s.alphabet), np.int64), s.lengths.astype(np.int64)))
     start = np.cumsum(size) - size
     pool = np.zeros(int(size.sum()), np.uint32)
-    # A rule refers only to earlier ones, and the longest expansions are short: in order, they are filled from those before.
-    for i, (left, right) in enumerate(s.rules.tolist()):
+    pool[: len(s.alphabet)] = s.alphabet
+    # A rule refers to earlier symbols only: in order, each is filled from those before.
+    for i, (left, right) in enumerate(s.rules.tolist(), len(s.alphabet)):
         at = int(start[i])
-        for x in (left, right):
-            if x < s.base:
-                pool[at] = x
-                at += 1
-            else:
-                j = x - s.base
-                pool[at : at + size[j]] = pool[start[j] : start[j] + size[j]]
-                at += int(size[j])
+        middle = at + int(size[left])
+        pool[at:middle] = pool[start[left] : start[left] + size[left]]
+        pool[middle : middle + size[right]] = pool[start[right] : start[right] + size[right]]
     return pool, start, size
 
 
 def expand(s: Shard, symbols: np.ndarray, pool: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     data, start, size = pool
-    symbols = symbols.astype(np.int64)
-    rule = np.maximum(symbols - s.base, 0)
-    plain = symbols < s.base
-    if not len(size):
-        return symbols.astype(np.uint32)
-    n = np.where(plain, 1, size[rule])
-    first = np.cumsum(n) - n
-    out = np.repeat(np.where(plain, symbols, 0).astype(np.uint32), n)
-    at = np.flatnonzero(~plain)
-    many = n[at]
-    ends = np.cumsum(many)
-    if len(at):
-        step = np.arange(ends[-1]) - np.repeat(ends - many, many)
-        out[np.repeat(first[at], many) + step] = data[np.repeat(start[rule[at]], many) + step]
-    return out
+    n = size[symbols]
+    ends = np.cumsum(n)
+    if not len(ends):
+        return np.zeros(0, np.uint32)
+    return data[np.repeat(start[symbols] - (ends - n), n) + np.arange(ends[-1])]
 
 
 def document(s: Shard, i: int, pool: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
@@ -190,7 +189,6 @@ def document(s: Shard, i: int, pool: tuple[np.ndarray, np.ndarray, np.ndarray] |
 def _writer(root: str, vocabulary: str, end: int, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, partition = encoder(vocabulary), TaskContext.get().partitionId()
-        base = tool.tokenizer.get_vocab_size()
         keys: list[np.ndarray] = []
         ids: list[np.ndarray] = []
         held = shards = 0
@@ -199,7 +197,7 @@ def _writer(root: str, vocabulary: str, end: int, shard_ids: int):
             nonlocal keys, ids, held, shards
             path = f"{root}/part-{partition:06d}-{shards:05d}.tlrp"
             counts = np.array([len(x) for x in ids])
-            size = write_file(path, pack_shard(np.concatenate(keys), counts, np.concatenate(ids), base))
+            size = write_file(path, pack_shard(np.concatenate(keys), counts, np.concatenate(ids)))
             out = pa.record_batch([pa.array([path]), pa.array([partition], pa.int32()), pa.array([shards], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([held], pa.int64()), pa.array([size], pa.int64())], names=["path", "part", "shard", "n_docs", "n_ids", "n_bytes"])
             keys, ids, held, shards = [], [], 0, shards + 1
             return out
@@ -226,10 +224,12 @@ def write(documents: DataFrame, root: str, vocabulary: str | None = None, end: i
     """
     sc = documents.sparkSession.sparkContext
     docs = documents.select("_key", F.col("text").alias("_text"))
-    total = docs.agg(F.sum(F.octet_length("_text").cast("long"))).first()[0] or 0
-    ranged = docs.repartitionByRange(partitions_for(total, BYTES_PER_TASK, sc.defaultParallelism), "_key").sortWithinPartitions("_key")
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of the files, as the planner knows it
+    if size > 1 << 55:  # it doesn't
+        size = docs.agg(F.sum(F.octet_length("_text").cast("long"))).first()[0] or 0
+    ranged = docs.repartitionByRange(partitions_for(size, BYTES_PER_TASK, sc.defaultParallelism), "_key").sortWithinPartitions("_key")
     run = _writer(root, vocabulary or default_vocabulary(), end, shard_ids)
-    manifest = materialize(ranged.mapInArrow(run, "path string, part int, shard int, n_docs long, n_ids long, n_bytes long"), "manifest")
+    manifest = materialize(ranged.mapInArrow(bytewords.tidy(run), "path string, part int, shard int, n_docs long, n_ids long, n_bytes long"), "manifest")
     before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("n_ids"))  # a row for each task
     parts = parts.select("part", before(Window.orderBy("part")).alias("_before"))
@@ -250,7 +250,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read(manifest: DataFrame) -> DataFrame:
     """_key, start, n_tokens, ids_crc32 of every document, from the files; a task reads one file at a time."""
     files = manifest.select("path", "start").repartition(partitions_for(manifest.count(), 4, 1), "path")
-    return files.mapInArrow(_read, "_key long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(bytewords.tidy(_read), "_key long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_repair_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
