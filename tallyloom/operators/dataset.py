@@ -14,9 +14,9 @@ def norm(c: Column) -> Column:
 
 
 def first_of_prompt(df: DataFrame, prompt: str, order: str) -> DataFrame:
-    """Of rows with one normalized prompt, that of the least order stays (order is unique)."""
-    first = df.groupBy(norm(F.col(prompt)).alias("_p")).agg(F.min(order).alias("_o"))
-    return df.join(first, (norm(F.col(prompt)) == F.col("_p")) & (F.col(order) == F.col("_o"))).drop("_p", "_o")
+    """Of rows with one normalized prompt, that of the least order stays (order is unique; null prompts leave). Only digests and orders are shuffled, not texts."""
+    first = df.where(F.col(prompt).isNotNull()).groupBy(F.md5(norm(F.col(prompt)).cast("binary")).alias("_p")).agg(F.min(order).alias(order)).select(order)
+    return df.join(first, order, "left_semi")
 
 
 def fill_quotas(df: DataFrame, quotas: DataFrame, keys: list[str], order: str) -> DataFrame:
