@@ -131,3 +131,12 @@ def link(rows: DataFrame, registry: DataFrame) -> DataFrame:
     known = registry.select(F.col("normalized_name").alias("_n"), F.col("farmer_id").alias("_f"))
     joined = rows.join(known, F.lower(F.trim("farmer_name")) == F.col("_n"), "left")
     return joined.withColumn("farmer_id", F.coalesce("farmer_id", "_f")).drop("_n", "_f")
+
+
+def get_or_create(registry: DataFrame, name: str, new_id: str) -> DataFrame:
+    """The entry of a name, or a new one where there is none; a blank name has none and gets none."""
+    spark = registry.sparkSession
+    asked = spark.createDataFrame([(new_id, name)], "farmer_id string, farmer_name string").select("farmer_id", F.trim(F.regexp_replace("farmer_name", r"\s+", " ")).alias("farmer_name"), normalized_name(F.col("farmer_name")).alias("normalized_name"))
+    asked = asked.where("normalized_name != ''")
+    known = registry.join(asked.select("normalized_name"), "normalized_name", "left_semi").select("farmer_id", "farmer_name", "normalized_name")
+    return known.unionByName(asked.join(registry.select("normalized_name"), "normalized_name", "left_anti"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Letters, digits and underscore of any script.
@@ -161,3 +161,27 @@ def class_accuracy(pairs: DataFrame, expected: str, found: str) -> DataFrame:
 def chat_text(system: Column, prompt: Column, target: Column) -> Column:
     turn = lambda role, c: F.concat(F.lit(f"<|im_start|>{role}\n"), c, F.lit("<|im_end|>\n"))
     return F.concat(turn("system", system), turn("user", prompt), turn("assistant", target))
+
+
+def generated(spark: SparkSession, n: int, template: str, options: dict[str, list[str]]) -> DataFrame:
+    """gen_idx and prompt: n rows of a template whose {names} run through their options in mixed radix, the first name fastest."""
+    text, radix = F.lit(template), 1
+    for name, values in options.items():
+        at = F.pmod(F.floor(F.col("id") / radix), F.lit(len(values))).cast("int")
+        text = F.replace(text, F.lit("{" + name + "}"), F.get(F.array(*map(F.lit, values)), at))
+        radix *= len(values)
+    return spark.range(n).select(F.col("id").alias("gen_idx"), text.alias("prompt"))
+
+
+def canonical_list(items: Column) -> Column:
+    """A list as one JSON text, whatever its order and repeats: null fields are kept."""
+    return F.to_json(F.array_sort(F.array_distinct(items)), {"ignoreNullFields": "false"})
+
+
+def build_partition(candidates: DataFrame, errors: Column, quotas: DataFrame, keys: list[str], order: str = "gen_idx", prompt: str = "prompt") -> tuple[DataFrame, DataFrame]:
+    """(rows without errors and repeats up to each group's quota, how many each group still lacks)."""
+    sound = candidates.where(F.size(errors) == 0)
+    filled = fill_quotas(first_of_prompt(sound, prompt, order), quotas, keys, order)
+    have = filled.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    lacking = quotas.join(have, keys, "left").withColumn("lacks", F.col("quota") - F.coalesce("_n", F.lit(0))).where("lacks > 0").select(*keys, "lacks")
+    return filled, lacking

@@ -418,6 +418,66 @@ def _chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.table(spark, sf_dir, "conversations").select("conv_id", "turn", dataset.chat_text(F.col("role"), F.col("text"), F.col("conv_id").cast("string")).alias("chat"))
 
 
+@entry("generate_prompts", """SELECT g AS gen_idx, replace(replace('How much did {who} give {when}?', '{who}', (['Asha', 'Ravi', 'Meena'])[CAST(g % 3 AS INT) + 1]), '{when}', (['today', 'this week'])[CAST((g // 3) % 2 AS INT) + 1]) AS prompt FROM range(600) t(g)""")
+def _generate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.generated(spark, 600, "How much did {who} give {when}?", {"who": ["Asha", "Ravi", "Meena"], "when": ["today", "this week"]})
+
+
+@entry("canonicalize", "SELECT o_orderkey, '[' || array_to_string(list_transform(list_sort(list_distinct([o_orderstatus, o_orderpriority, 'F'])), lambda x: '\"' || x || '\"'), ',') || ']' AS canonical FROM orders")
+def _canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.table(spark, sf_dir, "orders").select("o_orderkey", dataset.canonical_list(F.array("o_orderstatus", "o_orderpriority", F.lit("F"))).alias("canonical"))
+
+
+@entry("composition_counts", """WITH t AS (SELECT o_orderkey AS k FROM orders) SELECT CAST(count(*) FILTER (WHERE k % 2 = 0 AND k % 3 = 0) AS BIGINT) AS entity_plus_time,
+    CAST(count(*) FILTER (WHERE k % 5 = 0 AND k % 3 = 0) AS BIGINT) AS payment_plus_time, CAST(count(*) FILTER (WHERE k % 7 = 0 AND k % 3 = 0) AS BIGINT) AS aggregation_plus_time,
+    CAST(count(*) FILTER (WHERE k % 4 = 0 AND k % 7 = 0) AS BIGINT) AS filters_plus_aggregation, CAST(count(*) FILTER (WHERE k % 4 = 0 AND k % 2 = 0) AS BIGINT) AS and_logic,
+    CAST(count(*) FILTER (WHERE k % 2 = 1) AS BIGINT) AS or_logic, CAST(count(*) FILTER (WHERE k % 11 = 0) AS BIGINT) AS group_by, CAST(count(*) FILTER (WHERE k % 13 = 0) AS BIGINT) AS having,
+    CAST(count(*) FILTER (WHERE k % 2 = 0) AS BIGINT) AS order_by, CAST(count(*) FILTER (WHERE k % 3 = 0) AS BIGINT) AS "limit", CAST(count(*) FILTER (WHERE k % 17 = 0) AS BIGINT) AS conditional_queries,
+    CAST(count(*) FILTER (WHERE k % 9 = 0) AS BIGINT) AS clarification, CAST(count(*) FILTER (WHERE k % 9 = 1) AS BIGINT) AS unsupported, CAST(count(*) FILTER (WHERE k % 19 = 0) AS BIGINT) AS read_write_hard_negatives,
+    CAST(count(*) FILTER (WHERE k % 11 = 0 AND k % 7 = 0 AND k % 2 = 0 AND k % 3 = 0) AS BIGINT) AS multi_primitive_composition FROM t""")
+def _composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    some = lambda n, v: F.when(k % n == 0, F.lit(v))
+    items = lambda n, *v: F.when(k % n == 0, F.array(*map(F.lit, v))).otherwise(F.array().cast("array<string>"))
+    targets = R.table(spark, sf_dir, "orders").select(
+        some(2, "x").alias("entity"), some(3, "t").alias("time"), items(5, "AMOUNT_PAID").alias("select"), F.lit("LATEST").alias("paymentScope"), items(7, "SUM").alias("aggregations"),
+        items(4, "a", "b").alias("filters"), F.when(k % 2 == 0, "AND").otherwise("OR").alias("filterLogic"), items(11, "FARMER_NAME").alias("groupBy"), some(13, "h").alias("havingFilter"), some(2, "o").alias("orderBy"),
+        some(3, 1).alias("limit"), some(17, "c").alias("conditionalSpec"), F.when(k % 9 == 0, "CLARIFY").when(k % 9 == 1, "UNSUPPORTED").otherwise("QUERY").alias("type"), F.when(k % 19 == 0, "read_write_contrast").alias("category"),
+    )
+    return dataset.composition(targets)
+
+
+@entry("extract_draft", f"""{_S} SELECT o_orderkey, CASE WHEN regexp_matches(text, '(?i)^([A-Za-z]+)\\s+(?:gave|delivered|brought|collected|supplied)') THEN 'no' ELSE split_part(text, ' ', 1) END AS name,
+    regexp_extract(text, '(?i)(\\d+(?:\\.\\d+)?)\\s*(?:litres?|liters?|ltr|l\\b)', 1) AS quantity, CAST(o_orderkey % 9 AS VARCHAR) || '.2' AS fat, '8.' || CAST(o_orderkey % 10 AS VARCHAR) AS snf,
+    CASE WHEN contains(lower(text), 'paid') THEN 'PAID' ELSE 'PENDING' END AS status FROM s""")
+def _draft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sentences(spark, sf_dir).select("o_orderkey", X.draft(F.col("text")).alias("d")).select("o_orderkey", "d.*")
+
+
+@entry("create_records", f"""{_S} SELECT o_orderkey, {_round("(o_orderkey % 90 + 0.5) * greatest(35.0 + greatest(o_orderkey % 9 + 0.2 - 3.5, 0.0) * 4 + greatest(8.0 + (o_orderkey % 10) / 10.0 - 8.0, 0.0) * 2, 30.0)")} AS payable_amount,
+    CASE WHEN o_orderkey % 4 IN (0, 1) THEN 'RECORDED_LOCALLY' ELSE 'PENDING' END AS payment_status FROM s""")
+def _create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = _sentences(spark, sf_dir)
+    t, key = F.col("text"), F.col("o_orderkey")
+    rows = said.select("o_orderkey", key.cast("string").alias("id"), (key % 90 + 0.5).alias("quantity"), (key % 9 + F.lit(0.2)).alias("fat"), (F.lit(8.0) + (key % 10) / 10.0).alias("snf"), F.coalesce(X.payment(t)["status"], F.lit("PENDING")).alias("payment_status"))
+    return catalog.create_record(rows, _now()).select("o_orderkey", "payable_amount", "payment_status")
+
+
+farmer_entry(
+    "get_or_create", lambda f: catalog.get_or_create(f, "  Asha   RAO's ", "new-1").unionByName(catalog.get_or_create(f, "Customer#000000002", "new-2")).unionByName(catalog.get_or_create(f, " ", "new-3")).select("farmer_id"),
+    "SELECT 'new-1' AS farmer_id UNION ALL SELECT CASE WHEN EXISTS (SELECT 1 FROM reg WHERE normalized_name = 'customer 000000002') THEN '2' ELSE 'new-2' END",
+)
+
+
+@entry("streaming_dashboard", "SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT user_id) AS BIGINT) AS n_users, floor(sum(value) * 100 + 0.5) / 100 AS total FROM events GROUP BY event_type")
+def _streaming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.streaming import live
+
+    schema = R.table(spark, sf_dir, "events").schema
+    figures = lambda df: df.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.size(F.collect_set("user_id")).cast("long").alias("n_users"), C.half_up(F.sum("value")).alias("total"))
+    return live.once(spark, f"{sf_dir}/events.parquet", schema, figures)
+
+
 def queries() -> dict[str, Build]:
     return {n: b for n, (b, _) in _ENTRIES.items()}
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,3 +20,12 @@ def on_change(spark: SparkSession, folder: str, schema: StructType, query: Calla
     """Runs any batch query again over the whole folder with each batch of new files, and hands its result to emit."""
     again = lambda _, batch: emit(query(spark.read.schema(schema).parquet(folder)), batch)
     return spark.readStream.schema(schema).parquet(folder).writeStream.foreachBatch(again).option("checkpointLocation", checkpoint).start()
+
+
+def once(spark: SparkSession, path: str, schema: StructType, query: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Streams all that is there now through an aggregate and returns its final state."""
+    name = f"live_{uuid.uuid4().hex}"
+    path = f"{path[:-1]}[{path[-1]}]"  # a pattern may name one file; a plain path has to be a folder
+    stream = query(spark.readStream.schema(schema).parquet(path)).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    return spark.table(name)

@@ -261,3 +261,37 @@ def test_period_bounds_hold_together(day, period):
     start, end = temporal.bounds(Period("RELATIVE", period), datetime(day.year, day.month, day.day, 13))
     assert start < end and start.time() == datetime.min.time()
     assert start <= datetime(day.year, day.month, day.day, 13)
+
+
+def test_asking(spark, records, registry):
+    from tallyloom.engine import Engine, Profile
+
+    docs = spark.createDataFrame([("A", "Handbook", "Rejection", "Spoiled milk is rejected.", ["rejected", "rejection"])], "id string, document_title string, section_title string, content string, keywords array<string>")
+    me = Profile("WORKER001", "ORG001", "Asha", "Center 1", "Route 2", ("record",))
+    e = Engine(records, registry, me, NOW, docs, "The union", ("Suresh Kumar", "Suresh Gowda", "Ramesh Naik"))
+    assert e.ask("Who gave the most milk?").text == "Suresh Kumar had the highest: total quantity 25.0 L."
+    assert e.ask("How much did Ramesh Naik give today?").text == "Total quantity 22.5 L."
+    assert e.ask("Was Suresh paid?").text.startswith("Several names match: Suresh Gowda, Suresh Kumar")
+    assert e.ask('{"entity": {"mention": "Nobody"}, "exists": true}').text == "Nobody isn't in the registry."
+    assert e.ask('{"filters": [{"field": "FAT", "op": "GREATER_THAN", "value": 4.5}], "exists": true}').text == "Yes, 2 records match."
+    assert e.ask('{"entity": {"mention": "Suresh Kumar"}, "paymentScope": "ALL"}').text == "All 1 payments are completed."
+    assert e.ask('{"entity": {"mention": "Ramesh Naik"}, "paymentScope": "ANY"}').text == "No payment has been received."
+    assert "Center 1" in e.ask("who am i").text and e.ask("which union is it").text == "The union"
+    assert e.ask("What is the rejection policy?").text == "Spoiled milk is rejected."
+    low = e.run(Query(group_by=("FARMER_NAME",), aggregations=(Aggregation("SUM", "QUANTITY"),), order=Order("QUANTITY", "SUM", False), limit=1))
+    assert low.text == "Guest had the lowest: total quantity 12.0 L."
+    assert e.run(Query(limit=0)).made.status == "INVALID" and me.frame(spark).first().permissions == ["record"]
+
+
+def test_partitions_and_reports(spark, tmp_path):
+    from tallyloom.sources import reports
+
+    made = dataset.generated(spark, 12, "How much did {who} give {when}?", {"who": ["Asha", "Ravi"], "when": ["today", "this week"]}).withColumn("category", F.when(F.col("gen_idx") % 2 == 0, "a").otherwise("b"))
+    quotas = spark.createDataFrame([("a", 1), ("b", 5)], "category string, quota int")
+    errors = dataset.fidelity_errors(F.col("prompt"), period=F.lit("TODAY"))
+    filled, lacking = dataset.build_partition(made, errors, quotas, ["category"])
+    assert {r.prompt for r in filled.collect()} == {"How much did Asha give today?", "How much did Ravi give today?"}
+    assert [tuple(r) for r in lacking.collect()] == [("b", 4)]
+    reports.write_json(f"{tmp_path}/r.json", lacking=lacking)
+    reports.write_markdown(f"{tmp_path}/r.md", "Audit", lacking=lacking)
+    assert '"lacks": 4' in (tmp_path / "r.json").read_text() and "| b | 4 |" in (tmp_path / "r.md").read_text()
