@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Most bytes of an Arrow batch.
+ARROW_BYTES = str(4 << 20)
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 
@@ -26,7 +28,7 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives executors this package's code, once for each context; they need not have it on their path."""
+    """Gives executors this package's code, once for each context (they need not have it on their path), and bounds Arrow batches."""
     sc = spark.sparkContext
     if not getattr(sc, "_tallyloom_shipped", False):
         top = Path(__file__).resolve().parents[2]
@@ -34,6 +36,8 @@ def ship(spark: SparkSession) -> None:
             base = os.path.join(tempfile.mkdtemp(prefix="tallyloom-"), "tallyloom")
             sc.addPyFile(shutil.make_archive(base, "zip", top, "tallyloom"))
         sc._tallyloom_shipped = True
+    # Texts are long: a batch between the JVM and Python is bounded by its bytes, not by its rows alone.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -44,7 +48,18 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here and survives lost executors."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more: what was made of them stands in written tables itself."""
+    for t in tables:
+        if path := getattr(t, "_scratch", None):
+            sc = t.sparkSession.sparkContext
+            place = sc._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,3 +93,8 @@ def keyed(docs: DataFrame, order: str = "doc_id", text: str = "text", key: str =
         return docs.withColumn(key, F.col(order).cast("long"))
     ranged = docs.orderBy(F.col(order).asc_nulls_first(), F.col(text).asc_nulls_first())
     return materialize(ranged.withColumn(key, F.monotonically_increasing_id()), "keyed")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """docs as _row (a struct of all its columns), doc_id and text, so that no column can clash with an operator's own."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "doc_id", "text")

@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import keyed, let, materialize, partitions_for, read_table, words_of
+from tallyloom.llm.common import keyed, let, materialize, packed, partitions_for, read_table, words_of
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -105,9 +105,9 @@ def search(documents: DataFrame, benchmark: DataFrame, similarity: float = SIMIL
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, with all their columns, in which no item is found."""
-    docs = keyed(documents)
+    docs = keyed(packed(documents))
     dirty = search(docs.select(F.col("_key").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_key")).distinct()
-    return docs.join(materialize(dirty, "dirty"), "_key", "left_anti").select(*documents.columns)
+    return docs.join(materialize(dirty, "dirty"), "_key", "left_anti").select("_row.*")
 
 
 def op8_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,7 +110,7 @@ def adaptive(documents: DataFrame, order: int = ORDER) -> DataFrame:
             yield pa.record_batch([batch.column("doc_id"), pa.array(bits, pa.float64())], names=["doc_id", "code_length"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", F.col("text").alias("_text")).mapInArrow(run, f"doc_id {kind}, code_length double")
+    return documents.select("doc_id", F.col("text").alias("_text")).mapInArrow(bytewords.tidy(run), f"doc_id {kind}, code_length double")
 
 
 def _grams(raw: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -310,7 +310,7 @@ def _slices(table: DataFrame, name: str) -> list[str]:
     root = shared_path(spark, name)
     # Sliced by a mix of the key, in an order that fits no other hash of it.
     parts = table.select(F.pmod(F.xxhash64(F.lit(name), "key"), F.lit(many)).cast("int").alias("part"), "key", "value").repartition(many, "part")
-    done = parts.mapInArrow(_write_slice(root), "part int").collect()  # as many rows as slices
+    done = parts.mapInArrow(bytewords.tidy(_write_slice(root)), "part int").collect()  # as many rows as slices
     return [f"{root}/slice-{r.part:05d}" for r in sorted(done)]
 
 
@@ -319,7 +319,7 @@ def score(documents: DataFrame, held_out, order: int = ORDER) -> DataFrame:
     spark = documents.sparkSession
     ship(spark)
     docs = documents.select("doc_id", F.col("text").alias("_text"), held_out.alias("held_out"))
-    partial = docs.select("_text", "held_out").mapInArrow(_count(order), _MODEL_SCHEMA)
+    partial = docs.select("_text", "held_out").mapInArrow(bytewords.tidy(_count(order)), _MODEL_SCHEMA)
     counts = materialize(partial.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     words, grams = counts.where(F.col("kind") == WORD), counts.where(F.col("kind") == GRAM)
     texts = docs.where(~F.col("held_out")).count()
@@ -333,7 +333,7 @@ def score(documents: DataFrame, held_out, order: int = ORDER) -> DataFrame:
     # Parts by the two latest context symbols.
     tasks = partitions_for(grams.count(), 500_000, 1)
     place = F.shiftright("key", BITS).bitwiseAND(F.lit((1 << (2 * BITS)) - 1))
-    logs = grams.select("key", "n").repartition(tasks, place).mapInArrow(_work_out(pairs, order), "key long, value double")
+    logs = grams.select("key", "n").repartition(tasks, place).mapInArrow(bytewords.tidy(_work_out(pairs, order)), "key long, value double")
     word_paths = _slices(words.select("key", F.log10(F.col("n") + 1).alias("value")), "words")
     gram_paths = _slices(logs, "grams")
     turns = max(len(word_paths), len(gram_paths), 1)
@@ -341,10 +341,10 @@ def score(documents: DataFrame, held_out, order: int = ORDER) -> DataFrame:
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_words long, n_known long, word_log double, gram_log double"
     if turns == 1:
-        sums = docs.mapInArrow(_score(at(word_paths, 0), at(gram_paths, 0), order), schema)
+        sums = docs.mapInArrow(bytewords.tidy(_score(at(word_paths, 0), at(gram_paths, 0), order)), schema)
     else:
         numbered = materialize(docs.withColumn("doc_id_", F.col("doc_id")).withColumn("row", F.monotonically_increasing_id()), "rows").withColumn("doc_id", F.col("row"))
-        each = [numbered.select("doc_id", "_text", "held_out").mapInArrow(_score(at(word_paths, i), at(gram_paths, i), order), schema.replace(f"doc_id {kind}", "doc_id long")) for i in range(turns)]
+        each = [numbered.select("doc_id", "_text", "held_out").mapInArrow(bytewords.tidy(_score(at(word_paths, i), at(gram_paths, i), order)), schema.replace(f"doc_id {kind}", "doc_id long")) for i in range(turns)]
         sums = each[0]
         for x in each[1:]:
             sums = sums.union(x)

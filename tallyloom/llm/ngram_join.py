@@ -8,7 +8,10 @@ Index-level skipping: a list is sorted by set size; a set's partners are one blo
 within it entries whose positions leave too few shingles for the overlap needed are skipped.
 Answer-level skipping: a list's sets are first compared to one leader of their size; sets found
 similar to it share its component, and later only pairs between different components are compared
-(all of them, so no link between components is lost). A list never yields all its pairs.
+(all of them, so no link between components is lost). Pairs within a component are never formed.
+
+Before two sets meet whole, their parity bitmaps do: bits that differ bound the shingles that
+aren't shared from below, so a pair that fails here can't be a link.
 
 Defined results
   null or empty text, or no words   n_shingles 0, linked with nothing, component_id its own doc_id
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import bytewords
-from tallyloom.llm.common import keyed, materialize, partitions_for, read_table
+from tallyloom.llm.common import discard, keyed, materialize, packed, partitions_for, read_table
 from tallyloom.llm.components import components
 
 #: Links need 100 * intersection >= PERCENT * union.
@@ -41,7 +44,11 @@ WIDTH = 5
 RARE = 4000
 #: Lists of up to so many sets yield their pairs at once; longer ones go by leaders.
 SHORT_LIST = 6
-POSTINGS_PER_TASK = 1_500_000
+POSTINGS_PER_TASK = 600_000
+#: Shingles (8 bytes each) that a task counts at once to find frequent ones.
+HELD = 1_000_000
+#: Up to so many ids (8 MB) of sets to compare are broadcast to the scan of the texts; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def _least_overlap(total: np.ndarray) -> np.ndarray:
@@ -66,14 +73,25 @@ def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray,
 
 
 def _frequent(width: int):
+    """Shingles that two or more sets of a task's run of HELD shingles have, and how many."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            values = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+            held.clear()
+            new = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
+            n = np.diff(np.append(new, len(values)))
+            many = n > 1
+            yield pa.record_batch([pa.array(values[new][many].view(np.int64)), pa.array(n[many])], names=["shingle", "n"])
+
         for batch in batches:
             for _, _, values, _ in _sets(batch.column("_text"), width):
-                values = np.sort(values)
-                new = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
-                n = np.diff(np.append(new, len(values)))
-                many = n > 1
-                yield pa.record_batch([pa.array(values[new][many].view(np.int64)), pa.array(n[many])], names=["shingle", "n"])
+                held.append(values)
+                if sum(map(len, held)) > HELD:
+                    yield from flush()
+        yield from flush()
 
     return run
 
@@ -87,8 +105,47 @@ def _segments(values: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> np.nda
     return values[np.repeat(at, lengths) + step]
 
 
+def _bitmaps(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """For each set the parity of its shingles over a power of two of bits, at least twice its size."""
+    n = np.diff(offsets)
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+    at = np.concatenate(([0], np.cumsum(bits)))
+    owner = np.repeat(np.arange(len(n)), n)
+    place = (values & (bits[owner] - 1).astype(np.uint64)).astype(np.int64) + at[owner]
+    data = np.packbits((np.bincount(place, minlength=at[-1]) & 1).astype(np.uint8), bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((at // 8).astype(np.int32)), pa.py_buffer(data)])
+
+
+def _not_ruled_out(low: np.ndarray, high: np.ndarray, n_low: np.ndarray, n_high: np.ndarray, bits_low: list[bytes], bits_high: list[bytes]) -> np.ndarray:
+    """Whether two sets, by their sizes and parity bitmaps at low[i] and high[i] of the lists, could be similar."""
+    keep = np.zeros(len(low), bool)
+    sizes_low, sizes_high = np.array([len(x) for x in bits_low])[low], np.array([len(x) for x in bits_high])[high]
+    for x, y in sorted(set(zip(sizes_low.tolist(), sizes_high.tolist(), strict=True))):
+        rows = np.flatnonzero((sizes_low == x) & (sizes_high == y))
+        for i in range(0, len(rows), 20_000):
+            r = rows[i : i + 20_000]
+            a = np.frombuffer(b"".join([bits_low[k] for k in low[r].tolist()]), np.uint64).reshape(len(r), -1)
+            b = np.frombuffer(b"".join([bits_high[k] for k in high[r].tolist()]), np.uint64).reshape(len(r), -1)
+            # A bitmap of half the bits is the two halves' difference.
+            while a.shape[1] > b.shape[1]:
+                a = a[:, : a.shape[1] // 2] ^ a[:, a.shape[1] // 2 :]
+            while b.shape[1] > a.shape[1]:
+                b = b[:, : b.shape[1] // 2] ^ b[:, b.shape[1] // 2 :]
+            total = n_low[r] + n_high[r]
+            keep[r] = total - np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) >= 2 * _least_overlap(total)
+    return keep
+
+
+def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose bitmaps don't rule out a link."""
+    for batch in batches:
+        at = np.arange(batch.num_rows)
+        keep = pa.array(_not_ruled_out(at, at, batch.column("na").to_numpy(), batch.column("nb").to_numpy(), batch.column("xa").to_pylist(), batch.column("xb").to_pylist()))
+        yield pa.record_batch([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+
 def _signatures(frequent, width: int):
-    """Size, 128-bit identity and ordered prefix of each set."""
+    """Size, 128-bit identity, parity bitmap and ordered prefix of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, rank = frequent.value  # sorted shingles; each one's rank by frequency
@@ -116,15 +173,15 @@ def _signatures(frequent, width: int):
                 take = np.where(n > 0, _prefix(n), 0)
                 prefix = _segments(order, offsets[:-1], take)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(take))).astype(np.int32)), pa.array(prefix.view(np.int64)))
-                yield pa.record_batch([keys[first:last], pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists], names=["_key", "n", "h1", "h2", "prefix"])
+                yield pa.record_batch([keys[first:last], pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), _bitmaps(values, offsets), lists], names=["_key", "n", "h1", "h2", "bitmap", "prefix"])
 
     return run
 
 
-def _gather(batches: Iterator[pa.RecordBatch], names: list[str]) -> list[np.ndarray]:
-    """A task's postings, sorted into lists by shingle and within a list by (size, set)."""
+def _gather(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
+    """A task's postings (shingle, set, n, at), sorted into lists by shingle and within a list by (size, set)."""
     table = pa.Table.from_batches(batches)
-    columns = [table.column(c).to_numpy() for c in names]
+    columns = [table.column(c).to_numpy() for c in ("shingle", "set", "n", "at")]
     order = np.lexsort((columns[1], columns[2], columns[0]))
     return [c[order] for c in columns]
 
@@ -159,7 +216,7 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = list(batches)
     if not table:
         return
-    shingle, sets, n, at = _gather(iter(table), ["shingle", "set", "n", "at"])
+    shingle, sets, n, at = _gather(iter(table))
     del table
     start = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1])))
     length = np.diff(np.append(start, len(shingle)))
@@ -188,21 +245,38 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(1, shingle[r], sets[r], n[r], at[r])
 
 
+class _Lists:
+    """A task's longer lists with the sets' components and bitmaps."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch]):
+        table = pa.Table.from_batches(list(batches))
+        columns = [table.column(c).to_numpy() for c in ("shingle", "set", "n", "at", "component")]
+        order = np.lexsort((columns[1], columns[2], columns[0]))
+        self.shingle, self.sets, self.n, self.at, self.component = (c[order] for c in columns)
+        self.ids, first = np.unique(columns[1], return_index=True)
+        self.sizes, self.bits = columns[2][first], table.column("bitmap").take(pa.array(first)).to_pylist()
+
+    def pairs(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        low, high = _distinct_pairs(parts)
+        i, j = np.searchsorted(self.ids, low), np.searchsorted(self.ids, high)
+        keep = _not_ruled_out(i, j, self.sizes[i], self.sizes[j], self.bits, self.bits)
+        return pa.record_batch([pa.array(low[keep]), pa.array(high[keep])], names=["a", "b"])
+
+
 def _later_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs between different components in lists that went by leaders."""
-    table = list(batches)
-    if not table:
+    """All pairs between different components."""
+    batches = list(batches)
+    if not batches:
         return
-    shingle, sets, n, at, component = _gather(iter(table), ["shingle", "set", "n", "at", "component"])
-    del table
-    start = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1])))
+    x = _Lists(batches)
+    start = np.flatnonzero(np.concatenate(([True], x.shingle[1:] != x.shingle[:-1])))
     parts, held = [], 0
-    for lo, hi in zip(start.tolist(), np.append(start[1:], len(shingle)).tolist(), strict=True):
-        c = component[lo:hi]
+    for lo, hi in zip(start.tolist(), np.append(start[1:], len(x.shingle)).tolist(), strict=True):
+        c = x.component[lo:hi]
         if (c == c[0]).all():
             continue
-        names, inverse, many = np.unique(c, return_inverse=True, return_counts=True)
-        m, p, s = n[lo:hi], at[lo:hi], sets[lo:hi]
+        _, inverse, many = np.unique(c, return_inverse=True, return_counts=True)
+        m, p, s = x.n[lo:hi], x.at[lo:hi], x.sets[lo:hi]
         largest = int(np.argmax(many))
         # Every pair between components has a side outside the largest one.
         for i in np.flatnonzero(inverse != largest).tolist():
@@ -215,12 +289,10 @@ def _later_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if ok.any():
                 parts.append((s[small[ok]], s[large[ok]]))
                 held += int(ok.sum())
-        if held > 2_000_000:
-            low, high = _distinct_pairs(parts)
-            yield pa.record_batch([pa.array(low), pa.array(high)], names=["a", "b"])
+        if held > 1_000_000:
+            yield x.pairs(parts)
             parts, held = [], 0
-    low, high = _distinct_pairs(parts)
-    yield pa.record_batch([pa.array(low), pa.array(high)], names=["a", "b"])
+    yield x.pairs(parts)
 
 
 def _full_sets(width: int):
@@ -233,12 +305,24 @@ def _full_sets(width: int):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct()
-    sets = materialize(docs.join(wanted, "_key", "left_semi").select("_key", "_text").mapInArrow(_full_sets(width), "id long, items array<long>"), "sets")
-    x = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
-    y = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
+def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their bitmaps leave, each once, in a written table."""
+    xa = classes.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("xa"))
+    xb = classes.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("xb"))
+    return materialize(pairs.distinct().join(xa, "a").join(xb, "b").mapInArrow(bytewords.tidy(_may_link), "a long, b long"), "pairs")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b), a written table, whose whole sets are similar enough."""
+    few = pairs.count() <= BROADCAST_IDS
+
+    def chosen(side: str) -> DataFrame:
+        """Only the sets that stand on this side of a pair are shuffled."""
+        ids = pairs.select(F.col(side).alias("id")).distinct()
+        return sets.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+
+    x = chosen("a").select(F.col("id").alias("a"), F.col("items").alias("x"))
+    y = chosen("b").select(F.col("id").alias("b"), F.col("items").alias("y"))
     both = pairs.join(x, "a").join(y, "b").withColumn("_common", F.size(F.array_intersect("x", "y")))
     return both.where(100 * F.col("_common") >= PERCENT * (F.size("x") + F.size("y") - F.col("_common"))).select("a", "b")
 
@@ -249,7 +333,7 @@ def join(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     sc = spark.sparkContext
     docs = keyed(documents.select("doc_id", "text")).select("_key", "doc_id", F.col("text").alias("_text"))
     texts = docs.select("_key", "_text")
-    seen = texts.select("_text").mapInArrow(_frequent(width), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    seen = texts.select("_text").mapInArrow(bytewords.tidy(_frequent(width)), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     total = docs.count()
     top = seen.where(F.col("n") >= max(SHORT_LIST, total // RARE)).toPandas()
     shingles = top["shingle"].to_numpy(np.int64).view(np.uint64)
@@ -259,19 +343,23 @@ def join(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     if not len(top):
         shingles, rank, order = np.array([2**64 - 1], np.uint64), np.zeros(1, np.uint64), np.zeros(1, np.int64)
     frequent = sc.broadcast((shingles[order], rank[order]))
-    base = materialize(texts.mapInArrow(_signatures(frequent, width), "_key long, n long, h1 long, h2 long, prefix array<long>"), "signatures")
-    classes = base.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("_key", "n", "prefix")).alias("s"), F.count(F.lit(1)).alias("copies"))
-    classes = materialize(classes.select("h1", "h2", F.col("s._key").alias("set"), F.col("s.n").alias("n"), F.col("s.prefix").alias("prefix")), "classes")
+    base = materialize(texts.mapInArrow(bytewords.tidy(_signatures(frequent, width)), "_key long, n long, h1 long, h2 long, bitmap binary, prefix array<long>"), "signatures")
+    classes = base.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("_key", "n", "bitmap", "prefix")).alias("s"))
+    classes = materialize(classes.select("h1", "h2", F.col("s._key").alias("set"), "s.n", "s.bitmap", "s.prefix"), "classes")
     postings = classes.select("set", "n", F.posexplode("prefix").alias("at", "shingle"))
     count = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
     tasks = partitions_for(count, POSTINGS_PER_TASK, sc.defaultParallelism)
-    found = materialize(postings.repartition(tasks, "shingle").mapInArrow(_first_pairs, _OUT_SCHEMA), "postings")
-    links = materialize(_verified(found.where("kind = 0").select("a", "b").distinct(), texts, width), "links")
-    part = components(links)
-    long = found.where("kind = 1").select("shingle", F.col("a").alias("set"), F.col("b").alias("n"), "at").join(part.withColumnRenamed("v", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
-    more = materialize(long.repartition(tasks, "shingle").mapInArrow(_later_pairs, "a long, b long").distinct(), "pairs")
-    links = links.union(_verified(more, texts, width)) if more.limit(1).collect() else links
-    whole = components(links)
+    found = materialize(postings.repartition(tasks, "shingle").mapInArrow(bytewords.tidy(_first_pairs), _OUT_SCHEMA), "postings")
+    pairs = _possible(found.where("kind = 0").select("a", "b"), classes)
+    long = found.where("kind = 1").select("shingle", F.col("a").alias("set"), F.col("b").alias("n"), "at").join(classes.select("set", "bitmap"), "set")
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("_key")).union(long.select("set")).distinct(), "wanted")
+    chosen = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "_key", "left_semi")
+    sets = materialize(chosen.mapInArrow(bytewords.tidy(_full_sets(width)), "id long, items array<long>"), "sets")
+    whole = components(_linked(pairs, sets))
+    apart = long.join(whole.withColumnRenamed("v", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+    more = materialize(apart.repartition(tasks, "shingle").mapInArrow(bytewords.tidy(_later_pairs), "a long, b long").distinct(), "pairs")
+    whole = components(whole.select(F.col("v").alias("a"), F.col("component").alias("b")).union(_linked(more, sets)))
+    discard(found, pairs, wanted, sets, more)
     members = base.select("_key", "n", "h1", "h2").join(classes.select("h1", "h2", "set"), ["h1", "h2"], "left")
     members = members.join(whole, F.col("set") == F.col("v"), "left")
     ids = docs.select("_key", "doc_id")
@@ -285,6 +373,36 @@ def with_component_id(joined: DataFrame) -> DataFrame:
     return joined.join(ids, "component")
 
 
+def representatives(documents: DataFrame) -> DataFrame:
+    """The documents, with all their columns, that are the first of their component by (doc_id nulls first, text)."""
+    docs = keyed(packed(documents))
+    gone = join(docs.select(F.col("_key").alias("doc_id"), "text")).where("_key != component").select("_key")
+    return docs.join(materialize(gone, "gone"), "_key", "left_anti").select("_row.*")
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = with_component_id(join(read_table(spark, sf_dir, "documents")))
     return out.select("doc_id", "n_shingles", "component_id", "set_id")
+
+
+OP7_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS shingles FROM d
+), e AS (
+  SELECT doc_id, len(shingles) AS n, unnest(shingles) AS x FROM s
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach(v, r) AS (
+  SELECT doc_id, doc_id FROM s UNION SELECT reach.v, links.b FROM reach JOIN links ON reach.r = links.a
+), component AS (
+  SELECT v, min(r) AS component_id FROM reach GROUP BY v
+), same AS (
+  SELECT s.doc_id, least(s.doc_id, min(b)) AS set_id FROM s LEFT JOIN links ON a = s.doc_id AND na = nb AND c = na GROUP BY s.doc_id
+)
+SELECT s.doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id, coalesce(set_id, s.doc_id) AS set_id
+FROM s JOIN component ON v = s.doc_id JOIN same ON same.doc_id = s.doc_id
+"""

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyloom.llm import bytewords
 from tallyloom.llm.common import keyed, materialize, partitions_for, read_table
 from tallyloom.llm.tokens import default_vocabulary, encoder
 
@@ -183,7 +184,7 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, end: int = END, vocabul
     spark = documents.sparkSession
     docs = keyed(documents.select("doc_id", "text"))
     run = _pieces(vocabulary or default_vocabulary(), capacity, end)
-    pieces = docs.select("_key", F.col("text").alias("_text")).mapInArrow(run, "_key long, piece int, start long, length long, ids_crc32 long")
+    pieces = docs.select("_key", F.col("text").alias("_text")).mapInArrow(bytewords.tidy(run), "_key long, piece int, start long, length long, ids_crc32 long")
     pieces = materialize(pieces, "pieces")
     parts = partitions_for(pieces.count(), RANKED_TOGETHER, 4)
     pieces = pieces.withColumn("_part", F.pmod(F.xxhash64("_key", "piece"), F.lit(parts)).cast("int"))

@@ -20,9 +20,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import keyed, let, materialize, read_table, words_of
+from tallyloom.llm.common import keyed, let, materialize, packed, read_table, words_of
 
 WINDOW = 5
+#: Up to so many ids (8 MB) of rejected documents are broadcast to the scan of the texts; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 SYMBOLS = r"[#*$%&|<>]"
 
 
@@ -242,11 +244,11 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, with all their columns, that the verdict keeps."""
-    keyed_docs = keyed(docs)
-    table = materialize(counts(keyed_docs, keep=["_key", "doc_id"]), "counts")
+    rows = keyed(packed(docs))
+    table = materialize(counts(rows, keep=["_key", "doc_id"]), "counts")
     found = rules_for(table, labels)
-    kept = table.where(~base_failed() & found.verdict()).select("_key")
-    return keyed_docs.join(kept, "_key", "left_semi").select(*docs.columns)
+    gone = table.where(base_failed() | ~found.verdict()).select("_key")
+    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "_key", "left_anti").select("_row.*")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm.decontaminate import op8_simhash_decontamination
 from tallyloom.llm.lm_scoring import op2_ppm_scoring
-from tallyloom.llm.ngram_join import op7_ngram_jaccard_join
+from tallyloom.llm.ngram_join import OP7_SQL, op7_ngram_jaccard_join
 from tallyloom.llm.packing import op6_best_fit_packing
 from tallyloom.llm.quality_rules import op3_quality_rules
 from tallyloom.llm.sharding import op4_consistent_hash_shards
@@ -37,4 +37,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The others can't be expressed, or not at the whole table's size; tests hold them against brute force."""
-    return {"op1_temporal_url_lists": OP1_SQL, "op5_warc_salvage": OP5_SQL}
+    return {"op1_temporal_url_lists": OP1_SQL, "op5_warc_salvage": OP5_SQL, "op7_ngram_jaccard_join": OP7_SQL}

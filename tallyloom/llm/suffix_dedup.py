@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.llm import bytewords
-from tallyloom.llm.common import keyed, materialize, partitions_for, read_table
+from tallyloom.llm.common import keyed, materialize, packed, partitions_for, read_table
 
 LENGTH = 100
 GRAM = 20
@@ -291,13 +291,13 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     ids = later.select("_key")
     firsts = docs.join(F.broadcast(ids) if later.count() <= BROADCAST_ROWS else ids, "_key", "left_anti")
     total = known.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
-    rows = firsts.mapInArrow(_cut_up(length), _SCHEMA).repartition(partitions_for(total, BYTES_PER_TASK, cores), "gram")
-    met = materialize(rows.mapInArrow(_meet, _SCHEMA), "met")
+    rows = firsts.mapInArrow(bytewords.tidy(_cut_up(length)), _SCHEMA).repartition(partitions_for(total, BYTES_PER_TASK, cores), "gram")
+    met = materialize(rows.mapInArrow(bytewords.tidy(_meet), _SCHEMA), "met")
     need = met.where(F.col("kind") == NEED)
     wanted = need.groupBy("_key").agg(F.collect_list(F.struct("gram", "start", "size")).alias("wanted"))
     many = need.count()
-    fetched = docs.join(wanted, "_key").mapInArrow(_fetch, "gram long, _key long, start int, bytes binary")
-    ends = fetched.repartition(partitions_for(many, SEGMENTS_PER_TASK, cores), "gram").mapInArrow(_factors(length), "_key long, start int, size int")
+    fetched = docs.join(wanted, "_key").mapInArrow(bytewords.tidy(_fetch), "gram long, _key long, start int, bytes binary")
+    ends = fetched.repartition(partitions_for(many, SEGMENTS_PER_TASK, cores), "gram").mapInArrow(bytewords.tidy(_factors(length)), "_key long, start int, size int")
     found = later.unionByName(met.where(F.col("kind") == SPAN).select("_key", "start", "size")).unionByName(ends)
     return found.groupBy("_key").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
 
@@ -334,7 +334,7 @@ def dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     docs = keyed(documents.select("doc_id", "text")).select("_key", "doc_id", F.col("text").alias("_text"))
     out = docs.join(spans(docs.select("_key", "_text"), length), "_key", "left").select("doc_id", "_text", "spans")
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return out.mapInArrow(_digests, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return out.mapInArrow(bytewords.tidy(_digests), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,16 +343,17 @@ def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, cuts in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             # A character that a cut has split goes as well.
             texts.append(text if not cuts or text is None else _kept(memoryview(text.encode()), cuts)[0].decode("utf-8", "ignore"))
-        names = [n for n in batch.schema.names if n != "spans"]
-        yield pa.record_batch([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names=names)
+        yield pa.record_batch([batch.column("_row"), pa.array(texts, pa.string())], names=["_row", "text"])
 
 
 def cut_documents(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents with all their columns; text without the bytes that repeat earlier ones."""
-    docs = keyed(documents)
-    found = spans(docs.select("_key", F.col("text").alias("_text")), length).withColumnRenamed("_key", "_id")
-    out = docs.join(found, F.col("_key") == F.col("_id"), "left").drop("_key", "_id")
-    return out.mapInArrow(_cut_texts, T.StructType(documents.schema.fields))
+    docs = keyed(packed(documents))
+    found = spans(docs.select("_key", F.col("text").alias("_text")), length)
+    out = docs.join(found, "_key", "left").select(F.col("_row").dropFields("text").alias("_row"), "text", "spans")
+    rest = T.StructType([f for f in documents.schema.fields if f.name != "text"])
+    cut = out.mapInArrow(bytewords.tidy(_cut_texts), T.StructType([T.StructField("_row", rest), T.StructField("text", T.StringType())]))
+    return cut.select(*("text" if c == "text" else F.col(f"_row.`{c}`") for c in documents.columns))
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

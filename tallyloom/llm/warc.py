@@ -34,6 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.llm import bytewords
 from tallyloom.llm.common import materialize, partitions_for, read_table, shared_path, ship
 from tallyloom.llm.store import open_file, write_file
 
@@ -287,7 +288,7 @@ def write(pages: DataFrame, root: str, least: int = LEAST, file_bytes: int = FIL
     joined = rows.join(leaders, (F.col("digest") == F.col("d")) & (F.col("size") == F.col("s")) & F.col("page_id").isNotNull(), "left")
     revisit = F.when(F.col("leader") != F.col("page_id"), F.col("leader"))
     out = joined.select("page_id", "url", "html", "digest", revisit.alias("refers_to"))
-    return materialize(out.mapInArrow(_write(root, file_bytes), "path string, n_records long, n_bytes long"), "manifest")
+    return materialize(out.mapInArrow(bytewords.tidy(_write(root, file_bytes)), "path string, n_records long, n_bytes long"), "manifest")
 
 
 _SCHEMA = "path string, offset long, gap_length long, gap_reason string, record_id string, record_type string, uri string, payload_bytes long, payload_digest string, refers_to string"
@@ -329,7 +330,7 @@ def read(paths: DataFrame) -> DataFrame:
     """Records and gaps of the archives in column `path`: of a record gap_length is null, of a gap record_id."""
     ship(paths.sparkSession)
     files = paths.select("path").repartition(partitions_for(paths.count(), 2, 1), "path")
-    return files.mapInArrow(_read, _SCHEMA)
+    return files.mapInArrow(bytewords.tidy(_read), _SCHEMA)
 
 
 def op5_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
