@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Most bytes of an Arrow batch.
 ARROW_BYTES = str(4 << 20)
+#: Rows that the Parquet reader decodes at once; texts of 4096 rows would fill arrays of many MB.
+READ_ROWS = "1024"
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 
@@ -28,7 +30,7 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives executors this package's code, once for each context (they need not have it on their path), and bounds Arrow batches."""
+    """Gives executors this package's code, once for each context (they need not have it on their path), and bounds batches."""
     sc = spark.sparkContext
     if not getattr(sc, "_tallyloom_shipped", False):
         top = Path(__file__).resolve().parents[2]
@@ -38,6 +40,7 @@ def ship(spark: SparkSession) -> None:
         sc._tallyloom_shipped = True
     # Texts are long: a batch between the JVM and Python is bounded by its bytes, not by its rows alone.
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
