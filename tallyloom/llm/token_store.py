@@ -6,7 +6,7 @@ replaces their occurrences from left to right, the more frequent pair first wher
 next round counts pairs of what is left, new symbols included.
 
 File (little-endian): magic, counts, then arrays
-  documents: key and number of ids of each, in ascending order of doc_id
+  documents: key, doc_id, whether it is null, and number of ids of each, in ascending order of keys
   alphabet:  the ids that occur; symbol i is the i-th of them
   rules:     left and right symbol of each nonterminal; nonterminal i is symbol len(alphabet) + i
   lengths:   how many ids each nonterminal expands to
@@ -37,14 +37,14 @@ from pyspark.sql import functions as F
 from tallyloom.llm import bytewords
 from tallyloom.llm.common import keyed, materialize, partitions_for, read_table, shared_path
 from tallyloom.llm.store import read_file, write_file
-from tallyloom.llm.tokens import default_vocabulary, encoder
+from tallyloom.llm.tokens import default_vocabulary, encoder, grouped
 
 END = 0
-MAGIC = b"TLRP0001"
+MAGIC = b"TLRP0002"
 BLOCK = 1024
 #: Ids after which a shard ends, rounds of replacement, pairs replaced in a round, and the least count of such a pair.
 SHARD_IDS, ROUNDS, PAIRS, LEAST = 2_000_000, 3, 5000, 16
-TEXTS = 1024
+TEXTS = 2048
 BYTES_PER_TASK = 24 << 20
 _BINS = 20
 
@@ -52,6 +52,8 @@ _BINS = 20
 @dataclass
 class Shard:
     keys: np.ndarray
+    doc_ids: np.ndarray
+    nulls: np.ndarray
     counts: np.ndarray
     alphabet: np.ndarray
     rules: np.ndarray
@@ -123,14 +125,17 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndar
     return alphabet.astype(np.uint32), every.astype(np.uint32), lengths[len(alphabet) :].astype(np.uint32), symbols.astype(np.uint32)
 
 
-def pack_shard(keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> list[bytes]:
+def pack_shard(keys: np.ndarray, counts: np.ndarray, ids: np.ndarray, doc_ids: np.ndarray | None = None, nulls: np.ndarray | None = None) -> list[bytes]:
+    """The parts of a shard's file. doc_ids: the keys if not given."""
+    doc_ids = keys if doc_ids is None else doc_ids
+    nulls = np.zeros(len(keys), bool) if nulls is None else nulls
     alphabet, rules, lengths, symbols = compress(ids)
     sizes = np.concatenate((np.ones(len(alphabet), np.int64), lengths.astype(np.int64)))
     blocks = -(-len(symbols) // BLOCK)
     index = np.concatenate(([0], np.cumsum(np.add.reduceat(sizes[symbols], np.arange(0, len(symbols), BLOCK)))))[:blocks] if blocks else np.zeros(0, np.int64)
     wide = 2 if len(sizes) <= 65536 else 4
     head = struct.pack("<8sIIQQQB", MAGIC, len(alphabet), len(rules), len(keys), len(symbols), len(index), wide)
-    return [head, keys.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), alphabet.astype("<u4").tobytes(), rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), index.astype("<u8").tobytes(), symbols.astype(f"<u{wide}").tobytes()]
+    return [head, keys.astype("<i8").tobytes(), doc_ids.astype("<i8").tobytes(), nulls.astype("u1").tobytes(), counts.astype("<u4").tobytes(), alphabet.astype("<u4").tobytes(), rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), index.astype("<u8").tobytes(), symbols.astype(f"<u{wide}").tobytes()]
 
 
 def parse_shard(data: bytes) -> Shard:
@@ -146,14 +151,14 @@ def parse_shard(data: bytes) -> Shard:
         at += out.nbytes
         return out
 
-    keys, counts, alphabet, rules, lengths, index = take("<i8", n_docs), take("<u4", n_docs), take("<u4", n_ids), take("<u4", 2 * n_rules), take("<u4", n_rules), take("<u8", n_index)
-    return Shard(keys, counts, alphabet, rules.reshape(-1, 2), lengths, take(f"<u{wide}", n_symbols), index)
+    keys, doc_ids, nulls, counts, alphabet, rules, lengths, index = take("<i8", n_docs), take("<i8", n_docs), take("u1", n_docs).astype(bool), take("<u4", n_docs), take("<u4", n_ids), take("<u4", 2 * n_rules), take("<u4", n_rules), take("<u8", n_index)
+    return Shard(keys, doc_ids, nulls, counts, alphabet, rules.reshape(-1, 2), lengths, take(f"<u{wide}", n_symbols), index)
 
 
 def _pool(s: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expansions of all symbols laid end to end, with where each starts and its size."""
-    size = np.concatenate((np.ones(len(s.alphabet), np.int64), s.lengths.astype(np.int64)))
-    start = np.cumsum(size) - size
+    size = np.concatenate((np.ones(len(s.alphabet), np.int32), s.lengths.astype(np.int32)))
+    start = (np.cumsum(size) - size).astype(np.int32)
     pool = np.zeros(int(size.sum()), np.uint32)
     pool[: len(s.alphabet)] = s.alphabet
     # A rule refers to earlier symbols only: in order, each is filled from those before.
@@ -171,7 +176,8 @@ def expand(s: Shard, symbols: np.ndarray, pool: tuple[np.ndarray, np.ndarray, np
     ends = np.cumsum(n)
     if not len(ends):
         return np.zeros(0, np.uint32)
-    return data[np.repeat(start[symbols] - (ends - n), n) + np.arange(ends[-1])]
+    kind = np.int32 if ends[-1] < 1 << 31 else np.int64
+    return data[np.repeat(start[symbols] - (ends - n).astype(kind), n) + np.arange(ends[-1], dtype=kind)]
 
 
 def document(s: Shard, i: int, pool: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
@@ -189,29 +195,32 @@ def document(s: Shard, i: int, pool: tuple[np.ndarray, np.ndarray, np.ndarray] |
 def _writer(root: str, vocabulary: str, end: int, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, partition = encoder(vocabulary), TaskContext.get().partitionId()
-        keys: list[np.ndarray] = []
-        ids: list[np.ndarray] = []
+        last = np.uint32(end).tobytes()
+        docs: list[pa.Table] = []
+        counts: list[int] = []
+        parts: list[bytes] = []
         held = shards = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal keys, ids, held, shards
+            nonlocal docs, counts, parts, held, shards
             path = f"{root}/part-{partition:06d}-{shards:05d}.tlrp"
-            counts = np.array([len(x) for x in ids])
-            size = write_file(path, pack_shard(np.concatenate(keys), counts, np.concatenate(ids)))
-            out = pa.record_batch([pa.array([path]), pa.array([partition], pa.int32()), pa.array([shards], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([held], pa.int64()), pa.array([size], pa.int64())], names=["path", "part", "shard", "n_docs", "n_ids", "n_bytes"])
-            keys, ids, held, shards = [], [], 0, shards + 1
+            table = pa.concat_tables(docs)
+            names = table.column("doc_id").combine_chunks()
+            packed = pack_shard(table.column("_key").to_numpy(), np.array(counts), np.frombuffer(b"".join(parts), np.uint32), names.cast(pa.int64()).fill_null(0).to_numpy(), names.is_null().to_numpy(zero_copy_only=False))
+            size = write_file(path, packed)
+            out = pa.record_batch([pa.array([path]), pa.array([partition], pa.int32()), pa.array([shards], pa.int32()), pa.array([len(counts)], pa.int64()), pa.array([held], pa.int64()), pa.array([size], pa.int64())], names=["path", "part", "shard", "n_docs", "n_ids", "n_bytes"])
+            docs, counts, parts, held, shards = [], [], [], 0, shards + 1
             return out
 
-        for batch in batches:
-            for i in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(i, TEXTS)
-                keys.append(part.column("_key").to_numpy())
-                for x in tool.encode([t or "" for t in part.column("_text").to_pylist()]):
-                    ids.append(np.append(x, np.uint32(end)))
-                    held += len(ids[-1])
-                if held >= shard_ids:
-                    yield flush()
-        if keys:
+        for part in grouped(batches, TEXTS):
+            docs.append(part.select(["_key", "doc_id"]))
+            for x in tool.encode([t or "" for t in part.column("_text").to_pylist()]):
+                parts += (x.data, last)
+                counts.append(len(x) + 1)
+                held += len(x) + 1
+            if held >= shard_ids:
+                yield flush()
+        if docs:
             yield flush()
 
     return run
@@ -220,10 +229,10 @@ def _writer(root: str, vocabulary: str, end: int, shard_ids: int):
 def write(documents: DataFrame, root: str, vocabulary: str | None = None, end: int = END, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Writes all documents to files under root. Returns the manifest: path, part, shard, n_docs, n_ids, n_bytes, start (ids before the file).
 
-    documents: _key, text. Parts hold ascending ranges of keys, and shards follow within a part.
+    documents: _key, doc_id (an integer), text. Parts hold ascending ranges of keys, and shards follow within a part.
     """
     sc = documents.sparkSession.sparkContext
-    docs = documents.select("_key", F.col("text").alias("_text"))
+    docs = documents.select("_key", "doc_id", F.col("text").alias("_text"))
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of the files, as the planner knows it
     if size > 1 << 55:  # it doesn't
         size = docs.agg(F.sum(F.octet_length("_text").cast("long"))).first()[0] or 0
@@ -244,17 +253,16 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = expand(s, s.symbols, pool)
             ends = np.cumsum(s.counts.astype(np.int64))
             crcs = [zlib.crc32(ids[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-            yield pa.record_batch([pa.array(s.keys), pa.array(start + ends - s.counts), pa.array(s.counts.astype(np.int64)), pa.array(crcs, pa.int64())], names=["_key", "start", "n_tokens", "ids_crc32"])
+            yield pa.record_batch([pa.array(s.keys), pa.array(s.doc_ids, mask=s.nulls), pa.array(start + ends - s.counts), pa.array(s.counts.astype(np.int64)), pa.array(crcs, pa.int64())], names=["_key", "doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """_key, start, n_tokens, ids_crc32 of every document, from the files; a task reads one file at a time."""
+    """_key, doc_id, start, n_tokens, ids_crc32 of every document, from the files; a task reads one file at a time."""
     files = manifest.select("path", "start").repartition(partitions_for(manifest.count(), 4, 1), "path")
-    return files.mapInArrow(bytewords.tidy(_read), "_key long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(bytewords.tidy(_read), "_key long, doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_repair_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = keyed(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     manifest = materialize(write(docs, shared_path(spark, "tokens")), "manifest")
-    # The planner takes what a task reads from a few file names for small: neither side may be broadcast.
-    return read(manifest).hint("merge").join(docs.select("_key", "doc_id").hint("merge"), "_key").select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")

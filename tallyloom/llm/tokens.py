@@ -9,8 +9,10 @@ safe (runs of white space at a space, special tokens) go to the library whole.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Pieces held with their ids in a worker; beyond that, new ones are encoded each time.
 PIECES = 1_300_000
@@ -77,6 +79,19 @@ class Encoder:
         return out
 
 
+def grouped(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches put together to about `rows` rows: a piece that is not known is encoded once for each group."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            held.append(batch.slice(i, rows))
+            if sum(b.num_rows for b in held) >= rows:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 _encoders: dict[str, Encoder] = {}
 
 

@@ -461,11 +461,11 @@ def test_repair_round_trip():
 def test_token_store(spark, odd, empty):
     docs = keyed(odd.select("doc_id", "text"))
     manifest = token_store.write(docs, shared_path(spark, "tokens"), shard_ids=3000).cache()
-    got = {r._key: (r.start, r.n_tokens, r.ids_crc32) for r in token_store.read(manifest).collect()}
+    got = {r._key: (r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_store.read(manifest).collect()}
     at, want = 0, {}
     for r in docs.orderBy("_key").collect():
         ids = np.append(plain_ids(r.text), np.uint32(token_store.END))
-        want[r._key] = (at, len(ids), zlib.crc32(ids))
+        want[r._key] = (r.doc_id, at, len(ids), zlib.crc32(ids))
         at += len(ids)
     assert got == want and manifest.count() > 2
     assert token_store.read(token_store.write(keyed(empty.select("doc_id", "text")), shared_path(spark, "tokens"))).count() == 0
