@@ -1,8 +1,10 @@
 """Benchmark decontamination by SimHash over item-sized windows, with DataFrame functions only.
 
 Texts are lower-cased words; shingles are `WIDTH` words. A window has as many shingles as an item
-and starts where it lines up a shared shingle with its place in the item: a window without a
-shared shingle has similarity 0, and of a run of shared shingles in line only the first is taken.
+and may start at any shingle, wherever the shared shingles stand in the item: the similarity takes
+no account of order. With o shingles in common, a window of w and an item of n have similarity
+o / (w + n - o), so one that reaches s has o >= s (w + n) / (1 + s). Windows in which fewer
+positions hold a shingle of some item of that size can't reach s and aren't formed; all others are.
 Window and item fingerprints (64 bits, the majority of their shingles' hashes) meet by multi-index
 Hamming blocks: both are cut into RADIUS + 1 blocks, and two fingerprints within RADIUS agree in at
 least one of them. Candidates are then held to their exact similarity: the weighted Jaccard index,
@@ -72,6 +74,21 @@ def weighted_jaccard(a: Column, b: Column) -> Column:
     return shared / (F.size(a) + F.size(b) - shared)
 
 
+def window_starts(hits: Column, m: Column, n: Column, similarity: float) -> Column:
+    """Ascending starts of all windows of n of m shingles that hold enough of `hits` (ascending positions) to reach `similarity`."""
+    w = F.least(m, n)
+    need = F.greatest(F.lit(1), F.ceil(similarity / (1 + similarity) * (w + n) - 1e-9).cast("int"))
+
+    def after(a: Column, i: Column) -> Column:
+        """Starts after hit i - 1 and not after hit i, from which hits i to i + need - 1 are reached."""
+        low = F.greatest(F.lit(0), F.coalesce(F.get(a, i - 1) + 1, F.lit(0)), F.get(a, i + need - 1) - w + 1)
+        high = F.least(F.get(a, i), m - w)
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    every = lambda a: F.flatten(F.transform(F.sequence(F.lit(0), F.size(a) - need), lambda i: after(a, i)))
+    return F.when(F.size(hits) >= need, let(hits, every)).otherwise(F.array().cast("array<int>"))
+
+
 def search(documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """_key, doc_id, item_id, start (in shingles), similarity, hamming: the best window of each document and item that reach `similarity`."""
     docs = keyed(documents.select("doc_id", "text"))
@@ -81,18 +98,19 @@ def search(documents: DataFrame, benchmark: DataFrame, similarity: float = SIMIL
     slices = partitions_for(size, SLICE_SHINGLES, 1)
     known = items.withColumn("_code", fingerprint(F.col("_whole"))).withColumn("_n", F.size("_whole"))
     texts = docs.select("_key", shingles(F.col("text")).alias("_shingles"))
+    texts = texts.select("_key", F.size("_shingles").alias("_m"), F.posexplode("_shingles").alias("_at", "_shingle"))
     found = None
     for i in range(slices):
         part = known.where(F.pmod(F.xxhash64("_item"), F.lit(slices)) == i)
-        anchors = part.select("_n", "_whole", F.posexplode("_whole").alias("_place", "_shingle"))
-        anchors = anchors.select("_shingle", "_n", "_place", F.get("_whole", F.col("_place") - 1).alias("_before")).distinct()
-        hits = texts.select("_key", "_shingles", F.posexplode_outer("_shingles").alias("_at", "_shingle")).join(F.broadcast(anchors), "_shingle")
-        # A hit whose line holds an earlier one gives the same window.
-        first = ~F.coalesce(F.get("_shingles", F.col("_at") - 1) == F.col("_before"), F.lit(False))
-        start = F.greatest(F.lit(0), F.least(F.col("_at") - F.col("_place"), F.size("_shingles") - F.col("_n")))
-        windows = hits.where(first).select("_key", "_n", start.alias("start"), F.slice("_shingles", start + 1, F.col("_n")).alias("_window"))
-        windows = windows.dropDuplicates(["_key", "_n", "start"])
-        windows = windows.withColumn("_print", fingerprint(F.col("_window")))
+        shared = part.select("_n", F.explode("_whole").alias("_shingle")).distinct()
+        hits = texts.join(F.broadcast(shared), "_shingle").groupBy("_key", "_m", "_n").agg(F.array_sort(F.collect_list("_at")).alias("_hits"))
+        starts = hits.select("_key", "_n", window_starts(F.col("_hits"), F.col("_m"), F.col("_n"), similarity).alias("_starts"))
+        # Written, so that the planner knows how few texts are left to be cut into windows.
+        starts = materialize(starts.where(F.size("_starts") > 0), "starts")
+        windows = docs.select("_key", "text").join(starts, "_key").select("_key", "_n", "_starts", shingles(F.col("text")).alias("_shingles"))
+        windows = windows.select("_key", "_n", "_shingles", F.explode("_starts").alias("start"))
+        windows = windows.select("_key", "_n", "start", F.slice("_shingles", F.col("start") + 1, F.col("_n")).alias("_window"))
+        windows = windows.withColumn("_print", let(F.col("_window"), fingerprint))
         near = windows.select("*", F.inline(blocks(F.col("_print")))).join(F.broadcast(part.select("_item", "_n", "_code", F.inline(blocks(F.col("_code"))))), ["_n", "block", "value"])
         near = near.withColumn("hamming", F.bit_count(F.col("_print").bitwiseXOR(F.col("_code")))).where(F.col("hamming") <= RADIUS)
         near = near.dropDuplicates(["_key", "start", "_item"]).join(F.broadcast(part.select("_item", "item_id", "_whole")), "_item")

@@ -421,6 +421,39 @@ def test_decontamination_finds_all_windows(spark, documents):
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
 
 
+def test_decontamination_finds_windows_in_another_order(spark):
+    """Halves swapped; and edits at both ends with insertions, so that no shared shingle stands in line with its place."""
+    rnd = random.Random(10)
+    items = [(n, " ".join(f"v{n}x{k}" for k in range(n))) for n in (50, 100, 200)]
+    docs = []
+    for n, text in items:
+        w = text.split()
+        swapped = w[n // 2 :] + w[: n // 2]
+        edited = ["new", *w[1 : n // 2], "put", *w[n // 2 : -1], "new"]
+        for k, x in enumerate((swapped, edited, swapped[: n // 4] + ["put"] + swapped[n // 4 :], w[n // 4 :] + w[: n // 4])):
+            docs.append((10 * n + k, " ".join([*(f"f{j}" for j in range(rnd.randint(0, 30))), *x, *(f"g{j}" for j in range(rnd.randint(0, 30)))])))
+    found = decontaminate.search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): r.similarity for r in found.collect()}
+    want = plain_hits(docs, items)
+    assert {(10 * n, n) for n, _ in items[1:]} <= want.keys()
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
+
+
+def test_window_starts(spark):
+    rnd = random.Random(12)
+    rows = []
+    for _ in range(300):
+        m, n = rnd.randint(1, 30), rnd.randint(1, 12)
+        rows.append((sorted(rnd.sample(range(m), rnd.randint(1, m))), m, n))
+    df = spark.createDataFrame(rows, "hits array<int>, m int, n int")
+    for similarity in (0.3, 0.8, 1.0):
+        got = df.select("hits", "m", "n", decontaminate.window_starts(F.col("hits"), F.col("m"), F.col("n"), similarity).alias("starts")).collect()
+        for r in got:
+            w = min(r.m, r.n)
+            of = lambda p: sum(p <= h < p + w for h in r.hits)  # noqa: B023, E731
+            assert r.starts == [p for p in range(r.m - w + 1) if of(p) and of(p) / (w + r.n - of(p)) >= similarity]
+
+
 def test_hamming_blocks_meet(spark):
     rnd = random.Random(11)
     pairs = []
