@@ -1,9 +1,9 @@
 """Token ids on disk, Re-Pair compressed by shard, with random access to each document.
 
 Re-Pair replaces frequent pairs of neighbouring symbols by new symbols (nonterminals), again and
-again. Here a round counts all pairs of a shard, takes the most frequent ones together, and
-replaces their occurrences from left to right, the more frequent pair first where two overlap. The
-next round counts pairs of what is left, new symbols included.
+again, until no pair occurs LEAST times without overlap. Here a round counts all pairs of a shard and
+replaces them together, the more frequent pair first where two overlap, a run of one pair from left
+to right. The next round counts pairs of what is left, new symbols included.
 
 File (little-endian): magic, counts, then arrays
   documents: key, doc_id, whether it is null, and number of ids of each, in ascending order of keys
@@ -11,7 +11,8 @@ File (little-endian): magic, counts, then arrays
   rules:     left and right symbol of each nonterminal; nonterminal i is symbol len(alphabet) + i
   lengths:   how many ids each nonterminal expands to
   index:     ids before each block of BLOCK symbols, so that any id is found by one bisection
-  symbols:   what is left of the shard, 2 bytes each if they fit, else 4
+  symbols:   what is left of the shard
+Rules, lengths and symbols are packed to as many bits each as the largest of them needs.
 
 Defined results
   null or empty text  the end id alone
@@ -40,13 +41,16 @@ from tallyloom.llm.store import read_file, write_file
 from tallyloom.llm.tokens import default_vocabulary, encoder, grouped
 
 END = 0
-MAGIC = b"TLRP0002"
+MAGIC = b"TLRP0003"
 BLOCK = 1024
-#: Ids after which a shard ends, rounds of replacement, pairs replaced in a round, and the least count of such a pair.
-SHARD_IDS, ROUNDS, PAIRS, LEAST = 2_000_000, 3, 5000, 16
+#: Ids after which a shard ends, and the least count of a pair that is replaced.
+SHARD_IDS, LEAST = 2_000_000, 2
 TEXTS = 2048
 BYTES_PER_TASK = 24 << 20
-_BINS = 20
+_BINS = 22
+_HEAD = struct.Struct("<8sIIQQQBBB")
+#: Numbers packed at once; a multiple of 8, so that each lot ends with a whole byte.
+_CHUNK = 1 << 18
 
 
 @dataclass
@@ -62,58 +66,64 @@ class Shard:
     index: np.ndarray
 
 
-def _pick(code: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
-    """(the most frequent pairs, in order; position -> rank, or -1 where none of them begins)."""
-    ordered = np.sort(code)
+def _apart(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of the pairs at positions `at` (ascending) stay: taken by rank, each unless a neighbour that overlaps it was taken before."""
+    here = np.arange(len(at))
+    near = at[1:] == at[:-1] + 1
+    # From the best of its neighbourhood outward, every second one is taken; where two slopes meet, the last needs both sides free.
+    left = here - np.maximum.accumulate(np.where(np.concatenate(([False], near & (rank[1:] > rank[:-1]))), 0, here))
+    right = np.minimum.accumulate(np.where(np.concatenate((near & (rank[:-1] > rank[1:]), [False])), len(at), here)[::-1])[::-1] - here
+    return (left | right) & 1 == 0
+
+
+def _pick(code: np.ndarray, half: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs that occur `least` times, the most frequent first; positions to replace, which don't overlap; the index of the pair at each)."""
+    none = np.zeros(0, np.int64)
+    # Of a run of one pair (aaa) every second counts, from the left.
+    live = np.ones(len(code), bool)
+    same = np.flatnonzero(code[1:] == code[:-1])
+    if len(same):
+        head = np.concatenate(([True], same[1:] != same[:-1] + 1))
+        turn = np.arange(len(same)) - np.flatnonzero(head)[np.cumsum(head) - 1]
+        live[same[turn % 2 == 0] + 1] = False
+    ordered = np.sort(code[live])
     new = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
     counts = np.diff(np.append(new, len(ordered)))
-    often = np.flatnonzero(counts >= LEAST)
-    pairs, counts = ordered[new[often]], counts[often]
-    pairs = pairs[np.lexsort((pairs, -counts))[:PAIRS]]
+    often = np.flatnonzero(counts >= least)
+    if not len(often):
+        return ordered[:0], none, none
+    pairs = ordered[new[often]]
+    pairs = pairs[np.argsort(-counts[often], kind="stable")]
     # A table of bins finds a position's pair; of pairs that share a bin the more frequent one stays for this round.
     bins = lambda x: ((x * (np.uint32(2654435769) if half == 16 else np.uint64(0x9E3779B97F4A7C15))) >> x.dtype.type(2 * half - _BINS)).astype(np.uint32)
     _, first = np.unique(bins(pairs), return_index=True)
     pairs = pairs[np.sort(first)]
-    if not len(pairs):
-        return pairs, np.full(len(code), -1, np.int16)
-    table = np.zeros(1 << _BINS, np.int16)
-    table[bins(pairs)] = np.arange(len(pairs), dtype=np.int16)
+    table = np.zeros(1 << _BINS, np.int32)
+    table[bins(pairs)] = np.arange(len(pairs), dtype=np.int32)
     rank = table[bins(code)]
-    rank[pairs[rank] != code] = -1
-    return pairs, rank
+    at = np.flatnonzero(live & (pairs[rank] == code))
+    rank = rank[at]
+    stay = _apart(at, rank)
+    # The first pair loses nothing to others; one that is left too few places waits, and is counted again in the next round.
+    enough = np.bincount(rank[stay], minlength=len(pairs)) >= least
+    stay &= enough[rank]
+    return pairs[enough], at[stay], (np.cumsum(enough) - 1)[rank[stay]]
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(alphabet, rules, lengths, symbols) of one shard. Symbol i is an id of the alphabet, or nonterminal i - len(alphabet)."""
     seen = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
     alphabet = np.flatnonzero(seen)
     narrow = np.zeros(len(seen), np.uint32)
     narrow[alphabet] = np.arange(len(alphabet), dtype=np.uint32)
-    half = 16 if len(alphabet) + rounds * PAIRS <= 1 << 16 else 32
+    half = 16 if len(alphabet) <= 1 << 16 else 32
     symbols = narrow[ids].astype(np.uint32 if half == 16 else np.uint64)
     rules: list[np.ndarray] = []
     lengths = np.ones(len(alphabet), np.int64)
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        code = (symbols[:-1] << symbols.dtype.type(half)) | symbols[1:]
-        pairs, rank = _pick(code, half)
+    while len(symbols) > 1:
+        pairs, at, r = _pick((symbols[:-1] << symbols.dtype.type(half)) | symbols[1:], half, least)
         if not len(pairs):
             break
-        at = np.flatnonzero(rank >= 0)
-        r = rank[at]
-        # Where two overlap the more frequent one stays; of a run of one pair (aaa) every second from the left.
-        near = np.flatnonzero(at[1:] == at[:-1] + 1)
-        drop = np.zeros(len(at), bool)
-        drop[near[r[near] > r[near + 1]]] = True
-        drop[near[r[near] < r[near + 1]] + 1] = True
-        same = near[r[near] == r[near + 1]]
-        if len(same):
-            head = np.concatenate(([True], same[1:] != same[:-1] + 1))
-            turn = np.arange(len(same)) - np.flatnonzero(head)[np.cumsum(head) - 1]
-            drop[same[turn % 2 == 0] + 1] = True
-        # What survives a neighbour that is dropped itself waits for the next round.
-        at, r = at[~drop], r[~drop]
         left, right = (pairs >> pairs.dtype.type(half)).astype(np.int64), (pairs & pairs.dtype.type((1 << half) - 1)).astype(np.int64)
         symbols[at] = (len(lengths) + r).astype(symbols.dtype)
         keep = np.ones(len(symbols), bool)
@@ -121,10 +131,34 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndar
         symbols = symbols[keep]
         rules.append(np.stack((left, right), axis=1))
         lengths = np.concatenate((lengths, lengths[left] + lengths[right]))
+        if half == 16 and len(lengths) > 1 << 16:
+            half, symbols = 32, symbols.astype(np.uint64)
     every = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     return alphabet.astype(np.uint32), every.astype(np.uint32), lengths[len(alphabet) :].astype(np.uint32), symbols.astype(np.uint32)
 
 
+def _narrow(numbers: np.ndarray, width: int) -> bytes:
+    """numbers of `width` bits each, end to end."""
+    parts = []
+    for i in range(0, len(numbers), _CHUNK):
+        part = numbers[i : i + _CHUNK]
+        bits = np.empty((len(part), width), np.uint8)
+        for k in range(width):
+            bits[:, k] = (part >> np.uint32(k)) & np.uint32(1)
+        parts.append(np.packbits(bits).tobytes())
+    return b"".join(parts)
+
+
+def _widen(data: np.ndarray, n: int, width: int) -> np.ndarray:
+    out = np.zeros(n, np.uint32)
+    for i in range(0, n, _CHUNK):
+        part = out[i : i + _CHUNK]
+        bits = np.unpackbits(data[i * width // 8 :], count=len(part) * width).reshape(len(part), width)
+        for k in range(width):
+            part |= bits[:, k].astype(np.uint32) << np.uint32(k)
+    return out
+
+
 def pack_shard(keys: np.ndarray, counts: np.ndarray, ids: np.ndarray, doc_ids: np.ndarray | None = None, nulls: np.ndarray | None = None) -> list[bytes]:
     """The parts of a shard's file. doc_ids: the keys if not given."""
     doc_ids = keys if doc_ids is None else doc_ids
@@ -133,17 +167,16 @@ def pack_shard(keys: np.ndarray, counts: np.ndarray, ids: np.ndarray, doc_ids: n
     sizes = np.concatenate((np.ones(len(alphabet), np.int64), lengths.astype(np.int64)))
     blocks = -(-len(symbols) // BLOCK)
     index = np.concatenate(([0], np.cumsum(np.add.reduceat(sizes[symbols], np.arange(0, len(symbols), BLOCK)))))[:blocks] if blocks else np.zeros(0, np.int64)
-    wide = 2 if len(sizes) <= 65536 else 4
-    head = struct.pack("<8sIIQQQB", MAGIC, len(alphabet), len(rules), len(keys), len(symbols), len(index), wide)
-    return [head, keys.astype("<i8").tobytes(), doc_ids.astype("<i8").tobytes(), nulls.astype("u1").tobytes(), counts.astype("<u4").tobytes(), alphabet.astype("<u4").tobytes(), rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), index.astype("<u8").tobytes(), symbols.astype(f"<u{wide}").tobytes()]
+    wide = [int(x.max(initial=0)).bit_length() for x in (rules, lengths, symbols)]
+    head = _HEAD.pack(MAGIC, len(alphabet), len(rules), len(keys), len(symbols), len(index), *wide)
+    return [head, keys.astype("<i8").tobytes(), doc_ids.astype("<i8").tobytes(), nulls.astype("u1").tobytes(), counts.astype("<u4").tobytes(), alphabet.astype("<u4").tobytes(), index.astype("<u8").tobytes(), *(_narrow(x.ravel(), w) for x, w in zip((rules, lengths, symbols), wide, strict=True))]
 
 
 def parse_shard(data: bytes) -> Shard:
-    head = struct.Struct("<8sIIQQQB")
-    magic, n_ids, n_rules, n_docs, n_symbols, n_index, wide = head.unpack_from(data)
+    magic, n_ids, n_rules, n_docs, n_symbols, n_index, *wide = _HEAD.unpack_from(data)
     if magic != MAGIC:
         raise ValueError("not a token shard")
-    at = head.size
+    at = _HEAD.size
 
     def take(kind: str, n: int) -> np.ndarray:
         nonlocal at
@@ -151,33 +184,39 @@ def parse_shard(data: bytes) -> Shard:
         at += out.nbytes
         return out
 
-    keys, doc_ids, nulls, counts, alphabet, rules, lengths, index = take("<i8", n_docs), take("<i8", n_docs), take("u1", n_docs).astype(bool), take("<u4", n_docs), take("<u4", n_ids), take("<u4", 2 * n_rules), take("<u4", n_rules), take("<u8", n_index)
-    return Shard(keys, doc_ids, nulls, counts, alphabet, rules.reshape(-1, 2), lengths, take(f"<u{wide}", n_symbols), index)
+    keys, doc_ids, nulls, counts, alphabet, index = take("<i8", n_docs), take("<i8", n_docs), take("u1", n_docs).astype(bool), take("<u4", n_docs), take("<u4", n_ids), take("<u8", n_index)
+    rules, lengths, symbols = (_widen(take("u1", -(-n * w // 8)), n, w) for n, w in zip((2 * n_rules, n_rules, n_symbols), wide, strict=True))
+    return Shard(keys, doc_ids, nulls, counts, alphabet, rules.reshape(-1, 2), lengths, symbols, index)
 
 
 def _pool(s: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expansions of all symbols laid end to end, with where each starts and its size."""
-    size = np.concatenate((np.ones(len(s.alphabet), np.int32), s.lengths.astype(np.int32)))
-    start = (np.cumsum(size) - size).astype(np.int32)
-    pool = np.zeros(int(size.sum()), np.uint32)
+    size = np.concatenate((np.ones(len(s.alphabet), np.int64), s.lengths.astype(np.int64)))
+    ends = np.cumsum(size)
+    kind = np.int32 if not len(ends) or ends[-1] < 1 << 31 else np.int64
+    start, size = (ends - size).astype(kind), size.astype(kind)
+    pool = np.zeros(int(size.sum(dtype=np.int64)), np.uint32)
     pool[: len(s.alphabet)] = s.alphabet
-    # A rule refers to earlier symbols only: in order, each is filled from those before.
-    for i, (left, right) in enumerate(s.rules.tolist(), len(s.alphabet)):
-        at = int(start[i])
-        middle = at + int(size[left])
-        pool[at:middle] = pool[start[left] : start[left] + size[left]]
-        pool[middle : middle + size[right]] = pool[start[right] : start[right] + size[right]]
+    # A rule refers to earlier symbols only: rules up to the first that refers to one of them are filled together.
+    latest, i = s.rules.max(axis=1, initial=0).astype(np.int64) - len(s.alphabet), 0
+    while i < len(latest):
+        later = latest[i:] >= i
+        j = i + int(later.argmax()) if later.any() else len(latest)
+        at = int(start[len(s.alphabet) + i])
+        part = expand(s, s.rules[i:j].ravel(), (pool, start, size))
+        pool[at : at + len(part)] = part
+        i = j
     return pool, start, size
 
 
 def expand(s: Shard, symbols: np.ndarray, pool: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     data, start, size = pool
     n = size[symbols]
-    ends = np.cumsum(n)
+    ends = np.cumsum(n, dtype=np.int64)
     if not len(ends):
         return np.zeros(0, np.uint32)
-    kind = np.int32 if ends[-1] < 1 << 31 else np.int64
-    return data[np.repeat(start[symbols] - (ends - n).astype(kind), n) + np.arange(ends[-1], dtype=kind)]
+    kind = np.int32 if max(int(ends[-1]), len(data)) < 1 << 31 else np.int64
+    return data[np.repeat((start[symbols] - (ends - n)).astype(kind), n) + np.arange(ends[-1], dtype=kind)]
 
 
 def document(s: Shard, i: int, pool: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:

@@ -491,6 +491,24 @@ def test_repair_round_trip():
             assert len(s.symbols) < n and len(s.rules)
 
 
+def test_repair_leaves_no_frequent_pair():
+    """Copies of one text shrink to a few symbols; slopes, runs and random ids end with no pair that occurs twice."""
+    rng = np.random.default_rng(1)
+    copies = np.tile(rng.integers(0, 50_000, 1000), 2000)
+    slopes = np.concatenate([np.arange(k) for k in range(1, 200)])
+    runs = np.repeat(rng.integers(0, 9, 4000), rng.integers(1, 9, 4000))
+    for ids in (copies, slopes, runs, rng.integers(0, 300, 200_000), np.zeros(1001, np.int64), np.tile(np.arange(70_000), 2)):
+        s = token_store.parse_shard(b"".join(token_store.pack_shard(np.arange(1), np.array([len(ids)]), ids.astype(np.uint32))))
+        assert (token_store.document(s, 0) == ids).all()
+        if ids is copies:
+            assert len(s.symbols) + 2 * len(s.rules) < 4000
+        seen, last = collections.Counter(), None
+        for pair in zip(s.symbols.tolist(), s.symbols[1:].tolist()):
+            last = None if pair == last else pair
+            seen[pair] += last is not None
+        assert all(n < 2 for n in seen.values())
+
+
 def test_token_store(spark, odd, empty):
     docs = keyed(odd.select("doc_id", "text"))
     manifest = token_store.write(docs, shared_path(spark, "tokens"), shard_ids=3000).cache()
