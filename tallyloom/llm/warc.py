@@ -1,13 +1,14 @@
 """WARC archives: a writer with revisit records, and a salvage reader for damaged files.
 
-Each record is a gzip member of its own. A payload of at least `least` bytes that several records
+Each record is written as a gzip member of its own. A payload of at least `least` bytes that several records
 share is stored once, in the record of the largest page_id; the others are revisit records that
 refer to it, and their block holds the HTTP header alone, with the full payload's length.
 
 The reader takes a file as a stream. Where a member fails its checks (its deflate data, its CRC, the
 record's version line, its Content-Length, its block digest) or where plain records do, it searches
 on from the next byte for a member that can be valid or a version line, goes on there, and logs
-the bytes between as a quarantined gap. What it holds is one record and a chunk.
+the bytes between as a quarantined gap. What it holds is one record and a chunk. A member may hold
+several records: all have its offset, and where it is damaged those that end before the damage stay.
 
 Defined results
   null html      an empty payload
@@ -172,26 +173,61 @@ def _parse(data: bytes | bytearray, at_end: bool) -> tuple[dict[str, str], bytes
     return headers, block, stop + 4
 
 
-def _member_at(w: _Window) -> tuple[dict[str, str], bytes, int]:
-    """(headers, block, compressed length) of the gzip member at the start of the window."""
-    tool, out, at = zlib.decompressobj(31), bytearray(), 0
+def _sound(tool, data: bytes) -> bytes:
+    """What deflate data gives before it goes wrong."""
+    out = bytearray()
+    for step in (4096, 1):
+        while data:
+            before = tool.copy()
+            try:
+                out += tool.decompress(data[:step])
+            except zlib.error:
+                tool = before
+                break
+            data = data[step:]
+    return bytes(out)
+
+
+def _member_at(w: _Window) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each record of the gzip member at the start of the window, which moves on behind them.
+
+    A record is given once another begins after it; the last, once the member's CRC is found right.
+    """
+    tool, out, at, done, rest, full, held = zlib.decompressobj(31), bytearray(), 0, 0, b"", False, None
     while not tool.eof:
-        if at >= len(w.data) and not w.need(at + 1):
-            raise Damage("member is cut short")
-        piece = bytes(w.data[at : at + CHUNK])
+        if not rest and not full:
+            if at >= len(w.data) and not w.need(at + 1):
+                raise Damage("member is cut short")
+            rest = bytes(w.data[at : at + CHUNK])
+            done, at = at, at + len(rest)
+        before, wrong = tool.copy(), None
         try:
-            out += tool.decompress(piece)
+            piece = tool.decompress(rest, CHUNK)
+            rest, full = tool.unconsumed_tail, len(piece) == CHUNK
         except zlib.error as e:
-            raise Damage(f"member is damaged: {e}") from None
-        at += len(piece)
+            piece, wrong = _sound(before, rest), Damage(f"member is damaged: {e}")
+        out += piece
+        while out:
+            if len(out) >= len(_VERSION) and not out.startswith(_VERSION):
+                raise Damage("member holds no record" if held is None else "member holds more than records")
+            found = _parse(out, tool.eof and not wrong)
+            if found is None:
+                break
+            if held is not None:
+                yield held
+                # What lies before the piece at hand isn't needed again; damage found later starts a gap here.
+                w.drop(done)
+                at, done = at - done, 0
+            held = found[:2]
+            del out[: found[2]]
+        if wrong:
+            raise wrong
         if len(out) > MOST:
             raise Damage("member is too large")
-        if len(out) >= len(_VERSION) and not out.startswith(_VERSION):
-            raise Damage("member holds no record")
-    headers, block, length = _parse(out, True)  # type: ignore[misc]
-    if length != len(out):
-        raise Damage("member holds more than a record")
-    return headers, block, at - len(tool.unused_data)
+    if held is None:
+        raise Damage("member holds no record")
+    w.drop(at - len(tool.unused_data))
+    yield held
 
 
 def _plain_at(w: _Window) -> tuple[dict[str, str], bytes, int]:
@@ -225,10 +261,15 @@ def salvage(stream: BinaryIO) -> Iterator[Record | Gap]:
     while w.need(1):
         try:
             if w.need(3) and w.data[:3] == _MEMBER:
-                headers, block, length = _member_at(w)
-            else:
-                w.need(len(_VERSION))
-                headers, block, length = _plain_at(w)
+                start = w.base
+                for headers, block in _member_at(w):
+                    if gap >= 0:
+                        yield Gap(gap, start - gap, reason)
+                        gap = -1
+                    yield Record(headers, block, start)
+                continue
+            w.need(len(_VERSION))
+            headers, block, length = _plain_at(w)
         except Damage as e:
             if gap < 0:
                 gap, reason = w.base, str(e)
@@ -238,6 +279,7 @@ def salvage(stream: BinaryIO) -> Iterator[Record | Gap]:
                 break
             while step is not None and step < 0:
                 w.drop(-step)
+                w.need(len(_VERSION))
                 step = 0 if w.data.startswith((_MEMBER, _VERSION)) else _next_start(w)
             if step is None:
                 w.drop(len(w.data))

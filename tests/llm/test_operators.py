@@ -199,6 +199,36 @@ def test_salvage(pack):
     assert junk[0] == warc.Gap(0, 5_000_000, junk[0].reason) and len(junk) == 31
 
 
+def test_salvage_of_members_with_several_records():
+    rnd = random.Random(4)
+    records = [warc.page_record(i, f"http://x/{i}", rnd.randbytes(rnd.randint(1, 200_000)), "00" * 20, None) for i in range(60)]
+    names = lambda out: [x.headers["warc-record-id"] for x in out if isinstance(x, warc.Record)]
+    every = [f"<urn:page:{i}>" for i in range(60)]
+    whole = warc.member(b"".join(records))
+    out = list(warc.salvage(io.BytesIO(b"?" * 10 + whole + warc.member(records[0]))))
+    assert out[0] == warc.Gap(0, 10, out[0].reason) and names(out) == [*every, every[0]] and len(out) == 62
+    assert {x.offset for x in out[1:61]} == {10} and out[61].offset == 10 + len(whole)
+    zeros = [warc.page_record(i, "http://z", bytes(3 << 20), "00" * 20, None) for i in range(5)]
+    assert names(warc.salvage(io.BytesIO(warc.member(b"".join(zeros))))) == every[:5]
+    # A member that ends too early, and one whose data goes wrong: what ends before stays, and the next member is found.
+    cut = list(warc.salvage(io.BytesIO(whole[: len(whole) // 2])))
+    assert names(cut) == every[: len(cut) - 1] and len(cut) > 20 and isinstance(cut[-1], warc.Gap)
+    bad = bytearray(whole)
+    bad[-8:] = b"\0" * 8
+    hurt = list(warc.salvage(io.BytesIO(bytes(bad) + warc.member(records[7]))))
+    assert names(hurt) == [*every[:59], every[7]] and isinstance(hurt[-2], warc.Gap)
+    assert hurt[-2].offset + hurt[-2].length == len(bad) == hurt[-1].offset
+
+
+def test_salvage_after_a_long_gap_at_every_alignment():
+    record = warc.page_record(1, "http://x", b"<p>", "00" * 20, None)
+    # The first search that drops what it has searched does so at this many bytes or a few chunks more.
+    for n in range(4, 8):
+        for k in range(9):
+            out = list(warc.salvage(io.BytesIO(b"?" * (n * warc.CHUNK - k) + record)))
+            assert [type(x) for x in out] == [warc.Gap, warc.Record] and out[1].offset == n * warc.CHUNK - k
+
+
 def test_archives_of_pages(spark, duck):
     big, small = "<p>" + "y" * 2000, "<p>small"
     rows = [(1, "http://a", big), (2, None, big), (3, "http://c", small), (4, "http://d", small), (5, "http://e", None), (None, "http://f", big), (6, "http://g", big + "z"), (7, "http://x\r\n", "é" * 600)]
