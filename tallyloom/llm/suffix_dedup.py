@@ -1,4 +1,4 @@
-"""Exact removal of repeated byte strings by longest-previous-factor (LPF) arrays over suffix arrays.
+"""Removal of repeated byte strings: positions whose longest previous factor (LPF) reaches a length.
 
 A byte goes if some string of `length` bytes that covers it also starts earlier: in a smaller
 doc_id, or in the same document before. Strings are judged on the input.
@@ -10,7 +10,8 @@ strings share. The strings keyed by one occurrence of a gram are consecutive, an
   2. Segments with equal bytes keep their first; the others go whole. This needs no text.
   3. Where segments that differ share a gram (the ends of repeated passages), the first of each
      are brought together, their suffixes are sorted to depth `length`, and a position goes if its
-     LPF reaches `length`: the previous or next smaller position in suffix order is within its run.
+     LPF reaches `length`: it isn't the first in its run of equal strings. Factors' own lengths and
+     sources aren't worked out.
 A document's spans meet once more with its text, which is cut there.
 
 Equality in steps 1 and 2 is that of 128-bit fingerprints; step 3 compares bytes.
