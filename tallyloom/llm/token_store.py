@@ -43,8 +43,11 @@ from tallyloom.llm.tokens import default_vocabulary, encoder, grouped
 END = 0
 MAGIC = b"TLRP0003"
 BLOCK = 1024
-#: Ids after which a shard ends, and the least count of a pair that is replaced.
-SHARD_IDS, LEAST = 2_000_000, 2
+#: Ids after which a shard ends.
+SHARD_IDS = 2_000_000
+#: The least count of a pair that is replaced. A rule costs two symbols and a length, together fewer bits
+#: than three symbols or as many: replacing what occurs 4 times always shrinks the file, and 2 times never does.
+LEAST = 4
 TEXTS = 2048
 BYTES_PER_TASK = 24 << 20
 _BINS = 22
@@ -76,63 +79,76 @@ def _apart(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return (left | right) & 1 == 0
 
 
-def _pick(code: np.ndarray, half: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pairs that occur `least` times, the most frequent first; positions to replace, which don't overlap; the index of the pair at each)."""
+def _pick(code: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs `code` at positions `at` (ascending): those that occur `least` times, the most frequent first; which
+    positions are replaced (they don't overlap); the index of the pair at each of these; which positions to count again."""
     none = np.zeros(0, np.int64)
     # Of a run of one pair (aaa) every second counts, from the left.
     live = np.ones(len(code), bool)
-    same = np.flatnonzero(code[1:] == code[:-1])
+    same = np.flatnonzero((code[1:] == code[:-1]) & (at[1:] == at[:-1] + 1))
     if len(same):
         head = np.concatenate(([True], same[1:] != same[:-1] + 1))
         turn = np.arange(len(same)) - np.flatnonzero(head)[np.cumsum(head) - 1]
         live[same[turn % 2 == 0] + 1] = False
     ordered = np.sort(code[live])
     new = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    counts = np.diff(np.append(new, len(ordered)))
+    counts = np.diff(new, append=len(ordered))
     often = np.flatnonzero(counts >= least)
     if not len(often):
-        return ordered[:0], none, none
+        return ordered[:0], none, none, none
     pairs = ordered[new[often]]
     pairs = pairs[np.argsort(-counts[often], kind="stable")]
     # A table of bins finds a position's pair; of pairs that share a bin the more frequent one stays for this round.
-    bins = lambda x: ((x * (np.uint32(2654435769) if half == 16 else np.uint64(0x9E3779B97F4A7C15))) >> x.dtype.type(2 * half - _BINS)).astype(np.uint32)
-    _, first = np.unique(bins(pairs), return_index=True)
-    pairs = pairs[np.sort(first)]
-    table = np.zeros(1 << _BINS, np.int32)
-    table[bins(pairs)] = np.arange(len(pairs), dtype=np.int32)
+    wide, width = min(_BINS, len(pairs).bit_length() + 3), 8 * code.itemsize
+    bins = lambda x: ((x * (np.uint32(2654435769) if width == 32 else np.uint64(0x9E3779B97F4A7C15))) >> x.dtype.type(width - wide)).astype(np.uint32)
+    places = bins(pairs)
+    _, first = np.unique(places, return_index=True)
+    first.sort()
+    pairs, places = pairs[first], places[first]
+    table = np.full(1 << wide, -1, np.int32)
+    table[places] = np.arange(len(pairs), dtype=np.int32)
     rank = table[bins(code)]
-    at = np.flatnonzero(live & (pairs[rank] == code))
-    rank = rank[at]
-    stay = _apart(at, rank)
+    again = rank >= 0  # a pair elsewhere is seldom, and will be: its count only falls
+    hit = np.flatnonzero(again & live & (pairs[rank] == code))
+    rank = rank[hit]
+    stay = _apart(at[hit], rank)
     # The first pair loses nothing to others; one that is left too few places waits, and is counted again in the next round.
     enough = np.bincount(rank[stay], minlength=len(pairs)) >= least
     stay &= enough[rank]
-    return pairs[enough], at[stay], (np.cumsum(enough) - 1)[rank[stay]]
+    return pairs[enough], hit[stay], (np.cumsum(enough) - 1)[rank[stay]], again
 
 
 def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(alphabet, rules, lengths, symbols) of one shard. Symbol i is an id of the alphabet, or nonterminal i - len(alphabet)."""
+    """(alphabet, rules, lengths, symbols) of one shard. Symbol i is an id of the alphabet, or nonterminal i - len(alphabet).
+
+    After the first round only positions next to a new symbol, and those of pairs that were frequent
+    and stayed, can hold a frequent pair: no others are counted.
+    """
     seen = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
     alphabet = np.flatnonzero(seen)
     narrow = np.zeros(len(seen), np.uint32)
     narrow[alphabet] = np.arange(len(alphabet), dtype=np.uint32)
+    symbols = narrow[ids]
     half = 16 if len(alphabet) <= 1 << 16 else 32
-    symbols = narrow[ids].astype(np.uint32 if half == 16 else np.uint64)
     rules: list[np.ndarray] = []
     lengths = np.ones(len(alphabet), np.int64)
-    while len(symbols) > 1:
-        pairs, at, r = _pick((symbols[:-1] << symbols.dtype.type(half)) | symbols[1:], half, least)
+    place = np.arange(max(len(symbols) - 1, 0))
+    while len(place):
+        kind = np.uint32 if half == 16 else np.uint64
+        code = (symbols[place].astype(kind) << kind(half)) | symbols[place + 1].astype(kind)
+        pairs, hit, r, again = _pick(code, place, least)
         if not len(pairs):
             break
-        left, right = (pairs >> pairs.dtype.type(half)).astype(np.int64), (pairs & pairs.dtype.type((1 << half) - 1)).astype(np.int64)
-        symbols[at] = (len(lengths) + r).astype(symbols.dtype)
-        keep = np.ones(len(symbols), bool)
+        rules.append(np.stack((pairs >> kind(half), pairs & kind((1 << half) - 1)), axis=1).astype(np.int64))
+        at = place[hit]
+        symbols[at] = (len(lengths) + r).astype(np.uint32)
+        lengths = np.concatenate((lengths, lengths[rules[-1]].sum(axis=1)))
+        keep, count = np.ones(len(symbols), bool), np.zeros(len(symbols), bool)
         keep[at + 1] = False
-        symbols = symbols[keep]
-        rules.append(np.stack((left, right), axis=1))
-        lengths = np.concatenate((lengths, lengths[left] + lengths[right]))
+        count[place[again]] = count[at] = count[np.maximum(at - 1, 0)] = True
+        symbols, place = symbols[keep], np.flatnonzero(count[keep][:-1])
         if half == 16 and len(lengths) > 1 << 16:
-            half, symbols = 32, symbols.astype(np.uint64)
+            half = 32
     every = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     return alphabet.astype(np.uint32), every.astype(np.uint32), lengths[len(alphabet) :].astype(np.uint32), symbols.astype(np.uint32)
 

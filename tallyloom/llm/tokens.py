@@ -9,6 +9,7 @@ safe (runs of white space at a space, special tokens) go to the library whole.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: In pieces after a space each: one that is empty or begins with white space, or a special token.
+        self.doubtful = re.compile("|".join([r" \s", *map(re.escape, self.special)]))
         #: Tokens that begin with a space, which byte-level vocabularies write as U+0120.
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
@@ -59,7 +62,7 @@ class Encoder:
             wanted.update(pieces[1:])
         missing = [p for p in wanted if p not in known]
         # No cut before white space or at the end, and none around a special token: such pieces never become known.
-        unsafe = {p for p in missing if not p or p[0].isspace() or any(s in p for s in self.special)}
+        unsafe = {p for p in missing if not p or p[0].isspace() or any(s in p for s in self.special)} if self.doubtful.search(" " + " ".join(missing) + " ") else set()
         if unsafe:
             cut = [None if not unsafe.isdisjoint(pieces[1:]) else pieces for pieces in cut]
             missing = [p for p in missing if p not in unsafe]
