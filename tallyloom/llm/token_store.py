@@ -45,9 +45,8 @@ MAGIC = b"TLRP0003"
 BLOCK = 1024
 #: Ids after which a shard ends.
 SHARD_IDS = 2_000_000
-#: The least count of a pair that is replaced. A rule costs two symbols and a length, together fewer bits
-#: than three symbols or as many: replacing what occurs 4 times always shrinks the file, and 2 times never does.
-LEAST = 4
+#: The least count of a pair that is replaced.
+LEAST = 2
 TEXTS = 2048
 BYTES_PER_TASK = 24 << 20
 _BINS = 22
@@ -154,24 +153,21 @@ def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarra
 
 
 def _narrow(numbers: np.ndarray, width: int) -> bytes:
-    """numbers of `width` bits each, end to end."""
+    """numbers of `width` bits each, the highest first, end to end."""
     parts = []
     for i in range(0, len(numbers), _CHUNK):
-        part = numbers[i : i + _CHUNK]
-        bits = np.empty((len(part), width), np.uint8)
-        for k in range(width):
-            bits[:, k] = (part >> np.uint32(k)) & np.uint32(1)
-        parts.append(np.packbits(bits).tobytes())
+        part = numbers[i : i + _CHUNK].astype(">u4")
+        parts.append(np.packbits(np.unpackbits(part.view(np.uint8)).reshape(len(part), 32)[:, 32 - width :]).tobytes())
     return b"".join(parts)
 
 
 def _widen(data: np.ndarray, n: int, width: int) -> np.ndarray:
     out = np.zeros(n, np.uint32)
     for i in range(0, n, _CHUNK):
-        part = out[i : i + _CHUNK]
-        bits = np.unpackbits(data[i * width // 8 :], count=len(part) * width).reshape(len(part), width)
-        for k in range(width):
-            part |= bits[:, k].astype(np.uint32) << np.uint32(k)
+        many = min(_CHUNK, n - i)
+        bits = np.zeros((many, 32), np.uint8)
+        bits[:, 32 - width :] = np.unpackbits(data[i * width // 8 :], count=many * width).reshape(many, width)
+        out[i : i + many] = np.packbits(bits).view(">u4")
     return out
 
 
