@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 ARROW_BYTES = str(4 << 20)
 #: Rows that the Parquet reader decodes at once; texts of 4096 rows would fill arrays of many MB.
 READ_ROWS = "1024"
+#: Rows of a few numbers that one task writes.
+ROWS_PER_FILE = 250_000
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 
@@ -47,10 +49,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/tallyloom/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends here and survives lost executors."""
+def materialize(df: DataFrame, name: str = "table", rows: int | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends here and survives lost executors.
+
+    rows: a bound on the rows of a table of a few numbers each, if known. No more tasks write it than
+    that many rows need, so that a small table isn't a file for each partition.
+    """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(partitions_for(rows, ROWS_PER_FILE))).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

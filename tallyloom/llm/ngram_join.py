@@ -45,6 +45,8 @@ RARE = 4000
 #: Lists of up to so many sets yield their pairs at once; longer ones go by leaders.
 SHORT_LIST = 6
 POSTINGS_PER_TASK = 600_000
+#: Pairs of rows that one vectorized step looks at.
+PAIRS_AT_ONCE = 1_000_000
 #: Shingles (8 bytes each) that a task counts at once to find frequent ones.
 HELD = 1_000_000
 #: Up to so many ids (8 MB) of sets to compare are broadcast to the scan of the texts; more are joined by a shuffle.
@@ -246,15 +248,40 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Lists:
-    """A task's longer lists with the sets' components and bitmaps."""
+    """A task's longer lists with the sets' components. A set's bitmap comes once, in a row without a shingle."""
 
     def __init__(self, batches: Iterator[pa.RecordBatch]):
         table = pa.Table.from_batches(list(batches))
+        bits = table.filter(table.column("shingle").is_null())
+        table = table.filter(table.column("shingle").is_valid())
         columns = [table.column(c).to_numpy() for c in ("shingle", "set", "n", "at", "component")]
         order = np.lexsort((columns[1], columns[2], columns[0]))
         self.shingle, self.sets, self.n, self.at, self.component = (c[order] for c in columns)
-        self.ids, first = np.unique(columns[1], return_index=True)
-        self.sizes, self.bits = columns[2][first], table.column("bitmap").take(pa.array(first)).to_pylist()
+        ids = bits.column("set").to_numpy()
+        order = np.argsort(ids)
+        self.ids, self.sizes, self.bits = ids[order], bits.column("n").to_numpy()[order], bits.column("bitmap").take(pa.array(order)).to_pylist()
+
+    def partners(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, first, end): the rows outside the largest component of their list, with the block of rows there whose sizes suit.
+
+        Every pair between components has a side outside the largest one.
+        """
+        new = np.concatenate(([True], self.shingle[1:] != self.shingle[:-1]))
+        lists = np.cumsum(new) - 1
+        order = np.lexsort((self.component, lists))
+        part = np.concatenate(([True], (lists[order][1:] != lists[order][:-1]) | (self.component[order][1:] != self.component[order][:-1])))
+        part = np.cumsum(part) - 1
+        many = np.bincount(part)
+        of = lists[order][np.searchsorted(part, np.arange(len(many)))]  # the list of each (list, component)
+        best = np.lexsort((many, of))
+        largest = best[np.append(of[best][1:] != of[best][:-1], True)]  # for each list
+        self.part = np.empty(len(lists), np.int64)
+        self.part[order] = part
+        self.outside = self.part != largest[lists]
+        rows = np.flatnonzero(self.outside)
+        place = (lists << 32) + self.n
+        low, high = (lists[rows] << 32) - (-PERCENT * self.n[rows] // 100), (lists[rows] << 32) + 100 * self.n[rows] // PERCENT
+        return rows, np.searchsorted(place, low, side="left"), np.searchsorted(place, high, side="right")
 
     def pairs(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         low, high = _distinct_pairs(parts)
@@ -269,29 +296,27 @@ def _later_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not batches:
         return
     x = _Lists(batches)
-    start = np.flatnonzero(np.concatenate(([True], x.shingle[1:] != x.shingle[:-1])))
-    parts, held = [], 0
-    for lo, hi in zip(start.tolist(), np.append(start[1:], len(x.shingle)).tolist(), strict=True):
-        c = x.component[lo:hi]
-        if (c == c[0]).all():
-            continue
-        _, inverse, many = np.unique(c, return_inverse=True, return_counts=True)
-        m, p, s = x.n[lo:hi], x.at[lo:hi], x.sets[lo:hi]
-        largest = int(np.argmax(many))
-        # Every pair between components has a side outside the largest one.
-        for i in np.flatnonzero(inverse != largest).tolist():
-            j0 = int(np.searchsorted(m, -(-PERCENT * int(m[i]) // 100), side="left"))
-            j1 = int(np.searchsorted(m, 100 * int(m[i]) // PERCENT, side="right"))
-            j = np.arange(j0, j1)
-            j = j[(c[j] != c[i]) & ((inverse[j] == largest) | (j > i))]
-            small, large = np.minimum(i, j), np.maximum(i, j)
-            ok = _passes(m[small], p[small], m[large], p[large])
-            if ok.any():
-                parts.append((s[small[ok]], s[large[ok]]))
-                held += int(ok.sum())
-        if held > 1_000_000:
+    del batches
+    if not len(x.sets):
+        return
+    rows, first, end = x.partners()
+    many = np.cumsum(end - first)
+    parts, held, at = [], 0, 0
+    while at < len(rows):
+        to = max(at + 1, int(np.searchsorted(many, (many[at - 1] if at else 0) + PAIRS_AT_ONCE, side="right")))
+        width = end[at:to] - first[at:to]
+        i = np.repeat(rows[at:to], width)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(width) - width, width) + np.repeat(first[at:to], width)
+        ok = (x.part[i] != x.part[j]) & (~x.outside[j] | (j > i))
+        i, j = i[ok], j[ok]
+        small, large = np.minimum(i, j), np.maximum(i, j)  # rows of a list are sorted by size
+        ok = _passes(x.n[small], x.at[small], x.n[large], x.at[large])
+        parts.append((x.sets[small[ok]], x.sets[large[ok]]))
+        held += int(ok.sum())
+        if held > PAIRS_AT_ONCE:
             yield x.pairs(parts)
             parts, held = [], 0
+        at = to
     yield x.pairs(parts)
 
 
@@ -312,9 +337,9 @@ def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return materialize(pairs.distinct().join(xa, "a").join(xb, "b").mapInArrow(bytewords.tidy(_may_link), "a long, b long"), "pairs")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b), a written table, whose whole sets are similar enough."""
-    few = pairs.count() <= BROADCAST_IDS
+def _linked(pairs: DataFrame, sets: DataFrame, many: int) -> DataFrame:
+    """Of the pairs (a, b), so many in a written table, those whose whole sets are similar enough."""
+    few = many <= BROADCAST_IDS
 
     def chosen(side: str) -> DataFrame:
         """Only the sets that stand on this side of a pair are shuffled."""
@@ -351,14 +376,21 @@ def join(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     tasks = partitions_for(count, POSTINGS_PER_TASK, sc.defaultParallelism)
     found = materialize(postings.repartition(tasks, "shingle").mapInArrow(bytewords.tidy(_first_pairs), _OUT_SCHEMA), "postings")
     pairs = _possible(found.where("kind = 0").select("a", "b"), classes)
-    long = found.where("kind = 1").select("shingle", F.col("a").alias("set"), F.col("b").alias("n"), "at").join(classes.select("set", "bitmap"), "set")
+    met = pairs.count()
+    long = found.where("kind = 1").select("shingle", F.col("a").alias("set"), F.col("b").alias("n"), "at", F.pmod(F.xxhash64("shingle"), F.lit(tasks)).alias("task"))
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("_key")).union(long.select("set")).distinct(), "wanted")
     chosen = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "_key", "left_semi")
     sets = materialize(chosen.mapInArrow(bytewords.tidy(_full_sets(width)), "id long, items array<long>"), "sets")
-    whole = components(_linked(pairs, sets))
+    whole = components(_linked(pairs, sets, met), met)
     apart = long.join(whole.withColumnRenamed("v", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
-    more = materialize(apart.repartition(tasks, "shingle").mapInArrow(bytewords.tidy(_later_pairs), "a long, b long").distinct(), "pairs")
-    whole = components(whole.select(F.col("v").alias("a"), F.col("component").alias("b")).union(_linked(more, sets)))
+    # A set's bitmap goes once to each task that has it in a list, not with each place in a list.
+    bits = long.select("set", "task").distinct().join(classes.select("set", "n", "bitmap"), "set")
+    rows = apart.withColumn("bitmap", F.lit(None).cast("binary")).unionByName(bits, allowMissingColumns=True)
+    rows = rows.select("task", "shingle", "set", "n", "at", "component", "bitmap")
+    more = materialize(rows.repartition(tasks, "task").mapInArrow(bytewords.tidy(_later_pairs), "a long, b long").distinct(), "pairs")
+    again = more.count()
+    links = whole.select(F.col("v").alias("a"), F.col("component").alias("b")).union(_linked(more, sets, again))
+    whole = components(links, 2 * met + again)
     discard(found, pairs, wanted, sets, more)
     members = base.select("_key", "n", "h1", "h2").join(classes.select("h1", "h2", "set"), ["h1", "h2"], "left")
     members = members.join(whole, F.col("set") == F.col("v"), "left")
