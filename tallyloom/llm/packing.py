@@ -95,9 +95,8 @@ def reduce(have: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Bins],
                 elif j == k:
                     many, items = have[k] // 2, [(k, 2)]
                 else:
+                    # As sets leave, nothing new fits beside k: while a j is left, it goes on dominating.
                     many, items = min(have[k], have[j]), [(k, 1), (j, 1)]
-                    if j != capacity - k:
-                        many = 1  # what fits beside k may change with each set that leaves
                 fixed.append(Bins(items, many, capacity - sum(s * n for s, n in items)))
                 for s, n in items:
                     have[s] -= n * many

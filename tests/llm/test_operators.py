@@ -291,6 +291,21 @@ def test_reduction_keeps_an_optimum():
         assert sum(b.count for b in fixed) + (optimum(left, 20) if left else 0) == optimum(list(have.elements()), 20)
 
 
+def test_reduction_fixes_alike_sets_together():
+    """Lengths of which none completes another: the plan grows with the lengths, not with the pieces."""
+    have = {s: 8000 for s in (*range(300, 341), *range(600, 641))}
+    fixed, rest = packing.reduce(dict(have))
+    assert sum(b.count for b in fixed) > 100_000 and len(fixed) < 4 * len(have)
+    assert len(packing.plan(have)) < 20 * len(have)
+
+
+def test_sequences_against_the_least_possible(spark, documents):
+    """On `documents` no packing could save more than one sequence in a hundred."""
+    rows = packing.pack(documents).select("length", "sequence_id").collect()
+    used, ids = len({r.sequence_id for r in rows}), sum(r.length for r in rows)
+    assert used <= 1.01 * -(-ids // packing.CAPACITY) + 1
+
+
 def test_plan_places_every_piece():
     rnd = random.Random(2)
     have = {s: rnd.randint(0, 400) for s in range(1, 65)}
@@ -396,6 +411,23 @@ def test_components_of_documents(spark, documents):
     check_components(spark, [(r.doc_id, r.text) for r in documents.collect()])
 
 
+def test_components_of_very_long_near_copies(spark):
+    """Ten near copies of a text of 200,000 words, in two groups that are not linked, and a copy of a part."""
+    rnd = random.Random(6)
+    base = [f"w{rnd.randrange(10**9)}" for _ in range(200_000)]
+    other = base[:100_000] + [f"x{k}" for k in range(100_000)]
+    rows = []
+    for i in range(10):
+        w = list(base if i < 6 else other)
+        for _ in range(2000):
+            w[rnd.randrange(len(w))] = f"v{rnd.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    rows.append((10, " ".join(base[:150_000])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in ngram_join.with_component_id(ngram_join.join(df)).collect()}
+    assert got == {i: 0 if i < 6 else 6 if i < 10 else 10 for i in range(11)}
+
+
 def test_join_of_nothing_and_stage(spark, odd, empty):
     assert ngram_join.with_component_id(ngram_join.join(empty)).count() == 0
     kept = ngram_join.representatives(odd)
