@@ -6,15 +6,19 @@ doc_id, or in the same document before. Strings are judged on the input.
 One suffix array over a corpus can't be built in one place, so suffix space is split by content:
 each string of `length` bytes is keyed by the smallest-hashed 20-byte gram inside it, which equal
 strings share. The strings keyed by one occurrence of a gram are consecutive, and form a segment.
+A gram that stands in very many different segments (a common line that is shorter than `length`)
+would bring them all to one task: its strings are keyed by where the gram stands in them, in steps
+of STRETCH places, and by the bytes that all strings of such a step have in common.
   1. Of documents with equal bytes the first stands for all; the others go whole.
   2. Segments with equal bytes keep their first; the others go whole. This needs no text.
-  3. Where segments that differ share a gram (the ends of repeated passages), the first of each
-     are brought together, their suffixes are sorted to depth `length`, and a position goes if its
-     LPF reaches `length`: it isn't the first in its run of equal strings. Factors' own lengths and
-     sources aren't worked out.
+  3. Where segments that differ share a key (the ends of repeated passages), the first of each are
+     brought together. Their suffixes are sorted to depth `length`; the previous and the next
+     smaller position in suffix order, with the common prefixes that lie between, give each
+     position's LPF (to that depth) and source. A position goes if its LPF reaches `length`.
 A document's spans meet once more with its text, which is cut there.
 
-Equality in steps 1 and 2 is that of 128-bit fingerprints; step 3 compares bytes.
+Equality is that of MD5 in step 1, and of a 64-bit hash of segments with the same 64-bit key in
+step 2; step 3 compares bytes.
 
 Defined results
   null or empty text     0 bytes, nothing removed, the checksum of no bytes
@@ -46,6 +50,13 @@ BYTES_PER_TASK = 24 << 20
 #: Up to so many ids (12 MB) of copies are broadcast to the scan of the texts; more are joined by a shuffle.
 BROADCAST_ROWS = 1_500_000
 SEGMENTS_PER_TASK = 40_000
+#: A gram is hot if so many different segments have it, and one in so many of all: there are no more hot grams than
+#: HOT_SHARE (8 MB to broadcast) at any scale, and no other gram has more segments than that.
+HOT_LEAST, HOT_SHARE = 1000, 1_000_000
+#: Segments (16 bytes each) that a task holds at once to count those of a gram.
+HELD = 1_000_000
+#: Places of a hot gram that one key takes together.
+STRETCH = 8
 
 _NAMES = ["kind", "gram", "same", "_key", "start", "size"]
 _SCHEMA = "kind int, gram long, same long, _key long, start int, size int"
@@ -91,8 +102,8 @@ def longest_previous_factors(data: bytes) -> list[int]:
     return lpf
 
 
-def _segments(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(gram, fingerprint, text, start in text, size) of the segments of texts laid end to end."""
+def _segments(raw: np.ndarray, offsets: np.ndarray, length: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(key, fingerprint, text, start in text, size) of the segments of texts laid end to end, by text and start. hot: sorted grams."""
     n, window = len(raw), length - GRAM + 1
     none = np.zeros(0, np.int64)
     if n < length:
@@ -124,9 +135,24 @@ def _segments(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     end = valid.copy()
     end[:-1] &= ~valid[1:] | new[1:]
     start, stop = np.flatnonzero(new), np.flatnonzero(end) + length
+    place = low[start]
+    key = gram[place]
+    if hot is not None and len(hot):
+        split = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+        # Stretch b of a gram holds the strings that start STRETCH * b to STRETCH * (b + 1) - 1 places before it.
+        far, near = np.where(split, (place - start) // STRETCH, 0), np.where(split, (place - (stop - length)) // STRETCH, 0)
+        many = far - near + 1
+        owner = np.repeat(np.arange(len(start)), many)
+        b = far[owner] - (np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many))
+        split, key, at = split[owner], key[owner], place[owner] - STRETCH * b
+        first, last = np.maximum(start[owner], at - STRETCH + 1), np.minimum(stop[owner] - length, at)
+        start, stop = np.where(split, first, start[owner]), np.where(split, last + length, stop[owner])
+        at, to = np.where(split, at, 0), np.where(split, at - STRETCH + 1 + length, 0)
+        shared = bytewords.mix((sums[to] - sums[at]) * inverse[at])
+        key = np.where(split, bytewords.mix(shared ^ (key + b.astype(np.uint64) * bytewords._BASE)), key)
     same = bytewords.mix((sums[stop] - sums[start]) * inverse[start])
     text = np.searchsorted(offsets, start, side="right") - 1
-    return gram[low[start]], same, text, start - offsets[text], stop - start
+    return key, same, text, start - offsets[text], stop - start
 
 
 def _least_of_long(gram: np.ndarray, window: int) -> np.ndarray:
@@ -147,15 +173,43 @@ def _rows(kind: int, gram, same, key, start, size) -> pa.RecordBatch:
     return pa.record_batch([pa.array(np.full(len(key), kind, np.int32)), pa.array(gram.view(np.int64)), pa.array(same.view(np.int64)), pa.array(key), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], names=_NAMES)
 
 
-def _cut_up(length: int):
-    """Each text's segments. Segments that repeat one of the same step are spans at once."""
+def _crowded(length: int):
+    """Grams that two or more different segments of a task's run of HELD segments have, and how many; all segments of the run at gram 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            gram, same = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.uint64),) * 2
+            held.clear()
+            order = np.lexsort((same, gram))
+            gram, same = gram[order], same[order]
+            gram = gram[np.concatenate(([True], (gram[1:] != gram[:-1]) | (same[1:] != same[:-1])))[: len(gram)]]
+            new = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1]))[: len(gram)])
+            n = np.diff(new, append=len(gram))
+            many = n > 1
+            yield pa.record_batch([pa.array(np.append(gram[new][many].view(np.int64), 0)), pa.array(np.append(n[many], len(gram)))], names=["gram", "n"])
+
+        for batch in batches:
+            raw, offsets = bytewords.texts_of(batch.column("_text"))
+            for a, b in bytewords.steps(raw, offsets):
+                held.append(_segments(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length)[:2])
+                if sum(len(g) for g, _ in held) > HELD:
+                    yield from flush()
+        yield from flush()
+
+    return run
+
+
+def _cut_up(length: int, hot):
+    """Each text's segments. Segments that repeat one of the same step are spans at once. hot: a broadcast array of grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = bytewords.texts_of(batch.column("_text"))
             keys = batch.column("_key").to_numpy()
             for a, b in bytewords.steps(raw, offsets):
-                gram, same, text, start, size = _segments(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length)
+                gram, same, text, start, size = _segments(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length, hot.value)
                 key = keys[a:b][text]
                 order = np.lexsort((start, key, same, gram))
                 again = np.zeros(len(order), bool)
@@ -219,19 +273,77 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(grams[i : i + 20_000]), pa.array(keys[i : i + 20_000]), pa.array(start[i : i + 20_000]), data], names=["gram", "_key", "start", "bytes"])
 
 
-def _ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """For each position, the rank of the `length` bytes from there: prefix doubling, cut at that depth."""
+def _ranks(data: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """(depth, for each position the rank of so many bytes from there): prefix doubling, cut at `length`.
+
+    At depth 8 the rank is the bytes themselves.
+    """
     padded = np.concatenate((data, np.zeros(length, np.uint8))).astype(np.uint64)
-    key, depth = np.zeros(len(data), np.uint64), 8
+    key, depth = np.zeros(len(data), np.uint64), min(8, length)
     for i in range(depth):
         key = (key << np.uint64(8)) | padded[i : i + len(data)]
-    rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
+    levels = [(depth, key)]
+    rank = np.unique(key, return_inverse=True)[1].astype(np.uint64) if depth < length else key
     while depth < length:
         step = min(depth, length - depth)
         later = np.concatenate((rank[step:], np.zeros(step, np.uint64)))
         rank = np.unique((rank << np.uint64(32)) | later, return_inverse=True)[1].astype(np.uint64)
         depth += step
-    return rank
+        levels.append((depth, rank))
+    return levels
+
+
+def _common(levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The common prefixes, to the greatest depth, of what starts at a and at b."""
+    out = np.zeros(len(a), np.int64)
+    for depth, rank in reversed(levels):  # after the greatest depth, each halves what can be left
+        more = np.flatnonzero(out + depth <= levels[-1][0])
+        same = more[rank[a[more] + out[more]] == rank[b[more] + out[more]]]
+        out[same] += depth
+    depth, key = levels[0]
+    part = np.flatnonzero(out < levels[-1][0])
+    differ = key[a[part] + out[part]] ^ key[b[part] + out[part]]
+    extra = sum((differ < np.uint64(1 << 8 * (depth - k))).astype(np.int64) for k in range(1, depth))
+    out[part] = np.minimum(out[part] + extra, levels[-1][0])
+    return out
+
+
+def _smaller(position: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place in suffix order: the nearest place before it with a smaller position, and the least common prefix between (0: none).
+
+    common[i]: of places i - 1 and i. All places go at once: one that meets a larger position passes
+    on to where that one has come, since all between are larger still.
+    """
+    at, least = np.arange(len(position)) - 1, common.copy()
+    open_ = np.flatnonzero(least > 0)
+    while len(open_):
+        open_ = open_[position[at[open_]] > position[open_]]
+        over = at[open_]
+        least[open_], at[open_] = np.minimum(least[open_], least[over]), at[over]
+        open_ = open_[least[open_] > 0]
+    return at, least
+
+
+def previous_factors(data: np.ndarray, position: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(LPF to depth `length`, where that factor starts or -1) of each of the positions, among those of its group.
+
+    position: ascending, each with `length` bytes in its own text; group: of each position.
+    """
+    levels = _ranks(data, length)
+    order = np.lexsort((position, levels[-1][1][position], group))  # the suffix array, to this depth
+    p, g = position[order], group[order]
+    common = np.zeros(len(p), np.int64)
+    together = np.flatnonzero(g[1:] == g[:-1]) + 1
+    common[together] = _common(levels, p[together - 1], p[together])
+    at, before = _smaller(p, common)
+    # The next smaller ones are the previous ones of the order turned round.
+    back, after = _smaller(p[::-1], np.append(0, common[:0:-1])[: len(p)])
+    back, after = len(p) - 1 - back[::-1], after[::-1]
+    lpf, source = np.empty(len(p), np.int64), np.empty(len(p), np.int64)
+    lpf[order] = np.maximum(before, after)
+    near = np.where(before >= after, at, back)
+    source[order] = np.where(np.maximum(before, after) > 0, p[np.clip(near, 0, len(p) - 1)], -1)
+    return lpf, source
 
 
 def _factors(length: int):
@@ -264,11 +376,8 @@ def _factors(length: int):
         segment = np.repeat(np.arange(len(many)), many)
         ends = np.cumsum(many)
         position = np.arange(ends[-1]) - np.repeat(ends - many, many) + np.repeat(at[:-1], many)
-        rank = _ranks(data, length)[position]
-        order = np.lexsort((position, rank, gram[segment]))  # the suffix array, to this depth
-        r, g = rank[order], gram[segment[order]]
-        later = np.zeros(len(order), bool)
-        later[order[1:]] = (r[1:] == r[:-1]) & (g[1:] == g[:-1])  # a smaller position stands before it in its run
+        lpf, _ = previous_factors(data, position, gram[segment], length)
+        later = lpf >= length
         hit = np.flatnonzero(later)
         if not len(hit):
             return
@@ -292,7 +401,12 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     ids = later.select("_key")
     firsts = docs.join(F.broadcast(ids) if later.count() <= BROADCAST_ROWS else ids, "_key", "left_anti")
     total = known.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
-    rows = firsts.mapInArrow(bytewords.tidy(_cut_up(length)), _SCHEMA).repartition(partitions_for(total, BYTES_PER_TASK, cores), "gram")
+    crowd = firsts.mapInArrow(bytewords.tidy(_crowded(length)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST)
+    crowd = materialize(crowd, "crowded")
+    segments = crowd.where("gram = 0").agg(F.max("n")).first()[0] or 0
+    hot = crowd.where((F.col("gram") != 0) & (F.col("n") >= segments // HOT_SHARE)).toPandas()["gram"].to_numpy(np.int64).view(np.uint64)
+    hot = docs.sparkSession.sparkContext.broadcast(np.sort(hot))
+    rows = firsts.mapInArrow(bytewords.tidy(_cut_up(length, hot)), _SCHEMA).repartition(partitions_for(total, BYTES_PER_TASK, cores), "gram")
     met = materialize(rows.mapInArrow(bytewords.tidy(_meet), _SCHEMA), "met")
     need = met.where(F.col("kind") == NEED)
     wanted = need.groupBy("_key").agg(F.collect_list(F.struct("gram", "start", "size")).alias("wanted"))

@@ -633,6 +633,38 @@ def test_lpf_arrays():
         assert suffix_dedup.longest_previous_factors(data) == want
 
 
+def test_factors_of_sorted_buckets():
+    """LPF and sources to a depth, by previous and next smaller positions, against the plain arrays."""
+    rnd = random.Random(18)
+    for trial in range(60):
+        length = rnd.choice([3, 8, 13, 20, 40, 100])
+        data = bytes(rnd.choice(b"ab" if trial % 2 else b"abcdefgh") for _ in range(rnd.randint(length, 300)))
+        if trial % 3 == 0:
+            data = data[: len(data) // 3] * 3 + data[:length]
+        position = np.arange(len(data) - length + 1)
+        lpf, source = suffix_dedup.previous_factors(np.frombuffer(data, np.uint8), position, np.zeros(len(position), np.int64), length)
+        assert lpf.tolist() == [min(x, length) for x in suffix_dedup.longest_previous_factors(data)[: len(position)]]
+        assert all(j == -1 if m == 0 else j < i and data[j : j + m] == data[i : i + m] for i, (m, j) in enumerate(zip(lpf.tolist(), source.tolist())))
+
+
+def test_removal_with_hot_grams(spark, monkeypatch):
+    """A line that all documents hold, alone and with its neighbours, whose gram is split; it goes only with 100 bytes around it."""
+    monkeypatch.setattr(suffix_dedup, "HOT_LEAST", 5)
+    rnd = random.Random(19)
+    noise = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    rows = []
+    for width in (30, 60, 90, 97, 99):
+        line, other = noise(width), noise(20)
+        rows += [(len(rows) + k, noise(rnd.randint(0, 90)) + rnd.choice(["", other]) + line + rnd.choice(["", other, noise(40)])) for k in range(40)]
+    check_removed(spark, rows)
+    raw = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+    plain = suffix_dedup._segments(raw, np.array([0, len(raw)]), 100)
+    hot = suffix_dedup._segments(raw, np.array([0, len(raw)]), 100, np.unique(plain[0]))
+    assert len(hot[0]) > 5 * len(plain[0])
+    starts = lambda x: sorted(p for a, n in zip(x[3].tolist(), x[4].tolist()) for p in range(a, a + n - 99))
+    assert starts(hot) == starts(plain) == list(range(len(raw) - 99))
+
+
 def test_cut_documents(spark, odd, empty):
     cut = suffix_dedup.cut_documents(odd)
     assert cut.columns == odd.columns and cut.count() == len(ODD)
