@@ -397,6 +397,7 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     known = docs.select("_key", F.md5(F.col("_text").cast("binary")).alias("identity"), F.octet_length("_text").alias("n")).where(F.col("n") >= length)
     known = materialize(known, "identities")
     copies = known.groupBy("identity", "n").agg(F.min("_key").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    copies = materialize(copies, "groups")  # so that the join with a group of very many copies can be split
     later = materialize(known.join(copies, ["identity", "n"]).where("_key != first").select("_key", F.lit(0).alias("start"), F.col("n").alias("size")), "copies")
     ids = later.select("_key")
     firsts = docs.join(F.broadcast(ids) if later.count() <= BROADCAST_ROWS else ids, "_key", "left_anti")
