@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,8 +51,18 @@ def display_time(c: Column) -> Column:
     return F.date_format(c, "dd MMM yyyy, hh:mm a")
 
 
+def composed(c: Column) -> Column:
+    """Text in composed form (NFC), by Arrow batches: the JVM side has no function for it. For names of a dimension and mentions, not for facts."""
+
+    @F.pandas_udf("string")
+    def nfc(names: pd.Series) -> pd.Series:
+        return names.str.normalize("NFC")
+
+    return nfc(c)
+
+
 def normalized_name(c: Column) -> Column:
-    """Lower case, no possessive, letters and digits only, single spaces. Text is taken as composed (NFC): see entities.normalize()."""
+    """Lower case, no possessive, letters and digits only, single spaces. Text is taken as composed: see composed()."""
     bare = F.regexp_replace(F.lower(c), r"['’]s\b", "")
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[^\p{L}\p{N}\s]", " "), r"\s+", " "))
 
@@ -61,7 +72,7 @@ def name_tokens(normalized: Column) -> Column:
 
 
 def capitalized(c: Column) -> Column:
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1_000_000))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, F.lit(2), F.length(c)))
 
 
 def varied_spelling(name: Column, i: Column) -> Column:

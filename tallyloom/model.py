@@ -160,20 +160,36 @@ def model_json(text: str) -> dict[str, Any] | None:
     return None
 
 
+def _plain(x: Any) -> float | None:
+    """A number, or a text that is one."""
+    if isinstance(x, bool) or not re.fullmatch(r"\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*", str(x)):
+        return None
+    return float(x)
+
+
+def _having(x: Any) -> Having | None:
+    """A HAVING condition; None if a part is missing or can't be read."""
+    x = x if isinstance(x, dict) else {}
+    kind, op, value = str(x.get("agg", x.get("aggregation", ""))).upper(), str(x.get("op", "")).upper(), _plain(x.get("value"))
+    kind = "COUNT_RECORDS" if kind == "COUNT" else kind
+    return Having(kind, _field(x.get("field")) or "QUANTITY", op, value) if kind in AGGREGATIONS and op in OPERATORS and value is not None else None
+
+
 def from_json(x: dict[str, Any] | str) -> Query | None:
-    """A Query from its JSON form (unknown names are dropped); None if text holds no object."""
+    """A Query from its JSON form (what can't be read is dropped); None if text holds no object."""
     x = model_json(x) if isinstance(x, str) else x
     if x is None:
         return None
     filters = x.get("filters") or []
     logic, conditions = (filters.get("logic", "AND"), filters.get("conditions") or []) if isinstance(filters, dict) else ("AND", filters)
     parsed = []
-    for c in conditions:
+    for c in (c for c in conditions if isinstance(c, dict)):
         op = str(c.get("op", c.get("operator", ""))).upper()
         if (f := _field(c.get("field"))) and op in OPERATORS:
             text = lambda v: None if v is None else str(v)
             parsed.append(Filter(f, op, text(c.get("value")), text(c.get("secondaryValue"))))
-    having, order, condition, entity = x.get("havingFilter"), x.get("orderBy"), x.get("conditionalSpec"), x.get("entity", x.get("entityMention"))
+    having, entity = x.get("havingFilter"), x.get("entity", x.get("entityMention"))
+    order, condition = (v if isinstance(v, dict) else None for v in (x.get("orderBy"), x.get("conditionalSpec")))
     mention = entity.get("mention") if isinstance(entity, dict) else entity
     by_aggregate = order and (order.get("target") == "AGGREGATE" or order.get("aggregation"))
     return Query(
@@ -185,15 +201,15 @@ def from_json(x: dict[str, Any] | str) -> Query | None:
         filters=tuple(parsed),
         any_filter=str(logic).upper() == "OR",
         time=_period(x.get("time")),
-        aggregations=tuple(a for a in map(_aggregation, x.get("aggregations") or []) if a),
+        aggregations=tuple(a for a in map(_aggregation, (a for a in x.get("aggregations") or [] if isinstance(a, dict))) if a),
         group_by=_fields(x.get("groupBy")),
-        having=Having(having["agg"], having["field"], having["op"], float(having["value"])) if having else None,
+        having=_having(having),
         order=Order(_field(order.get("field")), (order.get("aggregation") or "SUM") if by_aggregate else None, str(order.get("dir", "DESC")).upper() != "ASC") if order else None,
-        limit=x.get("limit"),
+        limit=int(limit) if (limit := _plain(x.get("limit"))) is not None else None,
         exists=bool(x.get("exists")),
         scope=x.get("paymentScope") if x.get("paymentScope") in SCOPES else None,
-        conditional=Conditional(_field(condition.get("conditionField")) or "PAYMENT_STATUS", condition.get("expectedValue") or "PAID") if condition else None,
-        write_args={k: str(v) for k, v in (x.get("writeArgs") or {}).items()},
+        conditional=Conditional(_field(condition.get("conditionField")) or "PAYMENT_STATUS", condition.get("expectedValue") or "PAID") if condition is not None else None,
+        write_args={k: str(v) for k, v in x["writeArgs"].items()} if isinstance(x.get("writeArgs"), dict) else {},
         knowledge=x.get("knowledgeQuery"),
         clarify_reason=x.get("clarifyReason"),
         unsupported_reason=x.get("unsupportedReason"),

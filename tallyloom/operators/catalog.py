@@ -66,6 +66,22 @@ def since(rows: DataFrame, start: datetime) -> DataFrame:
     return rows.where(F.col("created_at") >= F.lit(start.isoformat(sep=" ")).cast("timestamp_ntz"))
 
 
+def week_of(rows: DataFrame, as_of: datetime, name: str, first_day: int = 0) -> DataFrame:
+    """What one name (a part, without case) gave since the week's start."""
+    return search(since(rows, week_start(as_of, first_day)), name).agg(total_quantity().alias("total_quantity"))
+
+
+def covered(rows: DataFrame, as_of: datetime, period: str = "today", first_day: int = 0) -> DataFrame:
+    """Distinct names without case: today, this week, or ever."""
+    chosen = {"today": lambda: today(rows, as_of), "week": lambda: since(rows, week_start(as_of, first_day))}.get(period.strip().lower(), lambda: rows)()
+    return chosen.agg(F.countDistinct(F.lower("farmer_name")).alias("n_names"))
+
+
+def affected(rows: DataFrame) -> DataFrame:
+    """How many rows a sync of all pending ones would change: ask before it."""
+    return rows.agg(F.count_if(F.col("upload_status") == "PENDING").alias("n"))
+
+
 def history(rows: DataFrame, name: str) -> DataFrame:
     found = search(rows, name)
     return found.agg(F.count(F.lit(1)).alias("n"), total_quantity().alias("total_quantity"))

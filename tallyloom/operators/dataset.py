@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 #: Letters, digits and underscore of any script.
 WORDS = r"[^\p{L}\p{N}_]+"
+#: Parts of a group that are ranked apart.
+PARTS = 32
+#: Names, at most, that are broadcast.
+BROADCAST_NAMES = 100_000
 
 
 def norm(c: Column) -> Column:
@@ -20,9 +24,15 @@ def first_of_prompt(df: DataFrame, prompt: str, order: str) -> DataFrame:
 
 
 def fill_quotas(df: DataFrame, quotas: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The first `quota` rows of each group, by order."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    return df.join(quotas, keys).withColumn("_r", rank).where("_r <= quota").drop("_r", "quota")
+    """The first `quota` rows of each group, by order.
+
+    A group is ranked in PARTS first, each to the largest quota (a literal, which limits the sort),
+    so that the window over the whole group sees at most PARTS times that many rows.
+    """
+    most = quotas.agg(F.max("quota")).first()[0] or 0
+    rank = lambda *more: F.row_number().over(Window.partitionBy(*keys, *more).orderBy(order))
+    first = df.withColumn("_part", F.pmod(F.xxhash64(order), F.lit(PARTS))).withColumn("_r", rank("_part")).where(F.col("_r") <= most)
+    return first.withColumn("_r", rank()).where(F.col("_r") <= most).join(quotas, keys).where("_r <= quota").drop("_r", "_part", "quota")
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
@@ -36,10 +46,17 @@ def seeded_sample(df: DataFrame, keys: list[str], key: str, n: int, seed: str =
 
 
 def exact_overlaps(df: DataFrame, split: str, text: str) -> DataFrame:
-    """(split_a, split_b, text): normalized texts that two splits share."""
-    known = df.select(F.col(split).alias("s"), norm(F.col(text)).alias("t")).distinct()
-    a, b = known.select(F.col("s").alias("split_a"), "t"), known.select(F.col("s").alias("split_b"), "t")
-    return a.join(b, "t").where("split_a < split_b").select("split_a", "split_b", F.col("t").alias("text"))
+    """(split_a, split_b, text): normalized texts that two splits share. Digests meet; only shared texts are shuffled."""
+    shared = overlap_digests(df, split, text)
+    own = df.select(F.col(split).alias("split_a"), norm(F.col(text)).alias("text")).withColumn("digest", F.md5(F.col("text").cast("binary")))
+    return own.join(shared, ["split_a", "digest"]).dropDuplicates(["split_a", "split_b", "digest"]).select("split_a", "split_b", "text")
+
+
+def overlap_digests(df: DataFrame, split: str, text: str) -> DataFrame:
+    """(split_a, split_b, digest) of the normalized texts that two splits share. A digest's splits stand in one row; null texts leave."""
+    known = df.where(F.col(text).isNotNull()).groupBy(F.md5(norm(F.col(text)).cast("binary")).alias("digest")).agg(F.array_sort(F.collect_set(split)).alias("s")).where(F.size("s") > 1)
+    later = F.flatten(F.transform("s", lambda a, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda b: F.struct(a.alias("split_a"), b.alias("split_b")))))
+    return known.select("digest", F.inline(later)).select("split_a", "split_b", "digest")
 
 
 def token_set(c: Column) -> Column:
@@ -50,10 +67,11 @@ def contained(names: DataFrame, texts: DataFrame) -> DataFrame:
     """(id, name) where the words of a name stand in a row in a text: names meet texts by their first word, never all by all."""
     words = lambda c: F.array_remove(F.split(F.lower(c), WORDS), "")
     n = names.select("name", words(F.col("name")).alias("w")).where(F.size("w") > 0).withColumn("key", F.get("w", F.lit(0)))
+    n = F.broadcast(n) if names.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES else n
     t = texts.select("id", words(F.col("text")).alias("t"))
-    candidates = t.select("id", F.explode_outer(F.array_distinct("t")).alias("key")).join(n, "key").select("id", "name", "w")
+    candidates = t.select("id", "t", F.explode(F.array_distinct("t")).alias("key")).join(n, "key")
     spaced = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
-    return candidates.join(t, "id").where(F.contains(spaced(F.col("t")), spaced(F.col("w")))).select("id", "name").distinct()
+    return candidates.where(F.contains(spaced(F.col("t")), spaced(F.col("w")))).select("id", "name").distinct()
 
 
 def near_duplicates(a: DataFrame, b: DataFrame, percent: int = 92) -> DataFrame:
@@ -89,7 +107,7 @@ def length_stats(prompt: Column, target: Column) -> list[Column]:
     return [F.floor(F.max(estimate)).alias("longest"), (F.count_if(estimate <= 512) / F.count(F.lit(1))).alias("share_512"), F.floor(F.avg(F.length(prompt)) * 100 + 0.5).alias("mean_prompt_x100"), F.floor(F.avg(F.length(target)) * 100 + 0.5).alias("mean_target_x100")]
 
 
-#: What the composition audit counts, as SQL over the columns of a target.
+# What the composition audit counts, as SQL over the columns of a target.
 COMPOSITION = {
     "entity_plus_time": "entity IS NOT NULL AND time IS NOT NULL",
     "payment_plus_time": "(exists(select, s -> contains(s, 'PAYMENT') OR contains(s, 'AMOUNT')) OR paymentScope IN ('ALL', 'ANY')) AND time IS NOT NULL",
@@ -136,11 +154,21 @@ SIGNS = {
 }
 
 
+# What the reason of a CLARIFY target says, and how a prompt may write its date in words.
+UNCLEAR = ["ambiguous", "unspecified", "not registered"]
+DATE_IN_WORDS = "september 18"
+
+
 def fidelity_errors(prompt: Column, **said: Column) -> Column:
-    """What a prompt (columns type, aggregation, period, scope of its target) says without a sign of it."""
+    """What a target (columns type, aggregation, period, scope, reason, date) says without a sign of it in its prompt, or its reason."""
     low = norm(prompt)
     lacks = lambda words: ~F.array_contains(F.array(*(F.contains(low, F.lit(w)) for w in words)), True)
     rules = [F.when((said[part] == value) & lacks(words), F.lit(f"{part}:{value}")) for (part, value), words in SIGNS.items() if part in said]
+    if "reason" in said:
+        reason = F.lower(F.coalesce(said["reason"], F.lit("")))
+        rules.append(F.when((said["type"] == "CLARIFY") & ~F.array_contains(F.array(*(F.contains(reason, F.lit(w)) for w in UNCLEAR)), True), F.lit("type:CLARIFY")))
+    if "date" in said:
+        rules.append(F.when((said["date"] != "") & ~F.contains(prompt, said["date"]) & ~F.contains(low, F.lit(DATE_IN_WORDS)), F.concat(F.lit("date:"), said["date"])))
     return F.array_compact(F.array(*rules))
 
 

@@ -9,7 +9,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.columns import name_tokens, normalized_name
+from tallyloom.functions.columns import composed, name_tokens, normalized_name
+
+#: Names that an ambiguous mention lists at most.
+LISTED = 50
 
 
 def normalize(name: str) -> str:
@@ -27,13 +30,15 @@ class Resolution:
     status: str
     farmer_id: str | None = None
     farmer_name: str | None = None
+    #: Names that fit, in order, at most LISTED of them; n_candidates counts them all.
     candidates: tuple[str, ...] = ()
+    n_candidates: int = 0
 
 
 def candidates(registry: DataFrame, mention: str) -> DataFrame:
     """Rows of the registry that match, with how: 1 equal, 2 one contains the other, 3 a token in common. Distributed; few rows."""
     asked = normalize(mention)
-    known = normalized_name(F.col("normalized_name"))
+    known = normalized_name(composed(F.col("normalized_name")))
     contains = F.contains(known, F.lit(asked)) | F.contains(F.lit(asked), known)
     shared = F.arrays_overlap(name_tokens(known), F.array(*map(F.lit, tokens(asked))).cast("array<string>"))
     how = F.when(known == asked, 1).when(contains, 2).when(shared, 3)
@@ -45,7 +50,7 @@ def resolve(registry: DataFrame, mention: str) -> Resolution:
     if not normalize(mention):
         return Resolution("NOT_FOUND")
     found = candidates(registry, mention)
-    # The summary is one row; names are listed for at most 50 candidates.
+    # The summary is one row.
     by = found.groupBy("match").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("farmer_id", "farmer_name")).alias("first"), F.max(F.length("known")).alias("longest")).orderBy("match").first()
     if by is None:
         return Resolution("NOT_FOUND")
@@ -56,7 +61,8 @@ def resolve(registry: DataFrame, mention: str) -> Resolution:
         top = alike.where(F.length("known") == by["longest"]).limit(2).collect()
         if len(top) == 1:
             return Resolution("RESOLVED", top[0]["farmer_id"], top[0]["farmer_name"])
-    return Resolution("AMBIGUOUS", candidates=tuple(r.farmer_name for r in alike.select("farmer_name").orderBy("farmer_name").limit(50).collect()))
+    listed = alike.select("farmer_name").orderBy("farmer_name").limit(LISTED).collect()
+    return Resolution("AMBIGUOUS", candidates=tuple(r.farmer_name for r in listed), n_candidates=by["n"])
 
 
 def mention_in(text: str, names: list[str]) -> str | None:
@@ -71,6 +77,6 @@ def mention_in(text: str, names: list[str]) -> str | None:
 
 def match_all(mentions: DataFrame, registry: DataFrame) -> DataFrame:
     """(mention, farmer_id) of every shared token: set-at-a-time, an equi-join of exploded tokens."""
-    a = mentions.select("mention", F.explode(F.array_distinct(name_tokens(normalized_name(F.col("mention"))))).alias("token"))
+    a = mentions.select("mention", F.explode(F.array_distinct(name_tokens(normalized_name(composed(F.col("mention")))))).alias("token"))
     b = registry.select("farmer_id", F.explode(F.array_distinct(name_tokens(F.col("normalized_name")))).alias("token"))
     return a.join(b, "token").select("mention", "farmer_id").distinct()

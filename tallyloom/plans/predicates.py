@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,11 +11,12 @@ from pyspark.sql import functions as F
 from tallyloom.model import COMPARISONS, FIELDS, Filter
 
 
+_NUMBER = re.compile(r"[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?")
+
+
 def number(text: str | None) -> float | None:
-    try:
-        return float(text) if text is not None else None
-    except ValueError:
-        return None
+    """A decimal number, outer spaces aside; what else float() reads (1_000, nan, inf) is none."""
+    return float(text) if text is not None and _NUMBER.fullmatch(text.strip()) else None
 
 
 def condition(f: Filter) -> Column:

@@ -88,11 +88,25 @@ def upsert(current: DataFrame, changes: DataFrame, key: str, version: str) -> Da
     return best.select("_row.*")
 
 
-def insert_absent(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """current and those rows of new that share none of the keys with it."""
+def insert_absent(current: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """current, and the rows of new that share none of the keys with it or with a row inserted before them.
+
+    New rows come in ascending `order` (the first key if not given). Each round inserts those that are
+    the first of every key they have; rows that collide with these leave, and the rest is looked at again.
+    """
+    place = F.struct(order or keys[0], *new.columns)
     for k in keys:
         new = new.join(current.select(k), k, "left_anti").select(*new.columns)
-    return current.unionByName(new)
+    while True:
+        ranked = new.withColumn("_place", place)
+        for k in keys:
+            ranked = ranked.join(new.groupBy(k).agg(F.min(place).alias(f"_first_{k}")), k)
+        chosen = ranked.where(" AND ".join(f"_place = _first_{k}" for k in keys)).select(*new.columns).distinct()
+        current = current.unionByName(chosen)
+        for k in keys:
+            new = new.join(chosen.select(k), k, "left_anti").select(*new.columns)
+        if new.isEmpty():
+            return current
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

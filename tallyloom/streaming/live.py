@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -13,7 +15,7 @@ from pyspark.sql.types import StructType
 def follow(spark: SparkSession, folder: str, schema: StructType, query: Callable[[DataFrame], DataFrame], name: str, checkpoint: str | None = None) -> StreamingQuery:
     """Keeps an aggregate of a folder's Parquet files current, incrementally, in the in-memory table `name`. New parameters: stop it and follow anew."""
     stream = query(spark.readStream.schema(schema).parquet(folder)).writeStream.format("memory").queryName(name).outputMode("complete")
-    return (stream.option("checkpointLocation", checkpoint) if checkpoint else stream).start()
+    return stream.option("checkpointLocation", checkpoint or shared_folder(spark)).start()
 
 
 def on_change(spark: SparkSession, folder: str, schema: StructType, query: Callable[[DataFrame], DataFrame], emit: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
@@ -22,10 +24,59 @@ def on_change(spark: SparkSession, folder: str, schema: StructType, query: Calla
     return spark.readStream.schema(schema).parquet(folder).writeStream.foreachBatch(again).option("checkpointLocation", checkpoint).start()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, which driver and executors share. Only a local session may do without: it has one disk."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='tallyloom-')}"
+    return f"{root.rstrip('/')}/live-{uuid.uuid4().hex}"
+
+
 def once(spark: SparkSession, path: str, schema: StructType, query: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Streams all that is there now through an aggregate and returns its final state."""
-    name = f"live_{uuid.uuid4().hex}"
+    """Streams all that is there now through an aggregate and returns its final state, written in the shared folder: none of it goes to the driver."""
+    folder = shared_folder(spark)
     path = f"{path[:-1]}[{path[-1]}]"  # a pattern may name one file; a plain path has to be a folder
-    stream = query(spark.readStream.schema(schema).parquet(path)).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    result = query(spark.readStream.schema(schema).parquet(path))
+    keep = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{folder}/state")
+    stream = result.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start()
     stream.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(result.schema).parquet(f"{folder}/state")
+
+
+class Shared:
+    """One live query for many readers: it starts with the first, and ends `grace` seconds after the last has left.
+
+    A reader that comes back in time finds the state as it was. start: makes the query.
+    """
+
+    def __init__(self, start: Callable[[], StreamingQuery], grace: float = 5.0):
+        self._start, self._grace = start, grace
+        self._lock, self._readers = threading.Lock(), 0
+        self._query: StreamingQuery | None = None
+        self._timer: threading.Timer | None = None
+
+    def __enter__(self) -> StreamingQuery:
+        with self._lock:
+            self._readers += 1
+            if self._timer:
+                self._timer.cancel()
+                self._timer = None
+            if self._query is None:
+                self._query = self._start()
+            return self._query
+
+    def __exit__(self, *_: object) -> None:
+        with self._lock:
+            self._readers -= 1
+            if not self._readers:
+                self._timer = threading.Timer(self._grace, self._stop)
+                self._timer.daemon = True
+                self._timer.start()
+
+    def _stop(self) -> None:
+        with self._lock:
+            if not self._readers and self._query is not None:
+                self._query.stop()
+                self._query = None

@@ -295,3 +295,94 @@ def test_partitions_and_reports(spark, tmp_path):
     reports.write_json(f"{tmp_path}/r.json", lacking=lacking)
     reports.write_markdown(f"{tmp_path}/r.md", "Audit", lacking=lacking)
     assert '"lacks": 4' in (tmp_path / "r.json").read_text() and "| b | 4 |" in (tmp_path / "r.md").read_text()
+
+
+def test_answers_that_are_malformed():
+    q = model.from_json('{"havingFilter": {"op": "EQUALS"}, "limit": "many", "orderBy": 3, "filters": [1], "aggregations": ["SUM"], "writeArgs": [], "conditionalSpec": {}}')
+    assert q == Query(conditional=Conditional())
+    q = model.from_json({"limit": "7", "havingFilter": {"agg": "count", "op": "greater_than", "value": "2"}})
+    assert q.limit == 7 and q.having == Having("COUNT_RECORDS", "QUANTITY", "GREATER_THAN", 2.0)
+
+
+def test_numbers_are_plain():
+    assert [predicates.number(x) for x in ("1_000", "nan", "inf", "", None, "0x1", " -2.5e1 ", ".5")] == [None] * 6 + [-25.0, 0.5]
+
+
+def test_ambiguous_names_are_counted(spark):
+    names = spark.createDataFrame([(str(i), f"Asha {i:03d}", f"asha {i:03d}", None, True) for i in range(70)], R.FARMER)
+    found = resolve(names, "asha")
+    assert found.status == "AMBIGUOUS" and found.n_candidates == 70 and len(found.candidates) == 50 and found.candidates[0] == "Asha 000"
+
+
+def test_decomposed_names_match(spark):
+    names = spark.createDataFrame([("1", "José", "jose\u0301", None, True)], R.FARMER)
+    assert resolve(names, "JOSÉ").farmer_id == "1"
+
+
+def test_seed(spark):
+    from tallyloom.sources.seed import seed, seeded
+
+    farmers, rows = seed(spark, datetime(2026, 1, 2, 12))
+    assert farmers.columns == R.FARMER.names and rows.columns == R.RECORD.names and rows.count() == 3
+    assert seeded(farmers.limit(0), rows.limit(0), datetime(2026, 1, 2, 12))[0].count() == 3
+    assert seeded(farmers.limit(1), rows.limit(0), datetime(2026, 1, 2, 12))[1].count() == 0
+
+
+def test_a_live_query_outlives_its_last_reader_for_a_while():
+    import time
+
+    class Made:
+        stopped = False
+
+        def stop(self):
+            self.stopped = True
+
+    made = []
+    shared = live.Shared(lambda: made.append(Made()) or made[-1], grace=0.5)
+    with shared as a, shared as b:
+        assert a is b
+    with shared as c:  # back in time
+        assert c is a
+        time.sleep(0.8)
+        assert not a.stopped
+    time.sleep(1.2)
+    assert a.stopped
+    with shared as d:
+        assert d is not a and len(made) == 2
+
+
+def test_insertions_one_after_another(spark):
+    """Sets of rows that collide in two keys, against inserting them one by one."""
+    import random
+
+    rnd = random.Random(3)
+    for _ in range(4):
+        rows = [(rnd.choice("abcdef"), rnd.choice("uvwxyz"), i) for i in range(12)]
+        want, seen_a, seen_b = set(), {"a"}, {"u"}
+        for a, b, i in rows:
+            if a not in seen_a and b not in seen_b:
+                want.add((a, b, i))
+                seen_a.add(a)
+                seen_b.add(b)
+        have = spark.createDataFrame([("a", "u", -1)], "a string, b string, i int")
+        got = R.insert_absent(have, spark.createDataFrame(rows, "a string, b string, i int"), ["a", "b"], "i")
+        assert {tuple(r) for r in got.collect()} == want | {("a", "u", -1)}
+
+
+def test_splits_share_no_names():
+    from tallyloom.operators import generation
+
+    names = [n for s in generation.SPLITS for n in (*generation.vocabulary(s), *generation.strangers(s))]
+    assert len(names) == len(set(names)) and all((len(generation.vocabulary(s)), len(generation.strangers(s))) == n for s, n in generation.SPLITS.items())
+    assert [sum(generation.quotas(s).values()) for s in ("pilot", "train", "validation")] == [500, 5950, 850]
+
+
+def test_examples_follow_the_rules(spark):
+    from tallyloom.operators import generation, targets
+
+    rows = generation.examples(spark, "test", 3000).withColumn("t", targets.canonical(targets.parsed("target")))
+    reasons = {e for r in targets.checked(rows, "prompt", "t", "gen_idx").select("errors").distinct().collect() for e in r.errors}
+    assert reasons <= {"duplicate_prompt"}
+    assert {r.c for r in rows.select(targets.category_id(F.col("category"), F.col("register")).alias("c")).distinct().collect()} == set(range(1, 47))
+    odd = spark.createDataFrame([("",), ("no json",), (None,), ("[]",), ("{}",)], "x string").select(targets.canonical(targets.parsed("x")).alias("t"))
+    assert [targets_ok for r in odd.select(F.size(targets.errors(F.col("t"))).alias("n")).collect() for targets_ok in [r.n]][-1] == 0
