@@ -47,6 +47,8 @@ CHUNK = 1 << 20
 LEVEL = 3
 #: A member or plain record larger than this is taken as damaged.
 MOST = 1 << 30
+#: Payloads that several pages have, at most (about 80 bytes each), that are broadcast to the scan of the pages.
+BROADCAST_LEADERS = 100_000
 _END = b"\r\n\r\n"
 _VERSION = b"WARC/1."
 _MEMBER = b"\x1f\x8b\x08"
@@ -310,6 +312,8 @@ def _write(root: str, file_bytes: int):
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True)
             for page_id, url, html, digest, refers_to in rows:
+                if len(html or "") > MOST // 4 and len(html.encode()) > MOST - (1 << 20):
+                    raise ValueError(f"page {page_id} is larger than a record may be ({MOST} bytes)")
                 parts.append(member(page_record(page_id, url, (html or "").encode(), digest, refers_to)))
                 size, records = size + len(parts[-1]), records + 1
                 if size >= file_bytes:
@@ -326,10 +330,15 @@ def write(pages: DataFrame, root: str, least: int = LEAST, file_bytes: int = FIL
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", "html", F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).alias("size"))
     large = rows.where((F.col("size") >= least) & F.col("page_id").isNotNull())
-    leaders = large.groupBy(F.col("digest").alias("d"), F.col("size").alias("s")).agg(F.max("page_id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    joined = rows.join(leaders, (F.col("digest") == F.col("d")) & (F.col("size") == F.col("s")) & F.col("page_id").isNotNull(), "left")
-    revisit = F.when(F.col("leader") != F.col("page_id"), F.col("leader"))
-    out = joined.select("page_id", "url", "html", "digest", revisit.alias("refers_to"))
+    leaders = large.groupBy("digest", "size").agg(F.max("page_id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    leaders = materialize(leaders, "leaders")
+    if leaders.count() <= BROADCAST_LEADERS:
+        joined = rows.join(F.broadcast(leaders), ["digest", "size"], "left")
+        leader = F.when(F.col("page_id").isNotNull(), F.col("leader"))
+    else:  # whole pages are shuffled by their own ids then, never by a payload that many have
+        revisits = large.select("page_id", "digest", "size").join(leaders, ["digest", "size"]).select("page_id", "digest", "leader").distinct()
+        joined, leader = rows.join(revisits, ["page_id", "digest"], "left"), F.col("leader")
+    out = joined.select("page_id", "url", "html", "digest", F.when(leader != F.col("page_id"), leader).alias("refers_to"))
     return materialize(out.mapInArrow(bytewords.tidy(_write(root, file_bytes)), "path string, n_records long, n_bytes long"), "manifest")
 
 

@@ -229,6 +229,24 @@ def test_salvage_after_a_long_gap_at_every_alignment():
             assert [type(x) for x in out] == [warc.Gap, warc.Record] and out[1].offset == n * warc.CHUNK - k
 
 
+def test_revisits_without_a_broadcast(spark, monkeypatch):
+    """Payloads that many pages share, whichever way their leaders come to the pages; repeated rows and ids."""
+    big = "<p>" + "y" * 2000
+    rows = [(1, big), (2, big), (2, big), (2, "z" * 1500), (3, "z" * 1500), (4, None), (5, None), (None, big), (6, "short"), (7, "short")]
+    pages = spark.createDataFrame(rows, "page_id long, html string").withColumn("url", F.lit("http://a"))
+    found = []
+    for most in (100, 0):
+        monkeypatch.setattr(warc, "BROADCAST_LEADERS", most)
+        read = warc.read(warc.write(pages, shared_path(spark, "warc")))
+        found.append(sorted((str(r.record_id), r.record_type, str(r.refers_to), r.payload_digest) for r in read.collect()))
+    assert found[0] == found[1] and len(found[0]) == len(rows)
+    assert [r[1:3] for r in found[0] if r[0] == "<urn:page:1>"] == [("revisit", "<urn:page:2>")]
+    assert sorted(r[1] for r in found[0] if r[0] == "<urn:page:2>") == ["response", "response", "revisit"]
+    monkeypatch.setattr(warc, "MOST", (1 << 20) + 1000)
+    with pytest.raises(Exception, match="larger than a record may be"):
+        warc.write(pages.where("page_id = 1"), shared_path(spark, "warc"))
+
+
 def test_archives_of_pages(spark, duck):
     big, small = "<p>" + "y" * 2000, "<p>small"
     rows = [(1, "http://a", big), (2, None, big), (3, "http://c", small), (4, "http://d", small), (5, "http://e", None), (None, "http://f", big), (6, "http://g", big + "z"), (7, "http://x\r\n", "é" * 600)]
