@@ -51,7 +51,7 @@ def _collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.insert_absent(have.withColumn("n", F.lit(0)), new, ["farmer_id", "normalized_name"], "n").drop("n")
 
 
-@entry("seed_rows", "SELECT * FROM (VALUES ('Ramesh', 'PENDING', NULL, CAST(716.4 AS DOUBLE), CAST(NULL AS DOUBLE), 3), ('Suresh', 'RECORDED_LOCALLY', 'CASH', 456.0, 456.0, 2), ('Mahesh', 'PENDING', NULL, 792.0, NULL, 1)) v(farmer_name, payment_status, payment_method, payable_amount, amount_paid, hours)")
+@entry("seed_rows", "SELECT * FROM (VALUES ('Ramesh', 'PENDING', NULL, CAST(702.0 AS DOUBLE), CAST(NULL AS DOUBLE), 3), ('Suresh', 'RECORDED_LOCALLY', 'CASH', 456.0, 456.0, 2), ('Mahesh', 'PENDING', NULL, 792.0, NULL, 1)) v(farmer_name, payment_status, payment_method, payable_amount, amount_paid, hours)")
 def _seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     hours = F.expr(f"CAST(timestampdiff(HOUR, created_at, TIMESTAMP_NTZ '{AS_OF.isoformat(sep=' ')}') AS INT)")
     return seed(spark, AS_OF)[1].select("farmer_name", "payment_status", "payment_method", "payable_amount", "amount_paid", hours.alias("hours"))
