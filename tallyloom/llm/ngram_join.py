@@ -401,8 +401,9 @@ def join(documents: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def with_component_id(joined: DataFrame) -> DataFrame:
     """component_id: the smallest doc_id of the component that is not null."""
-    ids = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return joined.join(ids, "component")
+    ids = joined.groupBy("component").agg(F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    ids = materialize(ids, "components")  # so that the join with a very large component can be split
+    return joined.join(ids, "component", "left").withColumn("component_id", F.when(F.col("_n").isNull(), F.col("doc_id")).otherwise(F.col("_least"))).drop("_least", "_n")
 
 
 def representatives(documents: DataFrame) -> DataFrame:

@@ -244,7 +244,7 @@ def test_revisits_without_a_broadcast(spark, monkeypatch):
     assert sorted(r[1] for r in found[0] if r[0] == "<urn:page:2>") == ["response", "response", "revisit"]
     monkeypatch.setattr(warc, "MOST", (1 << 20) + 1000)
     with pytest.raises(Exception, match="larger than a record may be"):
-        warc.write(pages.where("page_id = 1"), shared_path(spark, "warc"))
+        warc.write(pages.where("page_id = 1").withColumn("html", F.repeat(F.lit("x"), 300_000)), shared_path(spark, "warc"))
 
 
 def test_archives_of_pages(spark, duck):
