@@ -38,7 +38,9 @@ class Resolution:
 def candidates(registry: DataFrame, mention: str) -> DataFrame:
     """Rows of the registry that match, with how: 1 equal, 2 one contains the other, 3 a token in common. Distributed; few rows."""
     asked = normalize(mention)
-    known = normalized_name(composed(F.col("normalized_name")))
+    name = F.col("normalized_name")
+    # Only a registry with decomposed names pays for composing them.
+    known = normalized_name(name if registry.where(name.rlike(r"\p{M}")).isEmpty() else composed(name))
     contains = F.contains(known, F.lit(asked)) | F.contains(F.lit(asked), known)
     shared = F.arrays_overlap(name_tokens(known), F.array(*map(F.lit, tokens(asked))).cast("array<string>"))
     how = F.when(known == asked, 1).when(contains, 2).when(shared, 3)
