@@ -8,15 +8,21 @@ Index-level skipping: a list is sorted by set size; a set's partners are one blo
 within it entries whose positions leave too few shingles for the overlap needed are skipped.
 Answer-level skipping: a list's sets are first compared to one leader of their size; sets found
 similar to it share its component, and later only pairs between different components are compared
-(all of them, so no link between components is lost). Pairs within a component are never formed.
+(all of them, so no link between components is lost).
+
+Numbers of links are derived from leaders' answers. All links of a set lie in its component, whose
+sets meet in cells of bounded size (of sizes that suit, see _cells). A cell's leader is compared to
+every set of it; by the triangle inequality its distances decide most other pairs, and the overlaps
+of those left open are the leader's, corrected by the shingles in which a set differs from it. Pairs
+are counted, never put out.
 
 Before two sets meet whole, their parity bitmaps do: bits that differ bound the shingles that
 aren't shared from below, so a pair that fails here can't be a link.
 
 Defined results
-  null or empty text, or no words   n_shingles 0, linked with nothing, component_id its own doc_id
+  null or empty text, or no words   n_shingles 0, n_links 0, component_id its own doc_id
   fewer than `width` words          the whole sequence is the one shingle
-  equal texts                       one class: the same component
+  equal texts                       one class: the same component, and links among them all
   null or repeated doc_id           rows are kept apart (see common.keyed); component_id is the smallest
                                     doc_id that is not null in the component, null if there is none
   empty table                       no rows
@@ -25,11 +31,12 @@ Defined results
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import bytewords
@@ -49,6 +56,15 @@ POSTINGS_PER_TASK = 600_000
 PAIRS_AT_ONCE = 1_000_000
 #: Shingles (8 bytes each) that a task counts at once to find frequent ones.
 HELD = 1_000_000
+#: A cell of a component holds sets of about so many shingles; a set counts as PER_SET shingles more.
+CELL_ITEMS = 400_000
+PER_SET = 200
+#: Sets whose sizes lie in bands further apart than one can't be similar: a band is a little wider than a link allows.
+BAND = 101 / PERCENT
+#: Rows and columns of a cell that one product takes at once.
+CELL_ROWS, CELL_COLUMNS = 256, 2048
+#: Components that need more than one cell, up to which they are broadcast; more are joined by a shuffle.
+BROADCAST_COMPONENTS = 100_000
 #: Up to so many ids (8 MB) of sets to compare are broadcast to the scan of the texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -352,8 +368,142 @@ def _linked(pairs: DataFrame, sets: DataFrame, many: int) -> DataFrame:
     return both.where(100 * F.col("_common") >= PERCENT * (F.size("x") + F.size("y") - F.col("_common"))).select("a", "b")
 
 
-def join(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, _key, n_shingles, set_id (the class: its smallest key), component (the smallest key)."""
+def _dense(items: np.ndarray, rows: np.ndarray, many: int, first: int, width: int) -> np.ndarray:
+    """Which of the numbered items first to first + width each row has, as 0 and 1; items must be sorted."""
+    low, high = np.searchsorted(items, (first, first + width))
+    out = np.zeros((many, width), np.float32)
+    out[rows[low:high], items[low:high] - first] = 1
+    return out
+
+
+def _cell_links(values: np.ndarray, n: np.ndarray, side: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """For each set of a cell the weight of the sets it is linked with there: side 0 meets side 1, or itself if there is no other.
+
+    values holds the sets' shingles one after another, n each. The leader, the first set, is compared
+    with every other; other sets' answers follow from its overlaps and the shingles where they differ from it.
+    """
+    low = np.flatnonzero(side == 0)
+    high = np.flatnonzero(side == 1)
+    alone = not side.any()
+    high = low if alone else high
+    out = np.zeros(len(n), np.int64)
+    if not len(low) or not len(high) or (alone and len(low) < 2):
+        return out
+    rows = np.repeat(np.arange(len(n)), n)
+    _, ids = np.unique(values, return_inverse=True)
+    seen = np.bincount(ids)
+    led = np.zeros(len(seen), bool)
+    led[ids[: n[0]]] = True
+    overlap = np.bincount(rows[led[ids]], minlength=len(n))
+    distance = n + n[0] - 2 * overlap
+    # Shingles that all sets have, or one alone, correct no overlap: but the leader's own, which others lack.
+    varies = np.where(led, seen < len(n), seen > 1)
+    place = np.cumsum(varies) - 1
+    use = varies[ids]
+    items, rows = place[ids[use]], rows[use]
+    order = np.argsort(items, kind="stable")
+    items, rows = items[order], rows[order]
+    led = led[varies].astype(np.float32)
+    for at in range(0, len(low), CELL_ROWS):
+        a = low[at : at + CELL_ROWS]
+        total = n[a][:, None] + n[high]
+        allowed = total - 2 * _least_overlap(total)
+        linked = distance[a][:, None] + distance[high] <= allowed
+        maybe = ~linked & (np.abs(distance[a][:, None] - distance[high]) <= allowed)
+        if alone:
+            maybe &= a[:, None] != high
+        x, y = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
+        if len(x):
+            common = np.repeat(overlap[high[y]][None, :], len(x), axis=0)
+            for first in range(0, len(led), CELL_COLUMNS):
+                width = min(CELL_COLUMNS, len(led) - first)
+                sets = _dense(items, rows, len(n), first, width)
+                differ = sets[a[x]] - led[first : first + width]
+                common += np.rint(differ @ sets[high[y]].T).astype(np.int64)
+            near = common >= _least_overlap(total[np.ix_(x, y)])
+            linked[np.ix_(x, y)] |= near & maybe[np.ix_(x, y)]
+        if alone:
+            linked &= a[:, None] != high
+        out[a] += linked @ weight[high]
+        if not alone:
+            out[high] += weight[a] @ linked
+    return out
+
+
+def _count_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers of links found in a task's cells."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    table = pa.Table.from_batches(batches)
+    del batches
+    component, cell, side = (table.column(c).to_numpy() for c in ("component", "cell", "side"))
+    order = np.lexsort((table.column("set").to_numpy(), side, cell, component))
+    table, component, cell, side = table.take(pa.array(order)), component[order], cell[order], side[order]
+    sets, weight = table.column("set").to_numpy(), table.column("many").to_numpy()
+    lists = table.column("items").combine_chunks()
+    values, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+    offsets = offsets - offsets[0]
+    n = np.diff(offsets).astype(np.int64)
+    new = np.flatnonzero(np.concatenate(([True], (component[1:] != component[:-1]) | (cell[1:] != cell[:-1]))))
+    links = np.zeros(len(sets), np.int64)
+    for i, j in zip(new.tolist(), np.append(new[1:], len(sets)).tolist(), strict=True):
+        links[i:j] = _cell_links(values[offsets[i] : offsets[j]], n[i:j], side[i:j], weight[i:j])
+    yield pa.record_batch([pa.array(sets), pa.array(links)], names=["set", "links"])
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """rows (set, n, many, component), once for each cell where the set meets others, with cell and side.
+
+    A component of up to CELL_ITEMS is one cell. Larger ones are cut by bands of sizes and by hash
+    within a band; blocks of one band meet each other and those of the next band.
+    """
+    cost = F.col("n") + PER_SET
+    rows = rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(BAND)).cast("int"))
+    large = rows.groupBy("component").agg(F.sum(cost).alias("w")).where(F.col("w") > CELL_ITEMS).select("component")
+    large = materialize(large, "large")
+    few = large.count() <= BROADCAST_COMPONENTS
+    blocks = rows.join(F.broadcast(large) if few else large, "component", "left_semi").groupBy("component", "band").agg(F.ceil(F.sum(cost) / CELL_ITEMS).cast("int").alias("k"))
+    blocks = materialize(blocks.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("band", "k"))).alias("blocks")), "blocks")
+    rows = rows.join(F.broadcast(blocks) if few else blocks, "component", "left")
+
+    def of(band) -> Column:
+        return F.coalesce(F.try_element_at("blocks", band), F.lit(0))
+
+    def meet(many, low, high, step: int, side) -> Column:
+        """One (cell, side) for each number below many."""
+        numbers = F.when(many > 0, F.sequence(F.lit(0), many - 1)).otherwise(F.array().cast("array<int>"))
+        band = F.col("band") - (1 if step and side == 1 else 0)
+        cell = lambda j: (band * 2 + step).cast("long") * F.lit(1 << 40) + low(j).cast("long") * F.lit(1 << 20) + high(j)
+        return F.transform(numbers, lambda j: F.struct(cell(j).alias("cell"), (side(j) if callable(side) else F.lit(side)).cast("int").alias("side")))
+
+    block = F.pmod(F.xxhash64("set"), of(F.col("band"))).cast("int")
+    within = meet(of(F.col("band")), lambda j: F.least(block, j), lambda j: F.greatest(block, j), 0, lambda j: block > j)
+    above = meet(of(F.col("band") + 1), lambda j: block, lambda j: j, 1, 0)
+    below = meet(of(F.col("band") - 1), lambda j: j, lambda j: block, 1, 1)
+    one = F.array(F.struct(F.lit(-1).cast("long").alias("cell"), F.lit(0).alias("side")))
+    place = F.when(F.col("blocks").isNull(), one).otherwise(F.concat(within, above, below))
+    return rows.select("component", "set", "n", "many", F.explode(place).alias("p")).select("component", "set", "n", "many", "p.cell", "p.side")
+
+
+def _links(classes: DataFrame, whole: DataFrame, sets: DataFrame) -> DataFrame:
+    """(set, links): the number of documents of other classes that a class is linked with; classes without any are left out."""
+    rows = materialize(classes.select("set", "n", "many").join(whole.withColumnRenamed("v", "set"), "set"), "linked")
+    cells = materialize(_cells(rows), "cells")
+    items = cells.agg(F.sum("n")).first()[0] or 0
+    tasks = partitions_for(items, 2 * CELL_ITEMS, classes.sparkSession.sparkContext.defaultParallelism)
+    met = cells.join(sets.withColumnRenamed("id", "set"), "set").select("component", "cell", "side", "set", "many", "items")
+    found = met.repartition(tasks, "component", "cell").mapInArrow(bytewords.tidy(_count_links), "set long, links long")
+    out = materialize(found.groupBy("set").agg(F.sum("links").alias("links")), "links")
+    discard(rows, cells)
+    return out
+
+
+def join(documents: DataFrame, width: int = WIDTH, links: bool = False) -> DataFrame:
+    """doc_id, _key, n_shingles, set_id (the class: its smallest key), component (the smallest key).
+
+    With links also n_links, the number of documents (rows) that a document is linked with.
+    """
     spark = documents.sparkSession
     sc = spark.sparkContext
     docs = keyed(documents.select("doc_id", "text")).select("_key", "doc_id", F.col("text").alias("_text"))
@@ -369,8 +519,8 @@ def join(documents: DataFrame, width: int = WIDTH) -> DataFrame:
         shingles, rank, order = np.array([2**64 - 1], np.uint64), np.zeros(1, np.uint64), np.zeros(1, np.int64)
     frequent = sc.broadcast((shingles[order], rank[order]))
     base = materialize(texts.mapInArrow(bytewords.tidy(_signatures(frequent, width)), "_key long, n long, h1 long, h2 long, bitmap binary, prefix array<long>"), "signatures")
-    classes = base.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("_key", "n", "bitmap", "prefix")).alias("s"))
-    classes = materialize(classes.select("h1", "h2", F.col("s._key").alias("set"), "s.n", "s.bitmap", "s.prefix"), "classes")
+    classes = base.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("_key", "n", "bitmap", "prefix")).alias("s"), F.count(F.lit(1)).alias("many"))
+    classes = materialize(classes.select("h1", "h2", F.col("s._key").alias("set"), "s.n", "s.bitmap", "s.prefix", "many"), "classes")
     postings = classes.select("set", "n", F.posexplode("prefix").alias("at", "shingle"))
     count = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
     tasks = partitions_for(count, POSTINGS_PER_TASK, sc.defaultParallelism)
@@ -389,14 +539,17 @@ def join(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     rows = rows.select("task", "shingle", "set", "n", "at", "component", "bitmap")
     more = materialize(rows.repartition(tasks, "task").mapInArrow(bytewords.tidy(_later_pairs), "a long, b long").distinct(), "pairs")
     again = more.count()
-    links = whole.select(F.col("v").alias("a"), F.col("component").alias("b")).union(_linked(more, sets, again))
-    whole = components(links, 2 * met + again)
+    edges = whole.select(F.col("v").alias("a"), F.col("component").alias("b")).union(_linked(more, sets, again))
+    whole = components(edges, 2 * met + again)
+    answers = _links(classes, whole, sets) if links else None
     discard(found, pairs, wanted, sets, more)
-    members = base.select("_key", "n", "h1", "h2").join(classes.select("h1", "h2", "set"), ["h1", "h2"], "left")
+    members = base.select("_key", "n", "h1", "h2").join(classes.select("h1", "h2", "set", "many"), ["h1", "h2"], "left")
     members = members.join(whole, F.col("set") == F.col("v"), "left")
-    ids = docs.select("_key", "doc_id")
-    out = members.select("_key", F.col("n").alias("n_shingles"), F.coalesce("set", "_key").alias("set_id"), F.coalesce("component", "set", "_key").alias("component"))
-    return out.join(ids, "_key")
+    columns = ["_key", F.col("n").alias("n_shingles"), F.coalesce("set", "_key").alias("set_id"), F.coalesce("component", "set", "_key").alias("component")]
+    if links:
+        members = members.join(answers, "set", "left")
+        columns.append((F.coalesce("many", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return members.select(*columns).join(docs.select("_key", "doc_id"), "_key")
 
 
 def with_component_id(joined: DataFrame) -> DataFrame:
@@ -414,8 +567,8 @@ def representatives(documents: DataFrame) -> DataFrame:
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = with_component_id(join(read_table(spark, sf_dir, "documents")))
-    return out.select("doc_id", "n_shingles", "component_id", "set_id")
+    out = with_component_id(join(read_table(spark, sf_dir, "documents"), links=True))
+    return out.select("doc_id", "n_shingles", "component_id", "set_id", "n_links")
 
 
 OP7_SQL = r"""
@@ -435,7 +588,9 @@ WITH RECURSIVE d AS (
   SELECT v, min(r) AS component_id FROM reach GROUP BY v
 ), same AS (
   SELECT s.doc_id, least(s.doc_id, min(b)) AS set_id FROM s LEFT JOIN links ON a = s.doc_id AND na = nb AND c = na GROUP BY s.doc_id
+), partners AS (
+  SELECT a, count(*) AS n_links FROM links GROUP BY a
 )
-SELECT s.doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id, coalesce(set_id, s.doc_id) AS set_id
-FROM s JOIN component ON v = s.doc_id JOIN same ON same.doc_id = s.doc_id
+SELECT s.doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id, coalesce(set_id, s.doc_id) AS set_id, coalesce(n_links, 0) AS n_links
+FROM s JOIN component ON v = s.doc_id JOIN same ON same.doc_id = s.doc_id LEFT JOIN partners ON partners.a = s.doc_id
 """

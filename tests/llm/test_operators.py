@@ -390,28 +390,36 @@ def plain_components(rows):
         for x in s:
             inverted[x].append(i)
     shared = collections.Counter((a, b) for v in inverted.values() for k, a in enumerate(v) for b in v[k + 1 :])
+    links = [0] * len(rows)
     for (a, b), n in shared.items():
         if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
             parent[max(find(a), find(b))] = min(find(a), find(b))
-    return sets, [find(i) for i in range(len(rows))]
+            links[a] += 1
+            links[b] += 1
+    return sets, [find(i) for i in range(len(rows))], links
 
 
 def check_components(spark, rows):
-    out = ngram_join.with_component_id(ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
-    sets, root = plain_components(rows)
+    out = ngram_join.with_component_id(ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), links=True)).collect()
+    sets, root, links = plain_components(rows)
     least = {}
     for (i, _), r in zip(rows, root, strict=True):
         least[r] = i if least.get(r) is None else least[r] if i is None else min(least[r], i)
-    want = collections.Counter((i, len(s), least[r]) for (i, _), s, r in zip(rows, sets, root, strict=True))
-    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == want
+    want = collections.Counter((i, len(s), least[r], n) for (i, _), s, r, n in zip(rows, sets, root, links, strict=True))
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in out) == want
 
 
 def test_components_of_odd_rows(spark):
     check_components(spark, [(i, t) for i, t, _ in ODD if t is None or len(t) < 50_000])
 
 
-def test_components_of_near_copies(spark):
-    """Chains and groups whose members differ from each other by less and more than the limit, over long lists."""
+@pytest.mark.parametrize("cell", [ngram_join.CELL_ITEMS, 3000])
+def test_components_of_near_copies(spark, monkeypatch, cell):
+    """Chains and groups whose members differ from each other by less and more than the limit, over long lists.
+
+    Small cells cut the components into blocks by size and hash.
+    """
+    monkeypatch.setattr(ngram_join, "CELL_ITEMS", cell)
     rnd = random.Random(5)
     base = [f"w{k}" for k in range(60)]
     rows = []
@@ -421,6 +429,7 @@ def test_components_of_near_copies(spark):
             w[rnd.randrange(60)] = f"v{rnd.randrange(40)}"
         rows.append((i, " ".join(w)))
     rows += [(200 + i, " ".join([f"c{k}" for k in range(i, i + 60)])) for i in range(40)]
+    rows += [(400 + i, rows[i][1] + "".join(f" e{k}" for k in range(i % 14))) for i in range(0, 150, 2)]
     rows += [(300 + i, " ".join(base[:30]) + f" own {i} " + " ".join(f"u{i}_{k}" for k in range(30))) for i in range(40)]
     check_components(spark, rows)
 
@@ -442,12 +451,34 @@ def test_components_of_very_long_near_copies(spark):
         rows.append((i, " ".join(w)))
     rows.append((10, " ".join(base[:150_000])))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {r.doc_id: r.component_id for r in ngram_join.with_component_id(ngram_join.join(df)).collect()}
-    assert got == {i: 0 if i < 6 else 6 if i < 10 else 10 for i in range(11)}
+    got = {r.doc_id: (r.component_id, r.n_links) for r in ngram_join.with_component_id(ngram_join.join(df, links=True)).collect()}
+    assert got == {i: (0, 5) if i < 6 else (6, 3) if i < 10 else (10, 0) for i in range(11)}
+
+
+def test_links_of_a_cell():
+    """Derived answers against plain intersections: sets near to their leader, far from it, and of one shingle."""
+    rnd = np.random.default_rng(8)
+    for trial in range(60):
+        base = np.arange(rnd.integers(1, 80), dtype=np.int64)
+        sets = []
+        for _ in range(rnd.integers(1, 40)):
+            kept = base[rnd.random(len(base)) > rnd.choice([0.02, 0.1, 0.3])]
+            sets.append(np.unique(np.concatenate((kept, rnd.integers(0, 200, rnd.integers(1, 12))))))
+        side = np.sort(rnd.integers(0, 2, len(sets))) if trial % 2 else np.zeros(len(sets), np.int64)
+        weight = rnd.integers(1, 5, len(sets))
+        want = [0] * len(sets)
+        for i in range(len(sets)):
+            for j in range(len(sets)):
+                c = len(np.intersect1d(sets[i], sets[j]))
+                met = i != j if not side.any() else side[i] != side[j]
+                if met and 100 * c >= 80 * (len(sets[i]) + len(sets[j]) - c):
+                    want[i] += int(weight[j])
+        got = ngram_join._cell_links(np.concatenate(sets), np.array([len(s) for s in sets]), side, weight)
+        assert got.tolist() == want
 
 
 def test_join_of_nothing_and_stage(spark, odd, empty):
-    assert ngram_join.with_component_id(ngram_join.join(empty)).count() == 0
+    assert ngram_join.with_component_id(ngram_join.join(empty, links=True)).count() == 0
     kept = ngram_join.representatives(odd)
     assert kept.columns == odd.columns and kept.where("doc_id = 5").count() == 1 and kept.where("doc_id = 12").count() == 0
 
