@@ -732,7 +732,7 @@ def test_pipeline_stages(spark):
         assert [(f.name, f.dataType) for f in docs.schema] == [(f.name, f.dataType) for f in kinds]
         after = {r.doc_id: r.text for r in docs.collect()}
         if name == "near_duplicates":
-            _, root = plain_components(before)
+            _, root, _ = plain_components(before)
             assert after.keys() == {before[r][0] for r in set(root)}
         elif name == "repeated_passages":
             want = plain_removed(before)
