@@ -11,6 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: Most bytes of an Arrow batch.
 ARROW_BYTES = str(4 << 20)
@@ -96,14 +97,17 @@ def keyed(docs: DataFrame, order: str = "doc_id", text: str = "text", key: str =
 
     Where `order` is a unique integer without nulls, it is the key itself. Otherwise rows are sorted
     by (order nulls first, text nulls first) and numbered in a written table, so that null or
-    repeated ids, and rows that are repeated whole, each get a key of their own.
+    repeated ids, ids of other types, and rows that are repeated whole, each get a key of their own.
     """
     ship(docs.sparkSession)
+    ranged = docs.orderBy(F.col(order).asc_nulls_first(), F.col(text).asc_nulls_first())
+    numbered = ranged.withColumn(key, F.monotonically_increasing_id())
+    if not isinstance(docs.schema[order].dataType, IntegralType):
+        return materialize(numbered, "keyed")
     clash = docs.groupBy(F.col(order)).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col(order).isNull())
     if not clash.limit(1).collect():
         return docs.withColumn(key, F.col(order).cast("long"))
-    ranged = docs.orderBy(F.col(order).asc_nulls_first(), F.col(text).asc_nulls_first())
-    return materialize(ranged.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    return materialize(numbered, "keyed")
 
 
 def packed(docs: DataFrame) -> DataFrame:

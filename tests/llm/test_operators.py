@@ -483,6 +483,23 @@ def test_join_of_nothing_and_stage(spark, odd, empty):
     assert kept.columns == odd.columns and kept.where("doc_id = 5").count() == 1 and kept.where("doc_id = 12").count() == 0
 
 
+def test_ids_that_are_texts(spark, odd):
+    """Ids of any type that sorts: the same classes, cuts and pieces as with integers of the same order."""
+    named = odd.withColumn("doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 4, "0")))
+    number = lambda i: None if i is None else int(i[1:])
+    by_id = lambda df, of: sorted(((of(r[0]), *r[1:]) for r in df.collect()), key=str)
+    same = lambda i: i
+    columns = ["doc_id", "n_shingles", "component_id", "n_links"]
+    got, want = (ngram_join.with_component_id(ngram_join.join(d, links=True)).select(*columns) for d in (named, odd))
+    assert sorted(((number(r[0]), r[1], number(r[2]), r[3]) for r in got.collect()), key=str) == by_id(want, same)
+    assert by_id(suffix_dedup.dedup(named), number) == by_id(suffix_dedup.dedup(odd), same)
+    piece = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert by_id(packing.pack(named).select(*piece), number) == by_id(packing.pack(odd).select(*piece), same)
+    items = spark.createDataFrame([("a", PASSAGE)], "item_id string, text string")
+    hit = ["doc_id", "start", "similarity"]
+    assert by_id(decontaminate.search(named, items).select(*hit), number) == by_id(decontaminate.search(odd, items.withColumn("item_id", F.lit(1))).select(*hit), same) != []
+
+
 def test_large_star_small_star(spark):
     rnd = random.Random(7)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(120)]
