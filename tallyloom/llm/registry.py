@@ -16,6 +16,7 @@ from tallyloom.llm.suffix_dedup import op10_suffix_array_dedup
 from tallyloom.llm.token_store import op9_repair_token_store
 from tallyloom.llm.url_filter import OP1_SQL, op1_temporal_url_lists
 from tallyloom.llm.warc import OP5_SQL, op5_warc_salvage
+from tallyloom.llm.whitening import op11_embedding_whitening
 
 _QUERIES = (
     op1_temporal_url_lists,
@@ -28,6 +29,7 @@ _QUERIES = (
     op8_simhash_decontamination,
     op9_repair_token_store,
     op10_suffix_array_dedup,
+    op11_embedding_whitening,
 )
 
 
