@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyloom.llm.centroids import op13_centroid_clustering
 from tallyloom.llm.decontaminate import op8_simhash_decontamination
 from tallyloom.llm.lm_scoring import op2_ppm_scoring
+from tallyloom.llm.media import op12_media_columns
 from tallyloom.llm.ngram_join import OP7_SQL, op7_ngram_jaccard_join
 from tallyloom.llm.packing import op6_best_fit_packing
 from tallyloom.llm.quality_rules import op3_quality_rules
@@ -30,6 +32,8 @@ _QUERIES = (
     op9_repair_token_store,
     op10_suffix_array_dedup,
     op11_embedding_whitening,
+    op12_media_columns,
+    op13_centroid_clustering,
 )
 
 
