@@ -2,13 +2,16 @@
 
 The fit list is each distinct integer vector once (a written table; copies are combined before they
 are shuffled, so one vector that a third of all rows hold costs one row for each task). One
-aggregation over it gives n, sums and ranges of every dimension. The next one is a list of generated
-SQL expressions, one for each pair of dimensions i <= j: the sum of the products of the two
-components, each less its dimension's centre. Centres are the means rounded to integers, and the
-sums are exact longs, so the result doesn't hang on the order of rows; what the rounding of centres
-leaves is taken off exactly on the driver, which holds dims * dims numbers and no rows. LAPACK
-(numpy.linalg.eigh) decomposes the covariance. Where the ranges show that a long might not hold a
-sum, products are summed as doubles from the unrounded means.
+aggregation over it gives n, sums and ranges of every dimension. The next one sums, by generated SQL
+expressions, the products of every pair of dimensions i <= j, each component less its dimension's
+centre: the rows of the triangle are groups and its columns the expressions, one for each j. (One
+expression for each of the 2080 pairs of 64 dimensions, without groups, is more than Spark compiles:
+it took 13 times as long.) Exploded rows are summed within their task, and a task sends on one row for
+each dimension. Centres are the means rounded to integers, and the sums are exact longs, so the result
+doesn't hang on the order of rows; what the rounding of centres leaves is taken off exactly on the
+driver, which holds dims * dims numbers and no rows. LAPACK (numpy.linalg.eigh) decomposes the
+covariance. Where the ranges show that a long might not hold a sum, products are summed as doubles
+from the unrounded means.
 
 Defined results: rows whose vector is null, empty, or holds null, NaN or infinite entries leave. A
 table's dimension is the commonest length of its vectors (of equally common ones the larger); others
@@ -33,8 +36,8 @@ from tallyloom.llm.vectors import usable
 
 #: Components that a row gets.
 COMPONENTS = 4
-#: Pairs of dimensions in one aggregation; those of up to 90 dimensions go in one.
-PAIRS = 4096
+#: Columns of products in one aggregation: as many as Spark still compiles into one loop.
+COLUMNS = 64
 #: Share of the trace below which a component counts as without variance.
 FLAT = 1e-12
 SCHEMA = "vec_id {id}, component int, n long, deviation {deviation}, whitened double, explained double, identity_error double"
@@ -71,15 +74,16 @@ def _covariance(columns: DataFrame, n: int, sums: list[int], low: list[int], hig
     reach = max(max(h - c, c - lo) for lo, h, c in zip(low, high, centre, strict=True))
     fits = reach * reach * n < 2**62
     centred = columns.selectExpr(*(f"x{i} - ({centre[i]}L) AS c{i}" if fits else f"x{i} - ({sums[i] / n!r}D) AS c{i}" for i in range(dims)))
-    pairs = [(i, j) for i in range(dims) for j in range(i, dims)]
-    found: list = []
-    for at in range(0, len(pairs), PAIRS):
-        sums_of = ", ".join(f"sum(c{i} * c{j})" for i, j in pairs[at : at + PAIRS])
-        found += centred.selectExpr(f"array({sums_of}) AS sums").first()["sums"]
+    rows = centred.selectExpr("*", f"posexplode(array({', '.join(f'c{i}' for i in range(dims))})) AS (i, c)")
     out = np.zeros((dims, dims))
     left = [s - n * c for s, c in zip(sums, centre, strict=True)]
-    for (i, j), p in zip(pairs, found, strict=True):
-        out[i, j] = out[j, i] = float(Fraction(n * int(p) - left[i] * left[j], n * n)) if fits else p / n
+    for at in range(0, dims, COLUMNS):
+        block = range(at, min(at + COLUMNS, dims))
+        products = [F.expr(f"sum(IF(i <= {j}, c * c{j}, {'0L' if fits else '0D'}))").alias(f"p{j}") for j in block]
+        for r in rows.where(f"i <= {block[-1]}").groupBy("i").agg(*products).collect():
+            for j in range(max(r.i, at), block[-1] + 1):
+                p = r[f"p{j}"]
+                out[r.i, j] = out[j, r.i] = float(Fraction(n * p - left[r.i] * left[j], n * n)) if fits else p / n
     return out
 
 
