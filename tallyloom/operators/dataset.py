@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import hashlib
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators.patterns import occurrences
+from tallyloom.sources.scratch import written
+
 #: Letters, digits and underscore of any script.
 WORDS = r"[^\p{L}\p{N}_]+"
 #: Parts of a group that are ranked apart.
 PARTS = 32
-#: Names, at most, that are broadcast.
-BROADCAST_NAMES = 100_000
 
 
 def norm(c: Column) -> Column:
@@ -35,8 +39,65 @@ def fill_quotas(df: DataFrame, quotas: DataFrame, keys: list[str], order: str) -
     return first.withColumn("_r", rank()).where(F.col("_r") <= most).join(quotas, keys).where("_r <= quota").drop("_r", "_part", "quota")
 
 
-def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)))
+def numbered(df: DataFrame, order: list[str], column: str = "number") -> DataFrame:
+    """df with row numbers 0 ... n - 1 by `order`: written in ranges, counted by range, and numbered within each. Only one count for each range is gathered."""
+    ranged = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    sizes = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()  # one row for each range
+    first, starts = 0, []
+    for r in sizes:
+        starts.append((r["_part"], first))
+        first += r.n
+    base = F.broadcast(df.sparkSession.createDataFrame(starts, "_part long, _first long"))
+    within = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.withColumn("_part", part).join(base, "_part").withColumn(column, F.col("_first") + within).drop("_part", "_first", "_id")
+
+
+#: Rounds of the permutation, most steps that a number is walked back into range, and a prime below 2**31 for its mixing.
+ROUNDS, STEPS, PRIME = 6, 64, 2_147_483_647
+
+
+def permuted(number: Column, n: int, seed: int = 42) -> Column:
+    """A keyed permutation of 0 ... n - 1: each number's place in a shuffle, worked out from the number alone.
+
+    A Feistel network on a grid of a columns and b rows, a * b barely above n; what falls beyond n is put
+    through again until it doesn't. The same places wherever and in whatever order rows are read.
+    """
+    if n < 1 or n >= 1 << 52:
+        raise ValueError(f"can't permute {n} numbers")
+    a = math.isqrt(n - 1) + 1
+    b = -(-n // a)
+    keys = [int.from_bytes(hashlib.sha256(f"{seed}:{r}".encode()).digest()[:4], "big") % PRIME for r in range(ROUNDS)]
+
+    def mixed(x: Column, r: int) -> Column:
+        y = (x + keys[r]) % PRIME
+        return (y * y % PRIME) * (keys[r - 1] | 1) % PRIME
+
+    def left(r: int):
+        return lambda p: F.struct(((p["l"] + mixed(p["r"], r)) % a).alias("l"), p["r"].alias("r"))
+
+    def right(r: int):
+        return lambda p: F.struct(p["l"].alias("l"), ((p["r"] + mixed(p["l"], r)) % b).alias("r"))
+
+    def once(x: Column) -> Column:
+        pairs = F.array(F.struct((x % a).alias("l"), F.floor(x / a).cast("long").alias("r")))
+        for r in range(0, ROUNDS, 2):
+            pairs = F.transform(F.transform(pairs, left(r)), right(r + 1))
+        pair = F.get(pairs, F.lit(0))
+        return pair["l"] + pair["r"] * a
+
+    walk = lambda x, _: F.when(x < n, x).otherwise(once(x))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(min(a, STEPS))), once(number.cast("long")), walk)
+
+
+def shuffled(df: DataFrame, number: str, seed: int = 42, n: int | None = None) -> DataFrame:
+    """df with `position`, a row's place in the shuffle. number: a column of row numbers 0 ... n - 1 (counted if n isn't given).
+
+    No row moves for that: nothing is sorted or exchanged. To have rows in that order, write them in
+    shards by floor(position / size).
+    """
+    n = df.count() if n is None else n
+    return df.withColumn("position", permuted(F.col(number), n, seed) if n else F.lit(None).cast("long"))
 
 
 def seeded_sample(df: DataFrame, keys: list[str], key: str, n: int, seed: str = "42") -> DataFrame:
@@ -64,37 +125,11 @@ def token_set(c: Column) -> Column:
 
 
 def contained(names: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, name) where the words of a name stand in a row in a text: names meet texts by their first word, never all by all."""
-    words = lambda c: F.array_remove(F.split(F.lower(c), WORDS), "")
-    n = names.select("name", words(F.col("name")).alias("w")).where(F.size("w") > 0).withColumn("key", F.get("w", F.lit(0)))
-    n = F.broadcast(n) if names.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES else n
-    t = texts.select("id", words(F.col("text")).alias("t"))
-    candidates = t.select("id", "t", F.explode(F.array_distinct("t")).alias("key")).join(n, "key")
-    spaced = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
-    return candidates.where(F.contains(spaced(F.col("t")), spaced(F.col("w")))).select("id", "name").distinct()
-
-
-def near_duplicates(a: DataFrame, b: DataFrame, percent: int = 92) -> DataFrame:
-    """(id_a, id_b, similarity): token sets whose Jaccard index is at least percent / 100, by prefix filtering.
-
-    Tokens are ordered by ascending frequency; two sets that are similar share one of the first
-    n - ceil(percent * n / 100) + 1 tokens of each. a, b: id, text.
-    """
-    tokens = lambda d: d.select("id", token_set(F.col("text")).alias("w")).where(F.size("w") > 0)
-    ta, tb = tokens(a), tokens(b)
-    exploded = lambda d: d.select("id", F.size("w").alias("n"), F.explode("w").alias("t"))
-    frequency = exploded(ta).union(exploded(tb)).groupBy("t").agg(F.count(F.lit(1)).alias("f"))
-
-    def prefixes(d: DataFrame, side: str) -> DataFrame:
-        ranked = exploded(d).join(frequency, "t").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("o"))
-        keep = (F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1).cast("int")
-        return ranked.select(F.col("id").alias(f"id_{side}"), F.col("n").alias(f"n_{side}"), F.explode(F.slice("o", F.lit(1), keep)).alias("p")).select(f"id_{side}", f"n_{side}", "p.t")
-
-    met = prefixes(ta, "a").join(prefixes(tb, "b"), "t").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("id_a", "id_b").distinct()
-    both = met.join(ta.select(F.col("id").alias("id_a"), F.col("w").alias("x")), "id_a").join(tb.select(F.col("id").alias("id_b"), F.col("w").alias("y")), "id_b")
-    common = F.size(F.array_intersect("x", "y"))
-    both = both.withColumn("_c", common).withColumn("_u", F.size("x") + F.size("y") - F.col("_c"))
-    return both.where(100 * F.col("_c") >= percent * F.col("_u")).select("id_a", "id_b", (F.col("_c") / F.col("_u")).alias("similarity"))
+    """(id, name) where the words of a name stand in a row in a text: words are set apart by single spaces on both sides, and all names are looked for in one pass."""
+    spaced = lambda c: F.concat(F.lit(" "), F.array_join(F.array_remove(F.split(F.lower(c), WORDS), ""), " "), F.lit(" "))
+    known = names.select("name", spaced(F.col("name")).alias("_spaced")).where(F.trim("_spaced") != "").distinct()
+    met = occurrences(texts.select("id", spaced(F.col("text")).alias("_text")), "_text", known, "_spaced")
+    return met.select("id", "_spaced").distinct().join(known, "_spaced").select("id", "name")
 
 
 def pivot_counts(df: DataFrame, rows: str, columns: str, values: list[str]) -> DataFrame:
@@ -191,14 +226,14 @@ def chat_text(system: Column, prompt: Column, target: Column) -> Column:
     return F.concat(turn("system", system), turn("user", prompt), turn("assistant", target))
 
 
-def generated(spark: SparkSession, n: int, template: str, options: dict[str, list[str]]) -> DataFrame:
-    """gen_idx and prompt: n rows of a template whose {names} run through their options in mixed radix, the first name fastest."""
+def generated(rows: DataFrame, index: str, template: str, options: dict[str, list[str]]) -> DataFrame:
+    """gen_idx (the index, a long from 0 on) and prompt: a template whose {names} run through their options in mixed radix, the first name fastest."""
     text, radix = F.lit(template), 1
     for name, values in options.items():
-        at = F.pmod(F.floor(F.col("id") / radix), F.lit(len(values))).cast("int")
+        at = F.pmod(F.floor(F.col(index) / radix), F.lit(len(values))).cast("int")
         text = F.replace(text, F.lit("{" + name + "}"), F.get(F.array(*map(F.lit, values)), at))
         radix *= len(values)
-    return spark.range(n).select(F.col("id").alias("gen_idx"), text.alias("prompt"))
+    return rows.select(F.col(index).alias("gen_idx"), text.alias("prompt"))
 
 
 def canonical_list(items: Column) -> Column:

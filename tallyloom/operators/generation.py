@@ -134,6 +134,63 @@ def examples(spark: SparkSession, split: str, n: int) -> DataFrame:
     )
 
 
+# The grammar: how questions vary in words. A template's fixed words become slots; a row's turn chooses an option for each, in mixed radix.
+#: (words of a template, the slot in their place)
+WORDS_OF = (("total milk", "{total}"), ("average", "{mean}"), ("lowest", "{least}"), ("highest", "{greatest}"), ("entries", "{entries}"))
+#: What a slot may say. Each option holds a word by which a prompt shows what its target asks for.
+OPTIONS = {
+    "total": ["total milk", "milk in all", "the sum of milk", "how much milk"], "mean": ["average", "mean", "avg", "overall average"], "least": ["lowest", "minimum", "smallest", "very lowest"],
+    "greatest": ["highest", "maximum", "largest", "very highest"], "entries": ["entries", "deliveries", "collections", "rows"],
+}
+#: How a question begins.
+OPENINGS = ["", "please show ", "i need ", "quickly, "]
+#: How many turns each digit has, the fastest first: periods, phrases, openings, registers, numbers.
+RADIX = {"when": len(WHEN), "phrase": 4, "opening": len(OPENINGS), "register": len(REGISTERS), "n": 9}
+
+
+def skeletons() -> list[str]:
+    """The templates' questions with slots for their fixed words."""
+    out = []
+    for _, _, question, _ in TEMPLATES:
+        for words, slot in WORDS_OF:
+            question = question.replace(words, slot)
+        out.append(question)
+    return out
+
+
+def grammar_examples(names: DataFrame, key: str = "key", name: str = "name") -> DataFrame:
+    """gen_idx, category, register, prompt, target (JSON): every template for every name, in the words that the name's key chooses.
+
+    names: key (a unique long from 0 on), name. Rows are made where the names are: no shuffle, no
+    loop. Strangers and shared given names come from the vocabulary, as no register holds them.
+    """
+    many = len(TEMPLATES)
+    digit, left = {}, F.col("_turn")
+    for d, base in RADIX.items():
+        digit[d], left = left % base, F.floor(left / base)
+    rows = names.select(F.col(key).cast("long").alias("_turn"), F.col(name).alias("_who"), F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("_kind"))
+    turn, kind = F.col("_turn"), F.col("_kind")
+    others, given = strangers("train"), [g for g, _ in ambiguous()]
+    fixed = {r: k for k, (r, _) in enumerate(REGISTERS)}
+    own = _from([str(fixed.get(r, -1)) for _, r, _, _ in TEMPLATES], kind).cast("int")
+    register = F.when(own >= 0, own).otherwise(digit["register"])
+    values = {slot: _from(options, digit["phrase"]) for slot, options in OPTIONS.items()} | {
+        "who": F.col("_who"), "stranger": _from(others, turn % len(others)), "given": _from(given, turn % len(given)),
+        "when": _from([w for _, w in WHEN], digit["when"]), "period": _from([p for p, _ in WHEN], digit["when"]), "n": (digit["n"] + 10).cast("int").cast("string"),
+    }
+
+    def filled(text: Column) -> Column:
+        for slot, value in values.items():
+            text = F.replace(text, F.lit("{" + slot + "}"), value)
+        return text
+
+    question = F.concat(_from(OPENINGS, digit["opening"]), filled(_from(skeletons(), kind)))
+    return rows.select(
+        (turn * many + kind).alias("gen_idx"), _from([c for c, _, _, _ in TEMPLATES], kind).alias("category"), _from([r for r, _ in REGISTERS], register).alias("register"),
+        F.replace(_from([w for _, w in REGISTERS], register), F.lit("{}"), question).alias("prompt"), F.concat(F.lit("{"), filled(_from([t for _, _, _, t in TEMPLATES], kind)), F.lit("}")).alias("target"),
+    )
+
+
 def quotas(split: str) -> dict[int, int]:
     """How many examples of each category (by number) a split takes. Compositions (46) are kept out of training."""
     if split == "pilot":

@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 from tallyloom.functions import columns as C
 from tallyloom.functions import extraction as X
 from tallyloom.model import PERIODS, Aggregation, Conditional, Filter, Having, Order, Period, Query
-from tallyloom.operators import catalog, dataset, retrieval
-from tallyloom.plans import compiler, temporal
-from tallyloom.plans.questions import kind as question_kind
+from tallyloom.operators import catalog, dataset, retrieval, similar
+from tallyloom.plans import compiler, questions, temporal
 from tallyloom.plans.validate import record_errors
 from tallyloom.sources import relations as R
 
@@ -311,9 +310,12 @@ def _reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sentences(spark, sf_dir).select("o_orderkey", X.reconciled(X.quantity(F.col("text")), (F.col("o_orderkey") % 90).cast("string")).alias("quantity"))
 
 
-@entry("question_kinds", "SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'policy|rule|procedure|quota|rejection|spoilage|curdled|quality standard|milk standard|rejected milk|sour milk|sync protocol|sync policy|offline limit|when is payment considered|when is payment complete') THEN 'KNOWLEDGE' WHEN regexp_matches(lower(text), 'officer id|worker id|who am i|my center|my route|my profile|what is my id|my id') THEN 'PROFILE' WHEN regexp_matches(lower(text), 'organization|cooperative name|which union|registration number') THEN 'ORGANIZATION' ELSE 'RECORDS' END AS kind FROM conversations")
+_holds = lambda words: " OR ".join(f"contains(lower(text), '{w}')" for w in words)
+
+
+@entry("question_kinds", f"SELECT conv_id, turn, CASE WHEN {_holds(questions.POLICY)} THEN 'KNOWLEDGE' WHEN {_holds(questions.PROFILE)} THEN 'PROFILE' WHEN {_holds(questions.ORGANIZATION)} THEN 'ORGANIZATION' ELSE 'RECORDS' END AS kind FROM conversations")
 def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.table(spark, sf_dir, "conversations").select("conv_id", "turn", question_kind(F.col("text")).alias("kind"))
+    return R.table(spark, sf_dir, "conversations").select("conv_id", "turn", questions.kind(F.col("text")).alias("kind"))
 
 
 @entry("validate_record", _sql("""SELECT id, array_to_string(list_filter([CASE WHEN length(trim(farmer_name)) < 2 THEN 'name' END, CASE WHEN quantity <= 0 OR quantity > 1000 THEN 'quantity' END,
@@ -386,7 +388,7 @@ _SETS = "SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(te
     SELECT id_a, id_b FROM c JOIN s x ON x.doc_id = id_a JOIN s y ON y.doc_id = id_b WHERE 100 * len(list_intersect(x.w, y.w)) >= 92 * (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w)))""")
 def _jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = R.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return dataset.near_duplicates(d, d).where("id_a < id_b").select("id_a", "id_b")
+    return similar.near_duplicates(d, d).where("id_a < id_b").select("id_a", "id_b")
 
 
 @entry("entity_leak", "SELECT doc_id AS id, w AS name FROM documents, (SELECT 'the in' AS w UNION ALL SELECT 'der und') WHERE contains(' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> ''), ' ') || ' ', ' ' || w || ' ')")
@@ -418,9 +420,9 @@ def _chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.table(spark, sf_dir, "conversations").select("conv_id", "turn", dataset.chat_text(F.col("role"), F.col("text"), F.col("conv_id").cast("string")).alias("chat"))
 
 
-@entry("generate_prompts", """SELECT g AS gen_idx, replace(replace('How much did {who} give {when}?', '{who}', (['Asha', 'Ravi', 'Meena'])[CAST(g % 3 AS INT) + 1]), '{when}', (['today', 'this week'])[CAST((g // 3) % 2 AS INT) + 1]) AS prompt FROM range(600) t(g)""")
+@entry("generate_prompts", """SELECT o_orderkey AS gen_idx, replace(replace('How much did {who} give {when}?', '{who}', (['Asha', 'Ravi', 'Meena'])[CAST(o_orderkey % 3 AS INT) + 1]), '{when}', (['today', 'this week'])[CAST((o_orderkey // 3) % 2 AS INT) + 1]) AS prompt FROM orders""")
 def _generate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dataset.generated(spark, 600, "How much did {who} give {when}?", {"who": ["Asha", "Ravi", "Meena"], "when": ["today", "this week"]})
+    return dataset.generated(R.table(spark, sf_dir, "orders"), "o_orderkey", "How much did {who} give {when}?", {"who": ["Asha", "Ravi", "Meena"], "when": ["today", "this week"]})
 
 
 @entry("canonicalize", "SELECT o_orderkey, '[' || array_to_string(list_transform(list_sort(list_distinct([o_orderstatus, o_orderpriority, 'F'])), lambda x: '\"' || x || '\"'), ',') || ']' AS canonical FROM orders")
@@ -481,7 +483,7 @@ def _streaming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _all() -> dict[str, tuple[Build, str | None]]:
-    from tallyloom.operators import registry_targets, registry_untried  # noqa: F401  (they enter their queries)
+    from tallyloom.operators import registry_many, registry_targets, registry_untried  # noqa: F401  (they enter their queries)
 
     return _ENTRIES
 

@@ -163,16 +163,16 @@ def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @entry("prompt_entity_leaks_by_gram", f"SELECT o_orderkey AS k, name FROM orders JOIN customer ON o_custkey = c_custkey, (VALUES {_HELD_SQL}) v(name) WHERE contains(lower('Milk of ' || c_name || ' today'), name) OR lower(trim(CASE WHEN o_orderkey % 50 = 0 THEN ' Customer#000000077' ELSE '' END)) = name")
-def _leaks_by_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _leak_rows(spark, sf_dir, 0)
+def _leaks_in_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leak_rows(spark, sf_dir, 8)
 
 
-def _leak_rows(spark: SparkSession, sf_dir: str, *most: int) -> DataFrame:
+def _leak_rows(spark: SparkSession, sf_dir: str, *slice_chars: int) -> DataFrame:
     c = R.table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     o = R.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_custkey").join(c, F.col("o_custkey") == F.col("c_custkey"))
     rows = o.select("k", F.concat(F.lit("Milk of "), "c_name", F.lit(" today")).alias("prompt"), F.when(F.col("k") % 50 == 0, " Customer#000000077").alias("entity"))
     names = spark.createDataFrame([(n,) for n in _HELD], "name string")
-    return targets.entity_leaks(rows, names, "prompt", "entity", *most).select("k", "name")
+    return targets.entity_leaks(rows, names, "prompt", "entity", *slice_chars).select("k", "name")
 
 
 # Made examples -----------------------------------------------------------------------------------
@@ -180,36 +180,44 @@ def _quoted(items: list[str]) -> str:
     return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + "]"
 
 
-def _examples_sql(split: str, n: int) -> str:
-    g, names = generation, generation.vocabulary(split)
+def _examples_sql() -> str:
+    """Every template for every customer, in SQL: made(gen_idx, category, register, prompt, target)."""
+    g, at = generation, lambda items, i: f"({_quoted(items)})[CAST({i} AS INT) + 1]"
     own = [str({r: k for k, (r, _) in enumerate(g.REGISTERS)}.get(r, -1)) for _, r, _, _ in g.TEMPLATES]
+    digits, step = [], 1
+    for d, base in g.RADIX.items():
+        digits.append(f"(turn // {step}) % {base} AS d_{d}")
+        step *= base
     fill = "x"
-    for key, value in (("who", "who"), ("stranger", "stranger"), ("given", "given"), ("when", "w.said"), ("period", "w.period"), ("n", "n")):
-        fill = f"replace({fill}, '{{{key}}}', {value})"
-    at = lambda items, i: f"({_quoted(items)})[CAST({i} AS INT) + 1]"
-    return f"""WITH i AS (SELECT g, g % {len(g.TEMPLATES)} AS kind, g // {len(g.TEMPLATES)} AS turn FROM range({n}) r(g)),
-    j AS (SELECT g, kind, {at(names, f"turn % {len(names)}")} AS who, {at(g.strangers(split), f"turn % {len(g.strangers(split))}")} AS stranger, {at([x for x, _ in g.ambiguous()], f"turn % {g.AMBIGUOUS}")} AS given,
-      (turn % {len(names)} + turn // {len(names)}) % {len(g.WHEN)} AS w, CAST(turn % 9 + 10 AS VARCHAR) AS n, (turn // {len(g.WHEN)}) % {len(g.REGISTERS)} AS by_turn, CAST({at(own, "kind")} AS INT) AS own FROM i),
-    w AS (SELECT unnest(range({len(g.WHEN)})) AS w, unnest({_quoted([p for p, _ in g.WHEN])}) AS period, unnest({_quoted([s for _, s in g.WHEN])}) AS said),
-    made AS (SELECT g AS gen_idx, '{split}' AS split, {at([c for c, _, _, _ in g.TEMPLATES], "kind")} AS category, {at([r for r, _ in g.REGISTERS], "CASE WHEN own >= 0 THEN own ELSE by_turn END")} AS register,
-      replace({at([s for _, s in g.REGISTERS], "CASE WHEN own >= 0 THEN own ELSE by_turn END")}, '{{}}', {fill.replace("x", at([q for _, _, q, _ in g.TEMPLATES], "kind"), 1)}) AS prompt,
-      '{{' || {fill.replace("x", at([t for _, _, _, t in g.TEMPLATES], "kind"), 1)} || '}}' AS target FROM j JOIN w ON j.w = w.w)"""
-
-
-@entry("generated_examples", _examples_sql("train", 20_000) + " SELECT * FROM made")
+    for slot, options in g.OPTIONS.items():
+        fill = f"replace({fill}, '{{{slot}}}', {at(options, 'd_phrase')})"
+    for slot, value in (("who", "who"), ("stranger", at(g.strangers("train"), f"turn % {len(g.strangers('train'))}")), ("given", at([x for x, _ in g.ambiguous()], f"turn % {g.AMBIGUOUS}")), ("when", at([w for _, w in g.WHEN], "d_when")), ("period", at([p for p, _ in g.WHEN], "d_when")), ("n", "CAST(d_n + 10 AS VARCHAR)")):
+        fill = f"replace({fill}, '{{{slot}}}', {value})"
+    question = fill.replace("x", at(g.skeletons(), "kind"), 1)
+    return f"""WITH t AS (SELECT c_custkey AS turn, c_name AS who, unnest(range({len(g.TEMPLATES)})) AS kind FROM customer), i AS (SELECT turn, who, kind, {', '.join(digits)} FROM t),
+    j AS (SELECT *, CASE WHEN CAST({at(own, "kind")} AS INT) >= 0 THEN CAST({at(own, "kind")} AS INT) ELSE d_register END AS r FROM i),
+    made AS (SELECT turn * {len(g.TEMPLATES)} + kind AS gen_idx, {at([c for c, _, _, _ in g.TEMPLATES], "kind")} AS category, {at([r for r, _ in g.REGISTERS], "r")} AS register,
+      replace({at([s for _, s in g.REGISTERS], "r")}, '{{}}', {at(g.OPENINGS, "d_opening")} || {question}) AS prompt, '{{' || {fill.replace("x", at([t for _, _, _, t in g.TEMPLATES], "kind"), 1)} || '}}' AS target FROM j)"""
+
+
+def _made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generation.grammar_examples(R.table(spark, sf_dir, "customer"), "c_custkey", "c_name")
+
+
+@entry("generated_examples", _examples_sql() + " SELECT * FROM made")
 def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generation.examples(spark, "train", 20_000)
+    return _made(spark, sf_dir)
 
 
 @entry(
     "split_build",
-    f"""{_examples_sql("validation", 6000)}, numbered AS (SELECT unnest({_quoted(list(targets.CATEGORIES))}) AS category, unnest({list(targets.CATEGORIES.values())}) AS c),
+    f"""{_examples_sql()}, numbered AS (SELECT unnest({_quoted(list(targets.CATEGORIES))}) AS category, unnest({list(targets.CATEGORIES.values())}) AS c),
     first AS (SELECT gen_idx, made.category, register, prompt FROM made QUALIFY row_number() OVER (PARTITION BY lower(trim(prompt)) ORDER BY gen_idx) = 1),
     known AS (SELECT gen_idx, prompt, coalesce(c, CASE register {" ".join(f"WHEN '{r}' THEN {n}" for r, n in targets.VARIATION.items())} ELSE 40 END) AS c FROM first LEFT JOIN numbered USING (category))
     SELECT gen_idx, c AS category_id, prompt FROM known QUALIFY row_number() OVER (PARTITION BY c ORDER BY gen_idx) <= CASE WHEN c = 46 THEN 40 ELSE 18 END""",
 )
 def _build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = generation.examples(spark, "validation", 6000).withColumn("t", targets.canonical(targets.parsed("target")))
+    rows = _made(spark, sf_dir).withColumn("t", targets.canonical(targets.parsed("target")))
     rows = targets.checked(rows, "prompt", "t", "gen_idx").where(F.size("errors") == 0).withColumn("category_id", targets.category_id(F.col("category"), F.col("register")))
     quotas = spark.createDataFrame(list(generation.quotas("validation").items()), "category_id int, quota int")
     return dataset.fill_quotas(rows, quotas, ["category_id"], "gen_idx").select("gen_idx", "category_id", "prompt")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.model import AGGREGATIONS, COMPARISONS, FIELDS, OPERATORS, PERIODS, REQUEST_TYPES, SCOPES, TARGETS
+from tallyloom.operators.patterns import SLICE_CHARS, occurrences
 
 _FILTER = "struct<field:string,op:string,value:string,secondaryValue:string>"
 _TIME = "struct<type:string,period:string,date:string,startDate:string,endDate:string>"
@@ -106,7 +107,7 @@ def errors(t: Column) -> Column:
     each = lambda c, rule: F.flatten(F.transform(c, rule))
     time, having, order, grouped = t["time"], t["havingFilter"], t["orderBy"], F.size(t["groupBy"]) > 0
     measured, numeric = _named(measured=True), _named(numeric=True)
-    counts, sums = ["COUNT_RECORDS", "COUNT_DISTINCT_FARMERS"], [a for a in AGGREGATIONS if a[:5] != "COUNT"]
+    counts, sums = ["COUNT_RECORDS", "COUNT_DISTINCT_FARMERS"], ["SUM", "AVG", "MIN", "MAX"]
     found = F.concat(
         one(
             if_(lacks(t["type"], REQUEST_TYPES), code("type", t["type"])),
@@ -248,21 +249,11 @@ def shared_entities(rows: DataFrame, split: str, entity: str, splits: list[str])
     return one.select(F.inline(F.array(*(F.struct(F.lit(splits[i]).alias("split_a"), F.lit(splits[j]).alias("split_b"), F.col(f"n_{i}_{j}").alias("n")) for i, j in pairs))))
 
 
-def entity_leaks(rows: DataFrame, names: DataFrame, prompt: str = "prompt", entity: str = "entity", most: int = 1000) -> DataFrame:
+def entity_leaks(rows: DataFrame, names: DataFrame, prompt: str = "prompt", entity: str = "entity", slice_chars: int = SLICE_CHARS) -> DataFrame:
     """rows with `name`, a row for each held-out name that stands anywhere in the prompt, or is the target's entity, without case.
 
-    Up to `most` names are tried against each text in one scan. More of them meet texts by their
-    first three characters, so that names and texts are never paired all by all.
+    All names are looked for in one pass over each text: see patterns.occurrences.
     """
-    names = names.select(F.lower(F.trim("name")).alias("name")).where("name <> ''").distinct()
-    text, own = F.lower(F.coalesce(F.col(prompt), F.lit(""))), F.lower(F.trim(F.coalesce(F.col(entity), F.lit(""))))
-    known = sorted(r.name for r in names.limit(most + 1).collect())
-    if len(known) <= most:
-        hits = F.filter(F.array(*map(F.lit, known)).cast("array<string>"), lambda n: F.contains(text, n) | (own == n))
-        return rows.select("*", F.explode(hits).alias("name"))
-    both = F.concat_ws("\n", text, own)
-    places = F.sequence(F.lit(1), F.greatest(F.length(both), F.lit(1)))
-    of = lambda n: F.transform(places, lambda i: F.substring(both, i, F.lit(n)))
-    grams = F.array_distinct(F.concat(of(1), of(2), of(3)))
-    met = rows.withColumn("_gram", F.explode(grams)).join(names.withColumn("_gram", F.substring("name", 1, 3)), "_gram")
-    return met.where(F.contains(text, F.col("name")) | (own == F.col("name"))).drop("_gram")
+    held = names.select(F.lower(F.trim("name")).alias("name"))
+    both = {"_text": F.lower(F.col(prompt)), "_own": F.lower(F.trim(F.col(entity)))}
+    return occurrences(rows.withColumns(both), "_text", held, "name", "_own", slice_chars).drop("_text", "_own")

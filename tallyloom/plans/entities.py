@@ -6,10 +6,12 @@ import re
 import unicodedata
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.columns import composed, name_tokens, normalized_name
+from tallyloom.functions.columns import capitalized, composed, name_tokens, normalized_name
+from tallyloom.operators import patterns
+from tallyloom.sources.scratch import written
 
 #: Names that an ambiguous mention lists at most.
 LISTED = 50
@@ -77,6 +79,66 @@ def mention_in(text: str, names: list[str]) -> str | None:
     return next((t[:1].upper() + t[1:] for t in tokens(asked) if t in known), None)
 
 
+def _plain(c: Column, rows: DataFrame) -> Column:
+    """The normalized name of a column; only decomposed texts pay for composing."""
+    return normalized_name(c if rows.where(c.rlike(r"\p{M}")).isEmpty() else composed(c))
+
+
+def resolve_all(mentions: DataFrame, registry: DataFrame) -> DataFrame:
+    """For each distinct mention: status, farmer_id, farmer_name, how and n_candidates, as resolve() has them for one; a row a mention, and no pairs.
+
+    how: 1 an equal name, 2 containment either way, 3 tokens in common; null where nothing fits. A
+    resolved mention has the least (farmer_id, farmer_name) of those that win. n_candidates counts the
+    names that fit; for how = 3 it is the number that the commonest of the mention's tokens has, which
+    is the least there can be (2 at least, where it is ambiguous).
+
+    Names inside mentions and mentions inside names are found by automata over the mentions and over
+    the registry, in one scan each. Mentions inside names are counted by name length within tasks, so a
+    mention that all names hold gives a few rows. Tokens meet by their counts and least and greatest names.
+    """
+    asks = mentions.select("mention").distinct()
+    asks = written(asks.select("mention", F.coalesce(_plain(F.col("mention"), asks), F.lit("")).alias("asked")))
+    name, here = F.struct("farmer_id", "farmer_name").alias("name"), registry.where("is_active")
+    known = here.select(name, _plain(F.col("normalized_name"), here).alias("known")).where("known <> ''")
+    asked = asks.select("asked").where("asked <> ''").distinct()
+
+    by_name = known.groupBy("known").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("name"))
+    equal = written(asked.join(by_name, F.col("asked") == F.col("known")).select("asked", F.lit(1).alias("how"), F.lit(True).alias("won"), "name", "n"))
+    open_ = asked.join(equal, "asked", "left_anti")
+    inside = patterns.occurrences(open_, "asked", by_name, "known").join(by_name, "known").select("asked", F.length("known").alias("length"), "n", "name")
+    around = patterns.counted(known, "known", "name", open_, "asked").select("asked", "length", "n", "name")
+    by_length = inside.unionByName(around).groupBy("asked", "length").agg(F.sum("n").alias("n"), F.min("name").alias("name"))
+    best = by_length.groupBy("asked").agg(F.sum("n").alias("n"), F.max_by(F.struct("n", "name"), "length").alias("top"))
+    contained = written(best.select("asked", F.lit(2).alias("how"), (F.col("top.n") == 1).alias("won"), F.col("top.name").alias("name"), "n"))
+
+    token = lambda c: F.explode(F.array_distinct(name_tokens(F.col(c)))).alias("token")
+    tokens_ = known.select("name", token("known")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("least"), F.max("name").alias("most"))
+    left = open_.join(contained, "asked", "left_anti").select("asked", token("asked"))
+    shared = left.join(tokens_, "token").groupBy("asked").agg(F.max("n").alias("n"), F.min("least").alias("name"), F.max("most").alias("most"))
+    one = (F.col("n") == 1) & (F.col("name") == F.col("most"))
+    by_token = shared.select("asked", F.lit(3).alias("how"), one.alias("won"), "name", F.when(one, F.lit(1)).otherwise(F.greatest("n", F.lit(2))).cast("long").alias("n"))
+
+    answers = equal.unionByName(contained).unionByName(by_token)
+    out = asks.join(answers, "asked", "left")
+    status = F.when(F.col("how").isNull(), "NOT_FOUND").when(F.col("won"), "RESOLVED").otherwise("AMBIGUOUS")
+    return out.select("mention", status.alias("status"), F.when(F.col("won"), F.col("name.farmer_id")).alias("farmer_id"), F.when(F.col("won"), F.col("name.farmer_name")).alias("farmer_name"), "how", F.coalesce("n", F.lit(0)).alias("n_candidates"))
+
+
+def mentions_in(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(key, mention) of each text, as mention_in() has it for one: the longest name that stands in it as words, else the first of its tokens that some name has, capitalized; else null.
+
+    texts: key (unique), text; names: name. Of equally long names the least wins.
+    """
+    spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    asked = written(texts.select("key", F.coalesce(spaced(_plain(F.col("text"), texts)), F.lit("")).alias("asked")))
+    known = names.select("name", _plain(F.col("name"), names).alias("known")).where("known <> ''")
+    by_known = known.groupBy(spaced(F.col("known")).alias("known")).agg(F.min("name").alias("name"))
+    whole = written(patterns.longest(asked, "key", "asked", by_known, "known").join(by_known, "known").select("key", F.col("name").alias("mention")))
+    tokens_ = known.select(F.explode(name_tokens(F.col("known"))).alias("token")).distinct().select(spaced(F.col("token")).alias("token"))
+    first = patterns.earliest(asked.join(whole, "key", "left_anti"), "key", "asked", tokens_, "token").select("key", capitalized(F.trim("token")).alias("mention"))
+    return texts.select("key").join(whole.unionByName(first), "key", "left")
+
+
 def match_all(mentions: DataFrame, registry: DataFrame) -> DataFrame:
     """(mention, farmer_id) of every shared token: set-at-a-time, an equi-join of exploded tokens."""
     a = mentions.select("mention", F.explode(F.array_distinct(name_tokens(normalized_name(composed(F.col("mention")))))).alias("token"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from datetime import date, datetime, time, timedelta
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from tallyloom.model import PERIODS, Period
 
 DAY, MS = timedelta(days=1), timedelta(milliseconds=1)
 DATE_FORMATS = ("%Y-%m-%d", "%d/%m/%Y", "%d-%m-%Y", "%Y/%m/%d")
+#: A day in a text.
+DAY_IN_TEXT = r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}-\d{2}-\d{4}"
 # What a period is called in a text or by a model, tried in order.
 IN_TEXT = (
     ("LAST_SUNDAY", ("last sunday", "on sunday", "past sunday")), ("SINCE_MONDAY", ("since monday", "from monday")), ("THIS_WEEK", ("this week", "weekly")),
@@ -43,12 +47,32 @@ def parse_token(token: str) -> str | None:
 
 def from_text(text: str) -> Period | None:
     """A date in the text, else the first period named."""
-    if m := re.search(r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}-\d{2}-\d{4}", text):
+    if m := re.search(DAY_IN_TEXT, text, re.A):
         return Period("DATE", None, m[0])
     found = next((p for p, words in IN_TEXT if any(w in text.lower() for w in words)), None)
     return Period("RELATIVE", found) if found else None
 
 
+def token_period(token: Column) -> Column:
+    """parse_token() for a column."""
+    name = F.replace(F.upper(F.trim(token)), F.lit(" "), F.lit("_"))
+    found = F.when(name.isin(list(PERIODS)), name)
+    for p, words in IN_TOKEN:
+        found = found.when(reduce(or_, (F.contains(name, F.lit(w)) for w in words)), p)
+    return found
+
+
+def text_period(text: Column) -> Column:
+    """from_text() for a column: struct(kind, period, start); null where no period is named."""
+    day = F.regexp_extract(text, DAY_IN_TEXT, 0)
+    low = F.lower(text)
+    made = lambda kind, period, start: F.struct(F.lit(kind).alias("kind"), F.lit(period).cast("string").alias("period"), start.cast("string").alias("start"))
+    found = F.when(day != "", made("DATE", None, day))
+    for p, words in IN_TEXT:
+        found = found.when(reduce(or_, (F.contains(low, F.lit(w)) for w in words)), made("RELATIVE", p, F.lit(None)))
+    return found
+
+
 def bounds(p: Period, as_of: datetime) -> tuple[datetime, datetime]:
     """[start, end) of a period. Weeks begin on Monday; this week and this month run to a day after as_of."""
     today = datetime.combine(as_of.date(), time())

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions.columns import half_up
+from tallyloom.sources.scratch import drop, shared_folder, written
 
 #: The fact relation. Times are naive timestamps; money is double.
 RECORD = T.StructType(
@@ -88,25 +91,76 @@ def upsert(current: DataFrame, changes: DataFrame, key: str, version: str) -> Da
     return best.select("_row.*")
 
 
-def insert_absent(current: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+#: Open rows that one task takes in order.
+IN_ORDER = 100_000
+
+
+def insert_absent(current: DataFrame, new: DataFrame, keys: list[str], order: str | None = None, in_order: int = IN_ORDER) -> DataFrame:
     """current, and the rows of new that share none of the keys with it or with a row inserted before them.
 
-    New rows come in ascending `order` (the first key if not given). Each round inserts those that are
-    the first of every key they have; rows that collide with these leave, and the rest is looked at again.
+    New rows come in ascending `order` (the first key if not given), ties by all columns. A null key
+    collides with nothing. Rows are numbered once in a written table; from then on only numbers and
+    keys of open rows move, and every step's open rows and choices are written, so that no plan grows.
+    A round inserts the rows that are the first of every key they have, wherever they stand, and drops
+    what collides with them. Rows in a chain, each colliding with the one before, would take a round
+    each: if a round closes fewer than `in_order` rows, or no more are open, the first `in_order` open
+    rows are taken one after another in one task, which holds no more than those.
     """
-    place = F.struct(order or keys[0], *new.columns)
+    spark = current.sparkSession
+    folder = shared_folder(spark, "insert")
+    numbered = new.orderBy(order or keys[0], *new.columns).withColumn("_id", F.monotonically_increasing_id())
+    rows = written(numbered, f"{folder}/rows")
+    opened = rows.select("_id", *keys)
     for k in keys:
-        new = new.join(current.select(k), k, "left_anti").select(*new.columns)
-    while True:
-        ranked = new.withColumn("_place", place)
-        for k in keys:
-            ranked = ranked.join(new.groupBy(k).agg(F.min(place).alias(f"_first_{k}")), k)
-        chosen = ranked.where(" AND ".join(f"_place = _first_{k}" for k in keys)).select(*new.columns).distinct()
-        current = current.unionByName(chosen)
+        opened = opened.join(current.select(k).where(F.col(k).isNotNull()), k, "left_anti")
+    opened = written(opened.select("_id", *keys))
+    left, closed, turn = opened.count(), in_order, 0
+    schema = opened.schema
+    while left:
+        path = f"{folder}/chosen/turn={turn}"
+        if left <= in_order or closed < in_order:
+            taken = written(opened.orderBy("_id").limit(in_order))
+            chosen = written(taken.repartition(1).mapInArrow(_in_order(keys), schema), path)
+            after = opened.where(F.col("_id") > taken.agg(F.max("_id")).first()[0])
+        else:
+            taken = None
+            first = [opened.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("_id").alias("_id")).select("_id") for k in keys]
+            free = [opened.where(F.col(k).isNull()).select("_id") for k in keys]
+            every = reduce(DataFrame.union, first + free).groupBy("_id").count().where(F.col("count") == len(keys))
+            chosen = written(opened.join(every, "_id", "left_semi"), path)
+            after = opened.join(chosen.select("_id"), "_id", "left_anti")
         for k in keys:
-            new = new.join(chosen.select(k), k, "left_anti").select(*new.columns)
-        if new.isEmpty():
-            return current
+            after = after.join(chosen.select(k).where(F.col(k).isNotNull()), k, "left_anti")
+        before, opened = opened, written(after.select("_id", *keys))
+        still = opened.count()
+        # After rows in order, rounds are tried again.
+        left, closed, turn = still, left - still if taken is None else in_order, turn + 1
+        drop(before, *([taken] if taken is not None else []))
+    if not turn:
+        return current
+    chosen = spark.read.schema(T.StructType([*schema, T.StructField("turn", T.IntegerType())])).parquet(f"{folder}/chosen")
+    return current.unionByName(rows.join(chosen.select("_id"), "_id", "left_semi").select(*new.columns))
+
+
+def _in_order(keys: list[str]):
+    """Of a task's rows, by number, those that share no key with a chosen one before."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held).sort_by("_id")
+        seen, keep = [set() for _ in keys], []
+        for i, row in enumerate(zip(*(table.column(k).to_pylist() for k in keys), strict=True)):
+            if not any(v is not None and v in s for v, s in zip(row, seen, strict=True)):
+                keep.append(i)
+                for v, s in zip(row, seen, strict=True):
+                    s.add(v)
+        yield from table.take(pa.array(keep, pa.int64())).to_batches()
+
+    return run
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import threading
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from tallyloom.sources.scratch import shared_folder
+
 
 def follow(spark: SparkSession, folder: str, schema: StructType, query: Callable[[DataFrame], DataFrame], name: str, checkpoint: str | None = None) -> StreamingQuery:
     """Keeps an aggregate of a folder's Parquet files current, incrementally, in the in-memory table `name`. New parameters: stop it and follow anew."""
@@ -24,16 +24,6 @@ def on_change(spark: SparkSession, folder: str, schema: StructType, query: Calla
     return spark.readStream.schema(schema).parquet(folder).writeStream.foreachBatch(again).option("checkpointLocation", checkpoint).start()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share. Only a local session may do without: it has one disk."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='tallyloom-')}"
-    return f"{root.rstrip('/')}/live-{uuid.uuid4().hex}"
-
-
 def once(spark: SparkSession, path: str, schema: StructType, query: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Streams all that is there now through an aggregate and returns its final state, written in the shared folder: none of it goes to the driver."""
     folder = shared_folder(spark)

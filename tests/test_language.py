@@ -13,7 +13,7 @@ from tallyloom import model
 from tallyloom.functions import columns as C
 from tallyloom.functions import extraction as X
 from tallyloom.model import Aggregation, Conditional, Filter, Having, Order, Period, Query
-from tallyloom.operators import dataset, retrieval
+from tallyloom.operators import dataset, retrieval, similar
 from tallyloom.plans import compiler, predicates, temporal
 from tallyloom.plans.entities import match_all, mention_in, normalize, resolve
 from tallyloom.plans.questions import parse
@@ -229,7 +229,7 @@ def test_dataset_operators(spark, tmp_path):
     assert {r.i for r in dataset.first_of_prompt(prompts, "p", "i").collect()} == {1, 3}
     assert [tuple(r) for r in dataset.exact_overlaps(prompts, "split", "p").collect()] == [("a", "b", "hello there")]
     a = spark.createDataFrame([(1, "schön ist das Leben"), (2, "ganz anders")], "id long, text string")
-    assert [tuple(r) for r in dataset.near_duplicates(a, a.withColumn("id", F.col("id") + 10), 92).collect()] == [(1, 11, 1.0), (2, 12, 1.0)]
+    assert sorted(tuple(r) for r in similar.near_duplicates(a, a.withColumn("id", F.col("id") + 10), 92).collect()) == [(1, 11, 1.0), (2, 12, 1.0)]
     R.write_jsonl(prompts, f"{tmp_path}/out", "split")
     assert R.read_jsonl(spark, f"{tmp_path}/out/split=b", prompts.drop("split").schema).count() == 2
 
@@ -286,7 +286,7 @@ def test_asking(spark, records, registry):
 def test_partitions_and_reports(spark, tmp_path):
     from tallyloom.sources import reports
 
-    made = dataset.generated(spark, 12, "How much did {who} give {when}?", {"who": ["Asha", "Ravi"], "when": ["today", "this week"]}).withColumn("category", F.when(F.col("gen_idx") % 2 == 0, "a").otherwise("b"))
+    made = dataset.generated(spark.range(12), "id", "How much did {who} give {when}?", {"who": ["Asha", "Ravi"], "when": ["today", "this week"]}).withColumn("category", F.when(F.col("gen_idx") % 2 == 0, "a").otherwise("b"))
     quotas = spark.createDataFrame([("a", 1), ("b", 5)], "category string, quota int")
     errors = dataset.fidelity_errors(F.col("prompt"), period=F.lit("TODAY"))
     filled, lacking = dataset.build_partition(made, errors, quotas, ["category"])
@@ -369,6 +369,46 @@ def test_insertions_one_after_another(spark):
         assert {tuple(r) for r in got.collect()} == want | {("a", "u", -1)}
 
 
+def one_by_one(have, rows):
+    """What inserting rows one after another leaves: a null key collides with nothing."""
+    seen, out = [{r[k] for r in have if r[k] is not None} for k in (0, 1)], list(have)
+    for r in sorted(rows, key=lambda r: r[2]):
+        if not any(r[k] is not None and r[k] in seen[k] for k in (0, 1)):
+            out.append(r)
+            for k in (0, 1):
+                seen[k].add(r[k])
+    return sorted(out, key=str)
+
+
+def test_insert_of_a_long_chain(spark):
+    """Each row collides with the one before it; in rounds alone that would be 5,000 of them."""
+    rows = [(f"f{i // 2}", f"n{(i + 1) // 2}", i) for i in range(10_000)]
+    schema = "a string, b string, i int"
+    have, new = spark.createDataFrame([], schema), spark.createDataFrame(rows, schema)
+    got = R.insert_absent(have, new, ["a", "b"], "i")
+    assert sorted((tuple(r) for r in got.collect()), key=str) == one_by_one([], rows)
+    size = len(got._jdf.queryExecution().toString())
+    parts = R.insert_absent(have, new, ["a", "b"], "i", in_order=3000)  # several steps of rounds and rows in order
+    assert sorted((tuple(r) for r in parts.collect()), key=str) == one_by_one([], rows)
+    assert len(parts._jdf.queryExecution().toString()) < 1.2 * size
+
+
+@pytest.mark.parametrize("in_order", [1, 7, 1000])
+def test_insert_of_odd_keys(spark, in_order):
+    """Null keys, rows that are repeated, one key that a third of all rows have, keys that are there already."""
+    import random
+
+    rnd = random.Random(in_order)
+    rows = [(None if i % 17 == 0 else "hot" if i % 3 == 0 else f"a{rnd.randrange(40)}", None if i % 13 == 0 else f"b{rnd.randrange(60)}", i) for i in range(150)]
+    rows += [rows[5], rows[0]]
+    have = [("a1", "b1", -1), (None, "b2", -2), ("a3", None, -3)]
+    schema = "a string, b string, i int"
+    got = R.insert_absent(spark.createDataFrame(have, schema), spark.createDataFrame(rows, schema), ["a", "b"], "i", in_order)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == one_by_one(have, rows)
+    none = R.insert_absent(spark.createDataFrame(have, schema), spark.createDataFrame([], schema), ["a", "b"], "i", in_order)
+    assert none.count() == 3
+
+
 def test_splits_share_no_names():
     from tallyloom.operators import generation
 
