@@ -8,9 +8,13 @@ each string of `length` bytes is keyed by the smallest-hashed 20-byte gram insid
 strings share. The strings keyed by one occurrence of a gram are consecutive, and form a segment.
 A gram that stands in very many different segments (a common line that is shorter than `length`)
 would bring them all to one task: its strings are keyed by where the gram stands in them, in steps
-of STRETCH places, and by the bytes that all strings of such a step have in common.
+of STRETCH places, and by the bytes that all strings of such a step have in common. Where a passage of
+many texts begins or ends, those bytes are alike while the few beside them differ; such a step's strings
+are keyed one by one, by all their bytes.
   1. Of documents with equal bytes the first stands for all; the others go whole.
-  2. Segments with equal bytes keep their first; the others go whole. This needs no text.
+  2. Segments with equal bytes keep their first; the others go whole. This needs no text. A task finds
+     equal ones among HELD of its own first, so that a passage of all texts comes to the task of its key
+     once for each HELD segments of the corpus.
   3. Where segments that differ share a key (the ends of repeated passages), the first of each are
      brought together. Their suffixes are sorted to depth `length`; the previous and the next
      smaller position in suffix order, with the common prefixes that lie between, give each
@@ -28,6 +32,8 @@ Defined results
   very long text         one step of its own; memory grows with the single text only
   empty table            no rows
   extra columns          ignored by dedup(); cut_documents() passes them through
+  a cut within a character   dedup() counts and hashes bytes; cut_documents(), whose texts are strings,
+                         drops what is left of that character as well
 """
 
 from __future__ import annotations
@@ -37,6 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,7 +60,7 @@ SEGMENTS_PER_TASK = 40_000
 #: A gram is hot if so many different segments have it, and one in so many of all: there are no more hot grams than
 #: HOT_SHARE (8 MB to broadcast) at any scale, and no other gram has more segments than that.
 HOT_LEAST, HOT_SHARE = 1000, 1_000_000
-#: Segments (16 bytes each) that a task holds at once to count those of a gram.
+#: Segments (16 to 36 bytes each) that a task holds at once.
 HELD = 1_000_000
 #: Places of a hot gram that one key takes together.
 STRETCH = 8
@@ -102,12 +109,22 @@ def longest_previous_factors(data: bytes) -> list[int]:
     return lpf
 
 
-def _segments(raw: np.ndarray, offsets: np.ndarray, length: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """(key, fingerprint, text, start in text, size) of the segments of texts laid end to end, by text and start. hot: sorted grams."""
+def _among(values: np.ndarray, known: np.ndarray | None) -> np.ndarray:
+    """Which values are among the sorted known ones."""
+    if known is None or not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def _segments(raw: np.ndarray, offsets: np.ndarray, length: int, hot: np.ndarray | None = None, fine: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(key, fingerprint, text, start in text, size, whether a hot gram's) of the segments of texts laid end to end, by text and start.
+
+    hot: sorted grams whose strings are keyed by stretches; fine: sorted keys of stretches whose strings are keyed one by one.
+    """
     n, window = len(raw), length - GRAM + 1
     none = np.zeros(0, np.int64)
     if n < length:
-        return none.view(np.uint64), none.view(np.uint64), none, none, none
+        return none.view(np.uint64), none.view(np.uint64), none, none, none, none.astype(bool)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(bytewords._TABLE[raw] * bytewords._powers("base", bytewords._BASE, n), out=sums[1:])
     inverse = bytewords._powers("inverse", bytewords._INVERSE, n)
@@ -137,8 +154,8 @@ def _segments(raw: np.ndarray, offsets: np.ndarray, length: int, hot: np.ndarray
     start, stop = np.flatnonzero(new), np.flatnonzero(end) + length
     place = low[start]
     key = gram[place]
-    if hot is not None and len(hot):
-        split = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+    split = _among(key, hot)
+    if split.any():
         # Stretch b of a gram holds the strings that start STRETCH * b to STRETCH * (b + 1) - 1 places before it.
         far, near = np.where(split, (place - start) // STRETCH, 0), np.where(split, (place - (stop - length)) // STRETCH, 0)
         many = far - near + 1
@@ -150,9 +167,17 @@ def _segments(raw: np.ndarray, offsets: np.ndarray, length: int, hot: np.ndarray
         at, to = np.where(split, at, 0), np.where(split, at - STRETCH + 1 + length, 0)
         shared = bytewords.mix((sums[to] - sums[at]) * inverse[at])
         key = np.where(split, bytewords.mix(shared ^ (key + b.astype(np.uint64) * bytewords._BASE)), key)
+        alone = split & _among(key, fine)
+        if alone.any():
+            many = np.where(alone, stop - start - length + 1, 1)
+            owner = np.repeat(np.arange(len(start)), many)
+            alone, split, key = alone[owner], split[owner], key[owner]
+            start = start[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many))
+            stop = np.where(alone, start + length, stop[owner])
+            key = np.where(alone, bytewords.mix((sums[stop] - sums[start]) * inverse[start] + bytewords._INVERSE), key)
     same = bytewords.mix((sums[stop] - sums[start]) * inverse[start])
     text = np.searchsorted(offsets, start, side="right") - 1
-    return key, same, text, start - offsets[text], stop - start
+    return key, same, text, start - offsets[text], stop - start, split
 
 
 def _least_of_long(gram: np.ndarray, window: int) -> np.ndarray:
@@ -173,8 +198,8 @@ def _rows(kind: int, gram, same, key, start, size) -> pa.RecordBatch:
     return pa.record_batch([pa.array(np.full(len(key), kind, np.int32)), pa.array(gram.view(np.int64)), pa.array(same.view(np.int64)), pa.array(key), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], names=_NAMES)
 
 
-def _crowded(length: int):
-    """Grams that two or more different segments of a task's run of HELD segments have, and how many; all segments of the run at gram 0."""
+def _crowded(length: int, hot: Broadcast | None = None):
+    """Keys that two or more different segments of a task's run of HELD segments have, and how many; all segments of the run at gram 0. With hot grams: keys of their stretches only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -193,7 +218,8 @@ def _crowded(length: int):
         for batch in batches:
             raw, offsets = bytewords.texts_of(batch.column("_text"))
             for a, b in bytewords.steps(raw, offsets):
-                held.append(_segments(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length)[:2])
+                gram, same, *_, split = _segments(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length, hot and hot.value)
+                held.append((gram[split], same[split]) if hot else (gram, same))
                 if sum(len(g) for g, _ in held) > HELD:
                     yield from flush()
         yield from flush()
@@ -201,33 +227,54 @@ def _crowded(length: int):
     return run
 
 
-def _cut_up(length: int, hot):
-    """Each text's segments. Segments that repeat one of the same step are spans at once. hot: a broadcast array of grams."""
+def _cut_up(length: int, hot: Broadcast, fine: Broadcast):
+    """Each text's segments. Of equal ones among HELD that a task holds at once, the first stays and the others are spans. hot, fine: sorted arrays, see _segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            gram, same, key, start, size = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.lexsort((start, key, same, gram))
+            g, s = gram[order], same[order]
+            again = np.zeros(len(order), bool)
+            again[1:] = (g[1:] == g[:-1]) & (s[1:] == s[:-1])
+            repeat = np.zeros(len(order), bool)
+            repeat[order[again]] = True
+            k, at, to = key[repeat], start[repeat], (start + size)[repeat]  # by text and start: spans that touch become one
+            if len(k):
+                head = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (at[1:] > to[:-1]))))
+                tail = np.append(head[1:], len(k)) - 1
+                yield from _in_parts(SPAN, gram[repeat][head], same[repeat][head], k[head], at[head], to[tail] - at[head])
+            keep = ~repeat
+            yield from _in_parts(SEGMENT, gram[keep], same[keep], key[keep], start[keep], size[keep])
+
         for batch in batches:
             raw, offsets = bytewords.texts_of(batch.column("_text"))
             keys = batch.column("_key").to_numpy()
             for a, b in bytewords.steps(raw, offsets):
-                gram, same, text, start, size = _segments(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length, hot.value)
-                key = keys[a:b][text]
-                order = np.lexsort((start, key, same, gram))
-                again = np.zeros(len(order), bool)
-                g, s = gram[order], same[order]
-                again[1:] = (g[1:] == g[:-1]) & (s[1:] == s[:-1])
-                repeat = np.zeros(len(order), bool)
-                repeat[order[again]] = True
-                k, at, to = key[repeat], start[repeat], (start + size)[repeat]  # by text and start: spans that touch become one
-                if len(k):
-                    head = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (at[1:] > to[:-1]))))
-                    tail = np.append(head[1:], len(k)) - 1
-                    yield _rows(SPAN, gram[repeat][head], same[repeat][head], k[head], at[head], to[tail] - at[head])
-                keep = ~repeat
-                yield _rows(SEGMENT, gram[keep], same[keep], key[keep], start[keep], size[keep])
+                gram, same, text, start, size, _ = _segments(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length, hot.value, fine.value)
+                held.append((gram, same, keys[a:b][text], start, size))
+                if sum(len(h[0]) for h in held) > HELD:
+                    yield from flush()
+        yield from flush()
 
     return run
 
 
+def _in_parts(kind: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(columns[0]), 100_000):
+        yield _rows(kind, *(c[i : i + 100_000] for c in columns))
+
+
+def _dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """Segments by their gram; spans, which need meet nothing, by their place: a passage that all texts have is no key."""
+    return rows.repartition(parts, F.when(F.col("kind") == SEGMENT, F.col("gram")).otherwise(F.xxhash64("_key", "start")))
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments of one gram together: those that repeat an earlier one become spans; of grams with several, the first of each is needed."""
     batches = list(batches)
@@ -248,10 +295,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     group = np.cumsum(new_gram) - 1
     mixed = np.bincount(group[first], minlength=group[-1] + 1) > 1
     for kind, chosen in ((SPAN, ~first), (NEED, first & mixed[group])):
-        at = np.flatnonzero(chosen)
-        for i in range(0, len(at), 100_000):
-            p = at[i : i + 100_000]
-            yield _rows(kind, gram[p], same[p], key[p], start[p], size[p])
+        yield from _in_parts(kind, *(c[chosen] for c in (gram, same, key, start, size)))
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,6 +435,17 @@ def _factors(length: int):
     return run
 
 
+def _hot_keys(docs: DataFrame, length: int, hot: Broadcast | None = None) -> Broadcast:
+    """The grams that very many different segments have, sorted: HOT_SHARE of them at most. With hot grams: of the keys of their stretches."""
+    if hot is not None and not len(hot.value):
+        return hot
+    crowd = docs.mapInArrow(bytewords.tidy(_crowded(length, hot)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST)
+    crowd = materialize(crowd, "crowded")
+    segments = crowd.where("gram = 0").agg(F.max("n")).first()[0] or 0
+    hot = crowd.where((F.col("gram") != 0) & (F.col("n") >= segments // HOT_SHARE)).toPandas()["gram"].to_numpy(np.int64).view(np.uint64)
+    return docs.sparkSession.sparkContext.broadcast(np.sort(hot))
+
+
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(_key, spans) of each document that loses bytes; docs: _key, _text. Spans may overlap."""
     cores = docs.sparkSession.sparkContext.defaultParallelism
@@ -402,12 +457,9 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     ids = later.select("_key")
     firsts = docs.join(F.broadcast(ids) if later.count() <= BROADCAST_ROWS else ids, "_key", "left_anti")
     total = known.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
-    crowd = firsts.mapInArrow(bytewords.tidy(_crowded(length)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST)
-    crowd = materialize(crowd, "crowded")
-    segments = crowd.where("gram = 0").agg(F.max("n")).first()[0] or 0
-    hot = crowd.where((F.col("gram") != 0) & (F.col("n") >= segments // HOT_SHARE)).toPandas()["gram"].to_numpy(np.int64).view(np.uint64)
-    hot = docs.sparkSession.sparkContext.broadcast(np.sort(hot))
-    rows = firsts.mapInArrow(bytewords.tidy(_cut_up(length, hot)), _SCHEMA).repartition(partitions_for(total, BYTES_PER_TASK, cores), "gram")
+    hot = _hot_keys(firsts, length)
+    fine = _hot_keys(firsts, length, hot)
+    rows = _dealt(firsts.mapInArrow(bytewords.tidy(_cut_up(length, hot, fine)), _SCHEMA), partitions_for(total, BYTES_PER_TASK, cores))
     met = materialize(rows.mapInArrow(bytewords.tidy(_meet), _SCHEMA), "met")
     need = met.where(F.col("kind") == NEED)
     wanted = need.groupBy("_key").agg(F.collect_list(F.struct("gram", "start", "size")).alias("wanted"))

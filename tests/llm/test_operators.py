@@ -731,6 +731,24 @@ def test_removal_with_hot_grams(spark, monkeypatch):
     assert starts(hot) == starts(plain) == list(range(len(raw) - 99))
 
 
+def test_a_footer_of_all_texts(spark, monkeypatch):
+    """Spans of one passage and segments of one gram are dealt over tasks; what goes equals brute force."""
+    rng = random.Random(12)
+    footer = " ".join(f"legal{i}" for i in range(60))[:500]
+    rows = [(i, " ".join(f"w{rng.randrange(10**9)}" for _ in range(12)) + footer) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select(F.col("doc_id").alias("_key"), F.col("text").alias("_text")).repartition(4)
+    hot = suffix_dedup._hot_keys(docs, 100)
+    fine = suffix_dedup._hot_keys(docs, 100, hot)
+    assert len(hot.value) and len(fine.value)  # what stands before the footer makes its first segments others in each text
+    for held, most in ((1_000_000, 0.05), (2_000, 0.1)):
+        monkeypatch.setattr(suffix_dedup, "HELD", held)
+        cut = docs.mapInArrow(suffix_dedup._cut_up(100, hot, fine), suffix_dedup._SCHEMA)
+        sizes = [r["count"] for r in suffix_dedup._dealt(cut, 211).groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) > 3000 and max(sizes) < most * sum(sizes)
+    monkeypatch.setattr(suffix_dedup, "HOT_LEAST", 20)
+    check_removed(spark, rows[:150] + [(9000 + i, footer[i:] + f" tail {i}") for i in range(60)])
+
+
 def test_cut_documents(spark, odd, empty):
     cut = suffix_dedup.cut_documents(odd)
     assert cut.columns == odd.columns and cut.count() == len(ODD)
