@@ -231,16 +231,38 @@ def expand(s: Shard, symbols: np.ndarray, pool: tuple[np.ndarray, np.ndarray, np
     return data[np.repeat((start[symbols] - (ends - n)).astype(kind), n) + np.arange(ends[-1], dtype=kind)]
 
 
+def descend(s: Shard, symbols: np.ndarray, base: int, low: int, high: int) -> np.ndarray:
+    """ids low to high of what symbols expand to, whose first id is number `base`: level by level, and at each level only the symbols whose expansions overlap the range."""
+    n = len(s.alphabet)
+    size = np.concatenate((np.ones(n, np.int64), s.lengths.astype(np.int64)))
+    symbols = symbols.astype(np.int64)
+    while True:
+        ends = base + np.cumsum(size[symbols])
+        within = (ends > low) & (ends - size[symbols] < high)
+        if not within.any():
+            return np.zeros(0, np.uint32)
+        base = int((ends - size[symbols])[within.argmax()])
+        symbols = symbols[within]
+        rule = symbols >= n
+        if not rule.any():
+            return s.alphabet[symbols]
+        many = 1 + rule
+        at = (np.cumsum(many) - many)[rule]
+        pairs = s.rules[symbols[rule] - n]
+        symbols = np.repeat(symbols, many)
+        symbols[at], symbols[at + 1] = pairs[:, 0], pairs[:, 1]
+
+
 def document(s: Shard, i: int, pool: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-    """Random access: ids of the i-th document of a shard, decoding only the blocks that hold it."""
+    """Random access: ids of the i-th document of a shard. Without a pool of all expansions (made once where many documents are read), rules are followed down by their lengths, for that document alone."""
     low = int(s.counts[:i].astype(np.int64).sum())
     high = low + int(s.counts[i])
     if low == high:
         return np.zeros(0, np.uint32)
     first = int(np.searchsorted(s.index, low, side="right")) - 1
     last = int(np.searchsorted(s.index, high, side="left"))
-    out = expand(s, s.symbols[first * BLOCK : last * BLOCK], pool or _pool(s))
-    return out[low - int(s.index[first]) : high - int(s.index[first])]
+    symbols, base = s.symbols[first * BLOCK : last * BLOCK], int(s.index[first])
+    return descend(s, symbols, base, low, high) if pool is None else expand(s, symbols, pool)[low - base : high - base]
 
 
 def _writer(root: str, vocabulary: str, end: int, shard_ids: int):

@@ -17,6 +17,10 @@ Defined results
   repeated page_id and payload  every row with the group's largest page_id is a response
   ties           none: the largest page_id is unique within a group but for repeated rows
   empty table    no files, no rows
+  foreign files  folded header lines are joined, headers that aren't UTF-8 are Latin-1; a revisit
+                 whose payload digest is no SHA-1 in base 32 or hex, or whose length is no number, has
+                 null there
+  very long html written as it is: a record may be longer than any text that Spark holds
   extra columns  ignored
 """
 
@@ -45,8 +49,8 @@ DATE = "2024-01-01T00:00:00Z"
 FILE_BYTES = 32 << 20
 CHUNK = 1 << 20
 LEVEL = 3
-#: A member or plain record larger than this is taken as damaged.
-MOST = 1 << 30
+#: A member or plain record larger than this is taken as damaged: more than the longest text that Spark holds, with its headers.
+MOST = (1 << 31) + (1 << 20)
 #: Payloads that several pages have, at most (about 80 bytes each), that are broadcast to the scan of the pages.
 BROADCAST_LEADERS = 100_000
 _END = b"\r\n\r\n"
@@ -86,6 +90,19 @@ def _sha1(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data, usedforsecurity=False).digest()).decode()
 
 
+def sha1_hex(said: str) -> str | None:
+    """The lower-case hex form of a SHA-1 digest in base 32 or hex; None if it is of another kind, or can't be read."""
+    kind, _, value = said.partition(":")
+    if kind.strip().lower() not in ("sha1", "sha-1"):
+        return None
+    value = value.strip()
+    try:
+        raw = bytes.fromhex(value) if len(value) == 40 else base64.b32decode(value.upper())
+    except ValueError:
+        return None
+    return raw.hex() if len(raw) == 20 else None
+
+
 def record_bytes(headers: list[tuple[str, str]], block: bytes) -> bytes:
     lines = [*headers, ("WARC-Block-Digest", _sha1(block)), ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines).encode() + b"\r\n" + block + _END
@@ -149,15 +166,19 @@ def _parse(data: bytes | bytearray, at_end: bool) -> tuple[dict[str, str], bytes
             raise Damage("no end of headers")
         return None
     try:
-        lines = bytes(data[:head]).decode("utf-8").split("\r\n")
+        text = bytes(data[:head]).decode("utf-8")
     except UnicodeDecodeError:
-        raise Damage("headers aren't UTF-8") from None
-    headers = {}
-    for line in lines[1:]:
+        text = bytes(data[:head]).decode("latin-1")  # older crawlers write URIs so
+    headers, k = {}, ""
+    for line in text.split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and k:  # a folded line goes on with the header before it
+            headers[k] = f"{headers[k]} {line.strip()}".strip()
+            continue
         k, colon, v = line.partition(":")
         if not colon:
             raise Damage("malformed header")
-        headers[k.strip().lower()] = v.strip()
+        k = k.strip().lower()
+        headers[k] = v.strip()
     length = headers.get("content-length", "")
     if not length.isdigit() or int(length) > MOST:
         raise Damage("no valid Content-Length")
@@ -366,8 +387,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         continue
                     h = x.headers
                     if x.kind == "revisit":
-                        digest, size = h.get("warc-payload-digest", ""), int(x.http().get("content-length", "0"))
-                        digest = base64.b32decode(digest.removeprefix("sha1:")).hex()
+                        said = x.http().get("content-length", "0")
+                        digest, size = sha1_hex(h.get("warc-payload-digest", "")), int(said) if said.isascii() and said.isdigit() and len(said) < 19 else None
                     else:
                         payload = x.payload()
                         digest, size = hashlib.sha1(payload, usedforsecurity=False).hexdigest(), len(payload)
@@ -384,10 +405,22 @@ def read(paths: DataFrame) -> DataFrame:
     return files.mapInArrow(bytewords.tidy(_read), _SCHEMA)
 
 
+def audit(manifest: DataFrame, found: DataFrame) -> DataFrame:
+    """path, n_records, n_read, n_gaps, gap_bytes of every file of a manifest: what was written, and what read() found of it."""
+    gap = F.col("gap_length").isNotNull()
+    read_ = found.groupBy("path").agg(F.count_if(~gap).alias("n_read"), F.count_if(gap).alias("n_gaps"), F.coalesce(F.sum("gap_length"), F.lit(0)).alias("gap_bytes"))
+    counts = ("n_read", "n_gaps", "gap_bytes")
+    return manifest.select("path", "n_records").join(read_, "path", "left").select("path", "n_records", *(F.coalesce(c, F.lit(0)).alias(c) for c in counts))
+
+
 def op5_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record that was written, read back; a file that lost one, or has a gap, is an error here and not a missing row."""
     manifest = write(read_table(spark, sf_dir, "pages"), shared_path(spark, "warc"))
-    found = read(manifest).where(F.col("gap_length").isNull())
-    return found.select(
+    found = materialize(read(manifest), "records")
+    lost = audit(manifest, found).where("n_read <> n_records OR n_gaps > 0").limit(5).collect()
+    if lost:
+        raise RuntimeError(f"records were lost between writing and reading: {lost}")
+    return found.where(F.col("gap_length").isNull()).select(
         F.expr("try_cast(regexp_extract(record_id, '^<urn:page:(-?[0-9]+)>$', 1) AS BIGINT)").alias("page_id"),
         "payload_bytes", "payload_digest", "record_type",
         F.expr("try_cast(regexp_extract(refers_to, '^<urn:page:(-?[0-9]+)>$', 1) AS BIGINT)").alias("refers_to"),

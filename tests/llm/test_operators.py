@@ -162,6 +162,63 @@ def test_shards(spark, documents, odd, empty):
     assert sharding.shard(empty).count() == 0
 
 
+def plain_shards(rows, shards, virtual=64):
+    """A walk round the ring, one row after another: {(doc_id, text): [(shard, slot), ...]}."""
+    at = {}
+    for s in range(shards):
+        for v in range(virtual):
+            p = int(hashlib.md5(f"{s}:{v}".encode()).hexdigest()[:4], 16)
+            at[p] = min(s, at.get(p, s))
+    points = sorted(at)
+    keys = []
+    for doc_id, text in rows:
+        h = hashlib.md5((str(doc_id) if doc_id is not None else text or "").encode()).hexdigest()
+        position = int(h[:4], 16)
+        arc = next((i for i, p in enumerate(points) if p >= position), 0)
+        raw = (text or "").encode()
+        keys.append(((arc, h[4:16], (doc_id is not None, doc_id or 0), zlib.crc32(raw), len(raw)), doc_id, text))
+    keys.sort(key=lambda k: k[0])
+    room = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+    filled, out, over = [0] * shards, collections.defaultdict(list), []
+
+    def put(doc_id, text, shard):
+        out[doc_id, text].append((shard, filled[shard]))
+        filled[shard] += 1
+        room[shard] -= 1
+
+    for (arc, *_), doc_id, text in keys:  # every key to its own point, while there is room
+        shard = at[points[arc]]
+        put(doc_id, text, shard) if room[shard] else over.append((arc, doc_id, text))
+    for arc, doc_id, text in over:  # then clockwise to the next point with room
+        step = next((i for i in range(1, len(points) + 1) if room[at[points[(arc + i) % len(points)]]]), None)
+        put(doc_id, text, at[points[(arc + step) % len(points)]] if step else next(s for s in range(shards) if room[s]))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def test_shards_equal_a_walk_round_the_ring(spark, documents, odd):
+    for df, shards in ((documents, 24), (odd, 5)):
+        rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+        got = collections.defaultdict(list)
+        texts = collections.defaultdict(list)
+        for doc_id, text in rows:
+            texts[str(doc_id), zlib.crc32((text or "").encode())].append((doc_id, text))
+        for r in sharding.shard(df, shards).collect():
+            got[str(r.doc_id), r.text_crc32].append((r.shard, r.slot))
+        want = collections.defaultdict(list)
+        for (doc_id, text), places in plain_shards(rows, shards).items():
+            want[str(doc_id), zlib.crc32((text or "").encode())] += places
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_added_rows_move_few_others(spark, documents):
+    """Ten more of 200 documents: those that stay on their own arc don't move."""
+    some = documents.where("doc_id >= 10")
+    before, after = ({r.doc_id: (r.shard, r.hops) for r in sharding.shard(df).collect()} for df in (some, documents))
+    stay = [i for i, (s, hops) in before.items() if hops == 0 and after[i][1] == 0]
+    assert all(before[i][0] == after[i][0] for i in stay) and len(stay) > 0.6 * len(before)
+    assert sum(before[i][0] != after[i][0] for i in before) < 0.35 * len(before)
+
+
 def test_the_ring_moves_few_keys():
     counts = {a: 10 for a in range(24 * 64)}
     points = sharding.ring(24, 64)
@@ -229,6 +286,45 @@ def test_salvage_after_a_long_gap_at_every_alignment():
             assert [type(x) for x in out] == [warc.Gap, warc.Record] and out[1].offset == n * warc.CHUNK - k
 
 
+def test_foreign_records_give_rows(spark, tmp_path):
+    """Digests in hex, of another kind or damaged, lengths that are no numbers, folded and Latin-1 headers: rows, never an exception."""
+    sha = hashlib.sha1(b"x").hexdigest()
+
+    def record(headers, block):
+        return b"WARC/1.0\r\n" + headers + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+
+    http = lambda n: b"HTTP/1.1 200 OK\r\nContent-Length: %s\r\n\r\n" % n
+    revisit = lambda i, digest, n: record(b"WARC-Type: revisit\r\nWARC-Record-ID: <%d>\r\nWARC-Payload-Digest: %s\r\n" % (i, digest), http(n))
+    data = b"".join([
+        revisit(1, b"sha1:" + sha.upper().encode(), b"5"), revisit(2, b"md5:d41d8cd98f00b204e9800998ecf8427e", b"6"), revisit(3, b"sha1:not base 32", b"many"), revisit(4, b"", b""),
+        record("WARC-Type: response\r\nWARC-Record-ID: <5>\r\nWARC-Target-URI: http://x/\u00e9\r\n".encode("latin-1"), b"abc"),
+        record(b"WARC-Type: response\r\nWARC-Record-ID: <6>\r\nWARC-Target-URI: http://x/\r\n  folded\r\n\tagain\r\n", b"abcd"), b"?" * 9, revisit(7, b"sha1:" + sha.encode(), "\u0665".encode()),
+    ])
+    for name, content in (("plain", data), ("member", warc.member(data[: data.index(b"?" * 9)]))):
+        (tmp_path / name).write_bytes(content)
+    rows = warc.read(spark.createDataFrame([(str(tmp_path / n),) for n in ("plain", "member")], "path string")).collect()
+    for name, some in (("plain", "1234567"), ("member", "123456")):
+        got = {r.record_id: r for r in rows if r.path.endswith(name) and r.gap_length is None}
+        assert sorted(got) == [f"<{i}>" for i in some]
+        assert [(got[f"<{i}>"].payload_digest, got[f"<{i}>"].payload_bytes) for i in range(1, 5)] == [(sha, 5), (None, 6), (None, None), (None, None)]
+        assert got["<5>"].uri == "http://x/\u00e9" and got["<6>"].uri == "http://x/ folded again" and got["<6>"].payload_bytes == 4
+    assert [(r.gap_length, r.path.endswith("plain")) for r in rows if r.gap_length is not None] == [(9, True)]
+
+
+def test_lost_records_are_seen(spark):
+    pages = spark.createDataFrame([(i, "http://a", "y" * (200 * i)) for i in range(20)], "page_id long, url string, html string")
+    manifest = warc.write(pages, shared_path(spark, "warc"), file_bytes=300)
+    sound = warc.audit(manifest, warc.read(manifest)).collect()
+    assert sum(r.n_read for r in sound) == 20 and all(r.n_read == r.n_records and r.n_gaps == 0 for r in sound)
+    path = max((r for r in sound), key=lambda r: r.n_records).path
+    name = path.removeprefix("file://")
+    with open(name, "rb+") as f:
+        f.seek(12)
+        f.write(b"\xff" * 6)
+    bad = {r.path: r for r in warc.audit(manifest, warc.read(manifest)).collect()}[path]
+    assert bad.n_read < bad.n_records and bad.n_gaps == 1 and bad.gap_bytes > 0
+
+
 def test_revisits_without_a_broadcast(spark, monkeypatch):
     """Payloads that many pages share, whichever way their leaders come to the pages; repeated rows and ids."""
     big = "<p>" + "y" * 2000
@@ -637,6 +733,20 @@ def test_repair_leaves_no_frequent_pair():
         assert all(n < 2 for n in seen.values())
 
 
+def test_random_access_follows_the_rules_of_one_document(monkeypatch):
+    """Each document without laying out the others: no more ids are touched than the document and the paths to it."""
+    rng = np.random.default_rng(21)
+    phrase = rng.integers(0, 50, 400)
+    docs = [np.concatenate([phrase[: rng.integers(0, 400)], rng.integers(0, 60, rng.integers(0, 30)), phrase]) for _ in range(60)] + [np.zeros(0, np.int64)]
+    ids = np.concatenate(docs).astype(np.uint32)
+    counts = np.array([len(d) for d in docs])
+    s = token_store.parse_shard(b"".join(token_store.pack_shard(np.arange(len(docs)), counts, ids)))
+    monkeypatch.setattr(token_store, "_pool", None)
+    assert s.lengths.max() > 100
+    for i, d in enumerate(docs):
+        assert (token_store.document(s, i) == d).all() and len(token_store.document(s, i)) == len(d)
+
+
 def test_token_store(spark, odd, empty):
     docs = keyed(odd.select("doc_id", "text"))
     manifest = token_store.write(docs, shared_path(spark, "tokens"), shard_ids=3000).cache()
