@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.model import Aggregation, Order, Query
 from tallyloom.operators import dataset, retrieval, similar, targets
-from tallyloom.operators.registry import _SETS, _corpus, _sentences, entry
-from tallyloom.plans import entities
+from tallyloom.operators.registry import _SETS, AS_OF, _corpus, _sentences, entry
+from tallyloom.plans import compiler, entities, render
 from tallyloom.sources import relations as R
+from tallyloom.sources.scratch import shared_folder
+from tallyloom.sources.store import Store, create
+from tallyloom.streaming import rows as live_rows
 
 # Rows that collide in two keys ---------------------------------------------------------------------
 _KEYS = ("'f' || CAST(c_custkey // 2 AS VARCHAR)", "'n' || CAST((c_custkey + 1) // 2 AS VARCHAR)")
@@ -24,6 +28,54 @@ def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.insert_absent(have, new, ["farmer_id", "normalized_name"], "n").drop("n")
 
 
+# Records as stored state ---------------------------------------------------------------------------
+_STORED = ("id", "farmer_name", "payment_status", "upload_status", "amount_paid", "updated_at")
+
+
+def _store(spark: SparkSession, sf_dir: str) -> Store:
+    return create(R.orders(spark, sf_dir, False).select(*_STORED), shared_folder(spark, "store"), "id", 32)
+
+
+@entry("stored_upsert", f"WITH {R.ORDERS_SQL} SELECT id, farmer_name, CASE WHEN payment_status = 'PENDING' AND CAST(id AS BIGINT) % 7 = 0 THEN 'PAID' ELSE payment_status END AS payment_status FROM rel UNION ALL SELECT 'new-' || CAST(c_custkey AS VARCHAR), c_name, 'PENDING' FROM customer")
+def _stored_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paid records in place of pending ones, and a new record for each customer, each told twice."""
+    store, rows = _store(spark, sf_dir), R.orders(spark, sf_dir, False).select(*_STORED)
+    paid = rows.where("payment_status = 'PENDING' AND CAST(id AS BIGINT) % 7 = 0").withColumn("payment_status", F.lit("PAID")).withColumn("turn", F.lit(2))
+    new = R.table(spark, sf_dir, "customer").select(F.concat(F.lit("new-"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("farmer_name"), F.lit("PENDING").alias("payment_status"), F.lit("PENDING").alias("upload_status"), F.lit(None).cast("double").alias("amount_paid"), F.lit("1998-08-19").cast("timestamp_ntz").alias("updated_at"), F.lit(1).alias("turn"))
+    store.upsert(paid.unionByName(paid.withColumns({"payment_status": F.lit("LOST"), "turn": F.lit(1)})).unionByName(new), "turn")
+    return store.read(spark).select("id", "farmer_name", "payment_status")
+
+
+@entry("stored_updates", f"WITH {R.ORDERS_SQL} SELECT id, CASE WHEN CAST(id AS BIGINT) % 500 = 3 THEN 'PAID' ELSE payment_status END AS payment_status, 'UPLOADED' AS upload_status, CASE WHEN CAST(id AS BIGINT) % 500 = 3 THEN coalesce(amount_paid, 1.5) ELSE amount_paid END AS amount_paid, (SELECT count(*) FROM rel WHERE upload_status = 'PENDING') AS n_synced FROM rel")
+def _stored_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payments by id, then all pending uploads: the second change's count is what the sync reports."""
+    store = _store(spark, sf_dir)
+    ids = R.orders(spark, sf_dir, False).where("CAST(id AS BIGINT) % 500 = 3").select("id")
+    store.update(spark, F.lit(True), {"payment_status": F.lit("PAID"), "amount_paid": F.coalesce("amount_paid", F.lit(1.5))}, ids)
+    n = store.update(spark, F.col("upload_status") == "PENDING", {"upload_status": F.lit("UPLOADED")})
+    return store.read(spark).select("id", "payment_status", "upload_status", "amount_paid", F.lit(n).cast("long").alias("n_synced"))
+
+
+_READERS = [("all", "", None, None), ("pending", None, "PENDING", " "), ("seven", "#000000007", "", "PENDING"), ("paid", "", "PAID", "")]
+_AFTER = "CASE WHEN payment_status = 'PENDING' THEN 'PAID' ELSE 'PENDING' END"
+
+
+@entry(
+    "live_row_changes",
+    f"""WITH {R.ORDERS_SQL}, c AS (SELECT *, {_AFTER} AS after FROM rel WHERE CAST(id AS BIGINT) % 9 = 0), p(reader, name, status, upload) AS (VALUES ('all', '', '', ''), ('pending', '', 'PENDING', ''), ('seven', '#000000007', '', 'PENDING')),
+    t AS (SELECT reader, id, contains(lower(farmer_name), name) AND (upload = '' OR upload_status = upload) AS fit, status = '' OR payment_status = status AS before, status = '' OR after = status AS now FROM c, p)
+    SELECT reader, CASE WHEN now THEN 'put' ELSE 'remove' END AS change, id FROM t WHERE fit AND (before OR now)
+    UNION ALL SELECT 'paid', 'reset', NULL UNION ALL SELECT 'paid', 'put', rel.id FROM rel LEFT JOIN c ON c.id = rel.id WHERE coalesce(after, rel.payment_status) = 'PAID'""",
+)
+def _live_row_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What four readers are told when every ninth record changes, and one of them asks anew."""
+    store, rows = _store(spark, sf_dir), R.orders(spark, sf_dir, False).select(*_STORED)
+    changed = rows.where("CAST(id AS BIGINT) % 9 = 0").withColumn("payment_status", F.expr(_AFTER))
+    readers = spark.createDataFrame([(*r, True, 1) for r in _READERS], live_rows.PARAMETERS)
+    told, _ = live_rows.apply(store, readers.where("reader <> 'paid'"), changed, readers.where("reader = 'paid'"), "updated_at")
+    return told.select("reader", "change", "row.id")
+
+
 # A shuffle without a sort --------------------------------------------------------------------------
 @entry("shuffled_positions", "SELECT row_number() OVER () - 1 AS position FROM lineitem")
 def _shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,22 +183,72 @@ def _mentions_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.mentions_in(texts, R.table(spark, sf_dir, "customer").select(F.col("c_name").alias("name")))
 
 
+# Answers of a model --------------------------------------------------------------------------------
+_ANSWERS = [
+    ('<think>{{"no"}}</think>```json\n{{"target":"MILK_RECORDS","entity":"{0}","limit":"{1}"}}\n```', "c_name", "CAST(o_orderkey % 20 AS BIGINT)"),
+    ('Here: {{"type":"QUERY","entity":"{0}","limit":{1}}} - that is all }}.', "c_name", "CAST(o_orderkey % 20 AS BIGINT)"), ("nothing about {0} {1}", "NULL", "NULL"), ('{{"entity":"{0}"', "NULL", "NULL"),
+]
+
+
+@entry("model_answers", "SELECT o_orderkey, entity, \"limit\" FROM (SELECT o_orderkey, CASE o_orderkey % 4 " + " ".join(f"WHEN {i} THEN {e}" for i, (_, e, _) in enumerate(_ANSWERS)) + " END AS entity, CASE o_orderkey % 4 " + " ".join(f"WHEN {i} THEN {n}" for i, (_, _, n) in enumerate(_ANSWERS)) + " END AS \"limit\" FROM orders JOIN customer ON o_custkey = c_custkey)")
+def _model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's answer about every order, read as a target."""
+    c = R.table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    o = R.table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    answer = F.get(F.array(*(F.lit(a.format("@who", "@n")) for a, _, _ in _ANSWERS)), F.pmod("o_orderkey", F.lit(len(_ANSWERS))).cast("int"))
+    answer = F.replace(F.replace(answer, F.lit("@who"), F.col("c_name")), F.lit("@n"), (F.col("o_orderkey") % 20).cast("string"))
+    t = targets.canonical(targets.parsed(targets.json_object(answer)))
+    return o.select("o_orderkey", t.alias("t")).select("o_orderkey", "t.entity", "t.limit")
+
+
 # Many questions ------------------------------------------------------------------------------------
 _QUESTIONS = "SELECT conv_id * 1000 + turn AS qid, text AS question FROM conversations WHERE role = 'user'"
 _ASKED_TERMS = "list_filter(regexp_split_to_array(lower(question), '[^a-zA-Z0-9]+'), lambda t: length(t) > 2 AND NOT list_contains([{}], t))".format(", ".join(f"'{w}'" for w in sorted(retrieval.STOP_WORDS)))
 
 
-@entry(
-    "retrieve_for_conversations",
-    f"""WITH q AS (SELECT qid, {_ASKED_TERMS} AS asked FROM ({_QUESTIONS})), t AS (SELECT qid, len(asked) AS n, unnest(asked) AS term FROM q WHERE len(asked) > 0),
+_RANKED_DOCS = f"""WITH q AS (SELECT qid, {_ASKED_TERMS} AS asked FROM ({_QUESTIONS})), t AS (SELECT qid, len(asked) AS n, unnest(asked) AS term FROM q WHERE len(asked) > 0),
     d AS (SELECT doc_id AS id, lower(lang) AS lang, lower(source) AS source, lower(text) AS content FROM documents),
     h AS (SELECT term, id, CASE WHEN contains(lang, term) OR contains(source, term) THEN 3.5 ELSE 0 END + CASE WHEN contains(lang, term) THEN 2.5 ELSE 0 END + CASE WHEN contains(source, term) THEN 1.5 ELSE 0 END + CASE WHEN contains(content, term) THEN 1.0 ELSE 0 END AS w
       FROM (SELECT DISTINCT term FROM t) JOIN d ON contains(content, term) OR contains(lang, term) OR contains(source, term)),
     s AS (SELECT qid, id, least(CAST(sum(w) AS DOUBLE) / (3.0 * any_value(n)), 1.0) AS score FROM t JOIN h USING (term) GROUP BY 1, 2),
     r AS (SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INT) AS rank, max(score) OVER (PARTITION BY qid) AS top FROM s)
-    SELECT qid, rank, id, score FROM r WHERE rank <= 5 AND top >= 0.2""",
+"""
+
+
+@entry(
+    "retrieve_for_conversations",
+    _RANKED_DOCS + "SELECT qid, rank, id, score FROM r WHERE rank <= 5 AND top >= 0.2",
 )
 def _retrieve_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every question of the conversations against every document."""
     c = R.table(spark, sf_dir, "conversations").where("role = 'user'")
     return retrieval.search_all(_corpus(spark, sf_dir), c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("question")), 5)
+
+
+@entry("answer_conversations", _RANKED_DOCS + f", b AS (SELECT qid, id FROM r WHERE rank = 1 AND top >= 0.2) SELECT x.qid, b.id, md5(CASE WHEN b.id IS NULL THEN '{retrieval.NO_ANSWER}' ELSE text END) AS digest FROM ({_QUESTIONS}) x LEFT JOIN b ON b.qid = x.qid LEFT JOIN documents ON doc_id = b.id")
+def _answer_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best document's text for every question, or that no document answers it."""
+    c = R.table(spark, sf_dir, "conversations").where("role = 'user'")
+    found = retrieval.answers(_corpus(spark, sf_dir), c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("question")))
+    return found.select("qid", "id", F.md5(F.col("answer").cast("binary")).alias("digest"))
+
+
+# Results in words ----------------------------------------------------------------------------------
+_BY_NAME = "coalesce(lower(trim(farmer_name)), 'unknown')"
+
+
+def _told(name: str, q: Query, sql: str) -> None:
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return render.group_texts(q, compiler.compile(q, R.orders(spark, sf_dir), AS_OF, R.farmers(spark, sf_dir)))
+
+    entry(name, f"WITH {R.ORDERS_SQL} {sql}")(build)
+
+
+_sum = "floor(sum(quantity) * 100.0 + 0.5) / 100.0"
+_told("group_texts", Query(group_by=("FARMER_NAME",), aggregations=(Aggregation("SUM", "QUANTITY"),)), f"SELECT {_BY_NAME} AS group_key, any_value(farmer_name) || ': total quantity ' || printf('%.1f', {_sum}) || ' L' AS text FROM rel GROUP BY 1")
+_told("group_texts_paid", Query(group_by=("PAYMENT_STATUS",), aggregations=(Aggregation("MAX", "PAYABLE_AMOUNT"),)), "SELECT lower(payment_status) AS group_key, any_value(payment_status) || ': greatest payable amount ₹' || printf('%.2f', max(payable_amount)) AS text FROM rel GROUP BY 1")
+for _way, _desc, _word in (("top", True, "highest"), ("bottom", False, "lowest")):
+    _told(
+        f"{_way}_1_text", Query(group_by=("FARMER_NAME",), aggregations=(Aggregation("COUNT_RECORDS"),), order=Order("QUANTITY", "SUM", _desc), limit=1),
+        f"SELECT {_BY_NAME} AS group_key, any_value(farmer_name) || ' had the {_word}: ' || CAST(count(*) AS VARCHAR) || ' records.' AS text FROM rel GROUP BY 1 ORDER BY {_sum} {'DESC' if _desc else 'ASC'}, 1 LIMIT 1",
+    )

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import columns as C
 from tallyloom.functions import extraction as X
-from tallyloom.model import Aggregation, Filter, Period, Query
+from tallyloom.model import Filter, Period, Query
 from tallyloom.operators import catalog, dataset, retrieval
-from tallyloom.operators.registry import _C, _PICK, AS_OF, N, _by, _pick, _round, _sql, catalogue, dsl, entry, farmer_entry
+from tallyloom.operators.registry import _C, AS_OF, N, _by, _round, _sql, catalogue, dsl, entry, farmer_entry
 from tallyloom.plans.entities import candidates, match_all, mentions_in, normalize
 from tallyloom.plans.questions import parsed
 from tallyloom.sources import relations as R

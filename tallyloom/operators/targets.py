@@ -38,6 +38,21 @@ def parsed(json: Column | str) -> Column:
     return F.from_json(json, SCHEMA)
 
 
+def json_object(answer: Column) -> Column:
+    """model.model_json() for a column, as text: the JSON object in a model's answer, after its last closing thought, without fences, the longest that parses from its first brace; null if there is none.
+
+    Nearly always that is all up to the last brace; only where it doesn't parse are shorter ones tried.
+    """
+    said = F.regexp_replace(F.substring_index(answer, "</think>", -1), "```(?:json)?", "")
+    whole = F.regexp_extract(said, r"(?s)\{.*\}", 0)
+    # Parsers stop where a value ends: only as one of two values of another object is all of a text known to be one.
+    holds = lambda c: F.coalesce(F.size(F.json_object_keys(F.concat(F.lit('{"k":'), c, F.lit(',"z":0}')))) == 2, F.lit(False))
+    pieces = F.split(whole, r"\}")
+    ends = F.sequence(F.size(pieces) - 2, F.lit(1), F.lit(-1))
+    shorter = F.transform(F.when(F.size(pieces) > 2, ends).otherwise(F.array().cast("array<int>")), lambda n: F.concat(F.array_join(F.slice(pieces, F.lit(1), n), "}"), F.lit("}")))
+    return F.when(holds(whole), whole).otherwise(F.get(F.filter(shorter, holds), F.lit(0)))
+
+
 def _list(c: Column, kind: str = "string") -> Column:
     return F.coalesce(c, F.array().cast(f"array<{kind}>"))
 

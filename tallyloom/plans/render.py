@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 from tallyloom.model import FIELDS, Aggregation, Query
 from tallyloom.plans.compiler import Compiled
 
 #: Groups that a sentence lists.
 LISTED = 20
+WORDS = {"SUM": "total", "AVG": "average", "MIN": "least", "MAX": "greatest"}
 
 
 def amount(value: float | int | None, unit: str = "", places: int = 1) -> str:
@@ -21,8 +25,24 @@ def _told(a: Aggregation, value: float | int | None, default: str) -> str:
     spec = FIELDS[a.field or default]
     if a.type.startswith("COUNT"):
         return f"{value} {'records' if a.type == 'COUNT_RECORDS' else 'farmers'}"
-    words = {"SUM": "total", "AVG": "average", "MIN": "least", "MAX": "greatest"}
-    return f"{words[a.type]} {spec.label.lower()} {amount(value, spec.unit, 2 if a.type == 'AVG' else 1)}"
+    return f"{WORDS[a.type]} {spec.label.lower()} {amount(value, spec.unit, 2 if a.type == 'AVG' else 1)}"
+
+
+def told(a: Aggregation, default: str = "QUANTITY") -> Column:
+    """_told() for the column of an aggregation's values: label, number and unit of its field."""
+    spec, value = FIELDS[a.field or default], F.col(a.name(default))
+    if a.type.startswith("COUNT"):
+        return F.concat_ws(" ", value.cast("string"), F.lit("records" if a.type == "COUNT_RECORDS" else "farmers"))
+    number = F.format_string(f"%.{2 if a.type == 'AVG' and spec.unit != '₹' or spec.unit == '₹' else 1}f", value)
+    shown = F.concat(F.lit("₹"), number) if spec.unit == "₹" else F.concat(number, F.lit("%" if spec.unit == "%" else f" {spec.unit}".rstrip()))
+    return F.concat(F.lit(f"{WORDS[a.type]} {spec.label.lower()} "), F.when(value.isNull(), "none").otherwise(shown))
+
+
+def group_texts(q: Query, made: Compiled) -> DataFrame:
+    """What summary() says of each group, as a column `text` beside the group's key: for reports over all groups, however many there are."""
+    a = q.aggregations[0] if q.aggregations else Aggregation("COUNT_RECORDS")
+    which = f" had the {'lowest' if q.order and not q.order.descending else 'highest'}: " if q.limit == 1 else ": "
+    return made.df.select("group_key", F.concat("display", F.lit(which), told(a), F.lit("." if q.limit == 1 else "")).alias("text"))
 
 
 def summary(q: Query, made: Compiled) -> str:

@@ -30,13 +30,24 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     return out
 
 
+def _place(spark: SparkSession, path: str):
+    sc = spark.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(sc._jsc.hadoopConfiguration())
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes written tables that nothing reads any more."""
     for t in tables:
         if path := getattr(t, "_scratch", None):
-            sc = t.sparkSession.sparkContext
-            place = sc._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+            place, system = _place(t.sparkSession, path)
+            system.delete(place, True)
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    place, system = _place(spark, f"{path}/_SUCCESS")
+    return system.exists(place)
 
 
 def ship(spark: SparkSession) -> None:

@@ -258,3 +258,18 @@ def test_grammar_follows_the_rules(spark):
     assert all(s == registers for c, s in by.items() if c != "linguistic_variation") and by["linguistic_variation"] == registers - {"standard"}
     said = dataset.fidelity_errors(F.col("prompt"), aggregation=F.get("t.aggregations", F.lit(0))["type"], period=F.col("t.time.period"), scope=F.col("t.paymentScope"))
     assert rows.where("t.type = 'QUERY'").select(F.explode(said)).collect() == []
+
+
+def test_json_in_answers(spark):
+    import json
+
+    from tallyloom.model import model_json
+
+    bits = ['{"a": 1}', "{", "}", '{"b": {"c": [1, "}"]}}', "</think>", "<think>", "```json", "```", "text", '"', "{}", "[1]", "\n", '{"x": "{"}']
+    rnd = random.Random(2)
+    texts = bits + [" ".join(rnd.sample(bits, rnd.randrange(1, 6))) for _ in range(300)] + [""]
+    rows = spark.createDataFrame(list(enumerate(texts)) + [(-1, None)], "i int, t string").select("i", targets.json_object(F.col("t")).alias("j")).collect()
+    got = {r.i: r.j for r in rows}
+    assert got.pop(-1) is None
+    for i, t in enumerate(texts):
+        assert (None if got[i] is None else json.loads(got[i])) == model_json(t), t
