@@ -22,7 +22,7 @@ def write_file(path: str, parts: list[bytes]) -> int:
     system.create_dir(posixpath.dirname(name), recursive=True)
     attempt = f"{name}.{uuid.uuid4().hex}.tmp"
     size = 0
-    with system.open_output_stream(attempt) as out:
+    with system.open_output_stream(attempt, compression=None) as out:
         for p in parts:
             out.write(p)
             size += len(p)
@@ -32,7 +32,7 @@ def write_file(path: str, parts: list[bytes]) -> int:
 
 def open_file(path: str) -> BinaryIO:
     system, name = _open_root(path)
-    return system.open_input_stream(name)
+    return system.open_input_stream(name, compression=None)  # bytes as they stand: by default a name in .gz would be inflated
 
 
 def read_file(path: str) -> bytes:
