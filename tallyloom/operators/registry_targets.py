@@ -200,13 +200,13 @@ def _examples_sql() -> str:
       replace({at([s for _, s in g.REGISTERS], "r")}, '{{}}', {at(g.OPENINGS, "d_opening")} || {question}) AS prompt, '{{' || {fill.replace("x", at([t for _, _, _, t in g.TEMPLATES], "kind"), 1)} || '}}' AS target FROM j)"""
 
 
-def _made(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generation.grammar_examples(R.table(spark, sf_dir, "customer"), "c_custkey", "c_name")
 
 
 @entry("generated_examples", _examples_sql() + " SELECT * FROM made")
 def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _made(spark, sf_dir)
+    return _by_customer(spark, sf_dir)
 
 
 @entry(
@@ -217,7 +217,7 @@ def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT gen_idx, c AS category_id, prompt FROM known QUALIFY row_number() OVER (PARTITION BY c ORDER BY gen_idx) <= CASE WHEN c = 46 THEN 40 ELSE 18 END""",
 )
 def _build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _made(spark, sf_dir).withColumn("t", targets.canonical(targets.parsed("target")))
+    rows = _by_customer(spark, sf_dir).withColumn("t", targets.canonical(targets.parsed("target")))
     rows = targets.checked(rows, "prompt", "t", "gen_idx").where(F.size("errors") == 0).withColumn("category_id", targets.category_id(F.col("category"), F.col("register")))
     quotas = spark.createDataFrame(list(generation.quotas("validation").items()), "category_id int, quota int")
     return dataset.fill_quotas(rows, quotas, ["category_id"], "gen_idx").select("gen_idx", "category_id", "prompt")
