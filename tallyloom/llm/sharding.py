@@ -13,6 +13,7 @@ Defined results
   null text          size 8, checksum 0 (as for an empty text)
   null doc_id        hashed by its text instead
   repeated rows      each row gets a slot of its own
+  equal texts        have no bearing: law `rows` counts rows, whatever they hold
   ties               equal keys share an arc; their order within it doesn't change what they return
   empty table        no rows
   extra columns      ignored
