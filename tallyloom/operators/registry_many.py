@@ -109,7 +109,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @entry("jaccard_classes", f"{_CLASSES} SELECT doc_id AS id, class FROM k JOIN c USING (t)")
 def _jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar.similar_classes(_docs(spark, sf_dir))[0]
+    return similar.set_classes(_docs(spark, sf_dir))
 
 
 _RANKED = """, r AS (SELECT class, w, len(w) AS n FROM k JOIN c ON k.t = c.t AND doc_id = class), e AS (SELECT class, n, unnest(w) AS t FROM r), f AS (SELECT t, count(*) AS f FROM e GROUP BY t),

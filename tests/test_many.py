@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +116,25 @@ def test_hot_tokens_are_dealt_out(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+@pytest.mark.parametrize("common", [40, 300])
+def test_meetings_end_at_sketches(common):
+    """Sets that share one prefix token only end where they meet; sets that are similar never do, however their sizes lie."""
+    rnd = np.random.default_rng(common)
+    n = [400, 390, 400, 500, common]
+    sets = [rnd.integers(0, 1 << 63, k, dtype=np.uint64) for k in n]
+    sets[1][:] = sets[0][: n[1]]
+    sets[3][:400] = sets[2]
+    batch = pa.record_batch([pa.array(range(5), pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["num", "t"])
+    ranks = np.full(similar.BUCKETS, 9, np.uint8)
+    rows = pa.Table.from_batches(list(similar._dealt(ranks, 80, 1)([batch])))
+    assert rows.num_rows == 5
+    hot = np.uint32(7).tobytes()  # a token that all have
+    tokens = [t + hot for t in rows.column("t").to_pylist()]
+    sizes = rows.column("n").to_numpy().astype(np.int64)
+    met = {tuple(sorted(p)) for x, y in similar._meetings(sizes, rows.column("sketch").to_pylist(), tokens, 80) for p in zip(x.tolist(), y.tolist())}
+    assert met == {(0, 1), (2, 3)}
+
+
 def test_similar_classes_of_nothing(spark):
     members, pairs = similar.similar_classes(spark.createDataFrame([(1, None)], "id int, text string"))
     assert members.collect() == [] and pairs.collect() == []
