@@ -70,7 +70,7 @@ class Shard:
 
 def _apart(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Which of the pairs at positions `at` (ascending) stay: taken by rank, each unless a neighbour that overlaps it was taken before."""
-    here = np.arange(len(at))
+    here = np.arange(len(at), dtype=np.int32)
     near = at[1:] == at[:-1] + 1
     # From the best of its neighbourhood outward, every second one is taken; where two slopes meet, the last needs both sides free.
     left = here - np.maximum.accumulate(np.where(np.concatenate(([False], near & (rank[1:] > rank[:-1]))), 0, here))
@@ -131,7 +131,7 @@ def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarra
     half = 16 if len(alphabet) <= 1 << 16 else 32
     rules: list[np.ndarray] = []
     lengths = np.ones(len(alphabet), np.int64)
-    place = np.arange(max(len(symbols) - 1, 0))
+    place = np.arange(max(len(symbols) - 1, 0), dtype=np.int32)
     while len(place):
         kind = np.uint32 if half == 16 else np.uint64
         code = (symbols[place].astype(kind) << kind(half)) | symbols[place + 1].astype(kind)
@@ -145,7 +145,7 @@ def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarra
         keep, count = np.ones(len(symbols), bool), np.zeros(len(symbols), bool)
         keep[at + 1] = False
         count[place[again]] = count[at] = count[np.maximum(at - 1, 0)] = True
-        symbols, place = symbols[keep], np.flatnonzero(count[keep][:-1])
+        symbols, place = symbols[keep], np.flatnonzero(count[keep][:-1]).astype(np.int32)
         if half == 16 and len(lengths) > 1 << 16:
             half = 32
     every = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
@@ -268,10 +268,9 @@ def document(s: Shard, i: int, pool: tuple[np.ndarray, np.ndarray, np.ndarray] |
 def _writer(root: str, vocabulary: str, end: int, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, partition = encoder(vocabulary), TaskContext.get().partitionId()
-        last = np.uint32(end).tobytes()
         docs: list[pa.Table] = []
-        counts: list[int] = []
-        parts: list[bytes] = []
+        counts: list[np.ndarray] = []
+        parts: list[np.ndarray] = []
         held = shards = 0
 
         def flush() -> pa.RecordBatch:
@@ -279,18 +278,22 @@ def _writer(root: str, vocabulary: str, end: int, shard_ids: int):
             path = f"{root}/part-{partition:06d}-{shards:05d}.tlrp"
             table = pa.concat_tables(docs)
             names = table.column("doc_id").combine_chunks()
-            packed = pack_shard(table.column("_key").to_numpy(), np.array(counts), np.frombuffer(b"".join(parts), np.uint32), names.cast(pa.int64()).fill_null(0).to_numpy(), names.is_null().to_numpy(zero_copy_only=False))
+            packed = pack_shard(table.column("_key").to_numpy(), np.concatenate(counts), np.concatenate(parts), names.cast(pa.int64()).fill_null(0).to_numpy(), names.is_null().to_numpy(zero_copy_only=False))
             size = write_file(path, packed)
-            out = pa.record_batch([pa.array([path]), pa.array([partition], pa.int32()), pa.array([shards], pa.int32()), pa.array([len(counts)], pa.int64()), pa.array([held], pa.int64()), pa.array([size], pa.int64())], names=["path", "part", "shard", "n_docs", "n_ids", "n_bytes"])
+            out = pa.record_batch([pa.array([path]), pa.array([partition], pa.int32()), pa.array([shards], pa.int32()), pa.array([table.num_rows], pa.int64()), pa.array([held], pa.int64()), pa.array([size], pa.int64())], names=["path", "part", "shard", "n_docs", "n_ids", "n_bytes"])
             docs, counts, parts, held, shards = [], [], [], 0, shards + 1
             return out
 
         for part in grouped(batches, TEXTS):
             docs.append(part.select(["_key", "doc_id"]))
-            for x in tool.encode([t or "" for t in part.column("_text").to_pylist()]):
-                parts += (x.data, last)
-                counts.append(len(x) + 1)
-                held += len(x) + 1
+            n, ids = tool.flat(part.column("_text"))
+            lined = np.full(len(ids) + len(n), end, np.uint32)
+            inside = np.ones(len(lined), bool)
+            inside[np.cumsum(n + 1) - 1] = False
+            lined[inside] = ids
+            counts.append(n + 1)
+            parts.append(lined)
+            held += len(lined)
             if held >= shard_ids:
                 yield flush()
         if docs:

@@ -11,6 +11,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -452,6 +453,40 @@ def test_encoder_equals_the_library(monkeypatch):
             assert [x.tolist() for x in tool.encode(texts)] == [plain_ids(t).tolist() for t in texts]
 
 
+def test_encoder_cuts_where_the_library_does():
+    """Random texts of what pre-tokens hang on: white space of all kinds, contractions, marks, letters outside ASCII, special tokens."""
+    rng = np.random.default_rng(9)
+    parts = [*"aabSsTtlLeErRdDmMv  \n\n\r\t\'\'\'.,!-_19\x0b\x0c\x1c\x1f\x00\x7fÉß×÷ªº²½ñÿÀ你の😀٣Ⅳж", *"\u00a0\u0085\u3000\u2003\u2028\u1680\u180e\u200b\u0301", "'s", "'ll", " '", "n't", "<|endo", "|>"]
+    texts = []
+    for i in range(6000):
+        few = rng.choice(parts, rng.choice([3, 5, 10, 60]))
+        texts.append("".join(rng.choice(few, rng.integers(0, 20))) + ("<|endoftext|> x" if i % 50 == 0 else ""))
+    tool = tokens.Encoder(tokens.default_vocabulary())
+    want = [plain_ids(t).tolist() for t in texts]
+    assert [x.tolist() for x in tool.encode(texts)] == want == [x.tolist() for x in tool.encode(texts)]
+    # Columns in chunks, with nulls.
+    counts, ids = tool.flat(pa.chunked_array([pa.array([*texts[:9], None], pa.string()), pa.array([None, *texts[9:40]], pa.string())]))
+    assert counts.tolist() == [len(x) for x in (*want[:9], [], [], *want[9:40])] and ids.tolist() == sum(want[:40], [])
+    assert tool.flat(pa.array([None, ""], pa.string()))[0].tolist() == [0, 0]
+
+
+def test_encoder_asks_the_library_once_for_a_word():
+    """Whatever marks or lines stand around it: words with their marks were pieces of their own, each encoded anew."""
+    tool = tokens.Encoder(tokens.default_vocabulary())
+    library, asked = tool.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **how):
+            asked.extend(texts)
+            return library.encode_batch_fast(texts, **how)
+
+    tool.tokenizer = Counting()
+    words = [f"{a}{b}{c}ung" for a in "abcdefgh" for b in "aeiouéü" for c in "klmnrst"]
+    texts = [" ".join(f"{w}{mark}" for w in words) for mark in (",", ".", "!", "?", ";", ":", ")", "...", "\n", "-", "%", "|")]
+    assert [x.tolist() for x in tool.encode(texts)] == [plain_ids(t).tolist() for t in texts]
+    assert sum(map(len, asked)) < 2 * sum(len(w) + 1 for w in words)
+
+
 def test_packing(spark, odd, empty):
     rows = packing.pack(odd).collect()
     want = collections.Counter()
