@@ -388,7 +388,7 @@ _SETS = "SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(te
     SELECT id_a, id_b FROM c JOIN s x ON x.doc_id = id_a JOIN s y ON y.doc_id = id_b WHERE 100 * len(list_intersect(x.w, y.w)) >= 92 * (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w)))""")
 def _jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = R.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return similar.near_duplicates(d, d).where("id_a < id_b").select("id_a", "id_b")
+    return similar.similar_texts(d).select("id_a", "id_b")
 
 
 @entry("entity_leak", "SELECT doc_id AS id, w AS name FROM documents, (SELECT 'the in' AS w UNION ALL SELECT 'der und') WHERE contains(' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> ''), ' ') || ' ', ' ' || w || ' ')")

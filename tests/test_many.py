@@ -155,6 +155,22 @@ def test_parts_tell_a_pair_in_one_way():
     assert found == {(3, 7, 100)}
 
 
+@pytest.mark.parametrize("members", [2, 2_000])
+def test_pairs_of_texts_with_their_copies(spark, members, monkeypatch):
+    """Every pair once, of copies and of texts that differ, however many lists a class is cut into."""
+    monkeypatch.setattr(similar, "MEMBERS", members)
+    words = "a b c d e f g h i j k l m n".split()
+    texts = [" ".join(words), " ".join(words[:-1]), "x y", None, "", "n " + " ".join(words[:-1])]
+    rows = [(i, texts[i % 6]) for i in range(47)]
+    sets = [(i, set((t or "").split())) for i, t in rows]
+    near = lambda x, y: bool(x) and 100 * len(x & y) >= 92 * len(x | y)
+    docs = spark.createDataFrame(rows, "id long, text string")
+    got = [(r.id_a, r.id_b, r.similarity) for r in similar.similar_texts(docs, 92).collect()]
+    assert sorted(got) == [(i, j, len(x & y) / len(x | y)) for i, x in sets for j, y in sets if i < j and near(x, y)]
+    got = [(r.id_a, r.id_b) for r in similar.near_duplicates(docs.where("id < 20"), docs.where("id >= 15"), 92).select("id_a", "id_b").collect()]
+    assert sorted(got) == [(i, j) for i, x in sets for j, y in sets if i < 20 and j >= 15 and near(x, y)]
+
+
 def test_similar_classes_of_nothing(spark):
     members, pairs = similar.similar_classes(spark.createDataFrame([(1, None)], "id int, text string"))
     assert members.collect() == [] and pairs.collect() == []
