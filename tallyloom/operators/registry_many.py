@@ -229,8 +229,8 @@ def _retrieve_many(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _answer_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best document's text for every question, or that no document answers it."""
     c = R.table(spark, sf_dir, "conversations").where("role = 'user'")
-    found = retrieval.answers(_corpus(spark, sf_dir), c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("question")))
-    return found.select("qid", "id", F.md5(F.col("answer").cast("binary")).alias("digest"))
+    found = retrieval.answers(_corpus(spark, sf_dir), c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("question")), told=lambda c: F.md5(c.cast("binary")))
+    return found.select("qid", "id", F.col("answer").alias("digest"))
 
 
 # Results in words ----------------------------------------------------------------------------------
